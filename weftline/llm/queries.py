@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, url_filter
-from .common import documents
+from . import exact_dedup, mixing, packing, token_file, url_filter
+from .common import documents, new_path
 
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
@@ -27,6 +27,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end=1)
 
 
+def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "ids")
+    files = token_file.write_tokens(documents(spark, sf_dir), folder, vocabulary("byte_bpe_50k.json"), end=0)
+    return token_file.read_tokens(spark, folder, files)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.content_sort(documents(spark, sf_dir))
 
@@ -36,7 +42,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(documents(spark, sf_dir, "pages"), rules)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op7_exact_dedup, op8_url_filter, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op6_token_file, op7_exact_dedup, op8_url_filter, op10_packing)}
 
 SQL: dict[str, str] = {
     "op1_mixing": r"""
