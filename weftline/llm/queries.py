@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, token_file, url_filter
+from . import exact_dedup, mixing, near_dedup, packing, token_file, url_filter
 from .common import documents, new_path
 
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -42,7 +42,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(documents(spark, sf_dir, "pages"), rules)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op6_token_file, op7_exact_dedup, op8_url_filter, op10_packing)}
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), shingle_words=4)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op6_token_file, op7_exact_dedup, op8_url_filter, op9_near_dedup, op10_packing)}
 
 SQL: dict[str, str] = {
     "op1_mixing": r"""
