@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, near_dedup, packing, token_file, url_filter
+from . import ann, exact_dedup, language, mixing, near_dedup, packing, token_file, url_filter
 from .common import documents, new_path
 
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -27,6 +27,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end=1)
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = documents(spark, sf_dir, "embeddings")
+    return ann.neighbours(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.learn_and_identify(documents(spark, sf_dir))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "ids")
     files = token_file.write_tokens(documents(spark, sf_dir), folder, vocabulary("byte_bpe_50k.json"), end=0)
@@ -46,7 +56,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), shingle_words=4)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op6_token_file, op7_exact_dedup, op8_url_filter, op9_near_dedup, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_ann, op4_language, op6_token_file, op7_exact_dedup, op8_url_filter, op9_near_dedup, op10_packing)}
 
 SQL: dict[str, str] = {
     "op1_mixing": r"""
