@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact_dedup, language, mixing, near_dedup, packing, token_file, url_filter
+from . import ann, exact_dedup, language, mixing, near_dedup, packing, phrase_dedup, suffix_dedup, token_file, url_filter
 from .common import documents, new_path
 
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -32,6 +32,14 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(vectors, vectors.filter("vec_id % 50 = 0"))
 
 
+def op3_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup.remove_repeated(documents(spark, sf_dir))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeated_bytes(documents(spark, sf_dir))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language.learn_and_identify(documents(spark, sf_dir))
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
@@ -56,7 +64,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), shingle_words=4)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_ann, op4_language, op6_token_file, op7_exact_dedup, op8_url_filter, op9_near_dedup, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_ann, op3_phrase_dedup, op4_language, op5_suffix_dedup, op6_token_file, op7_exact_dedup, op8_url_filter, op9_near_dedup, op10_packing)}
 
 SQL: dict[str, str] = {
     "op1_mixing": r"""
