@@ -18,6 +18,8 @@ from .components import components
 COORDS, MINIMA, MATCHES = 32, 3, 3
 #: A list of postings up to this length is compared in full, a longer one against one member at first.
 SHORT = 16
+#: Documents of a block, where long lists are compared in blocks.
+BLOCK = 256
 _ODD = np.random.default_rng(77).integers(1, 1 << 63, COORDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -67,6 +69,16 @@ def _same(x: str, y: str) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.when(p == q, 1).otherwise(0)), F.lit(0), lambda s, v: s + v)
 
 
+def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """id, hashes: the whole sets of the wanted documents."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), n)], pa.binary())], ["id", "hashes"])
+
+    return common.store(docs.join(wanted, "id").select("id", "text").mapInArrow(make, "id long, hashes binary"), "sets")
+
+
 def _confirmed(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Of the pairs a < b those whose whole sets are similar enough. Pairs that share too few
     coordinates are dropped first; sets are made only for documents that are left."""
@@ -74,11 +86,7 @@ def _confirmed(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, n: int, perce
     pairs = common.store(pairs.filter(_same("sig_a", "sig_b") >= MATCHES).select("a", "b"), "candidates")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), n)], pa.binary())], ["id", "hashes"])
-
-    sets = common.store(docs.join(wanted, "id").select("id", "text").mapInArrow(make, "id long, hashes binary"), "sets")
+    sets = _sets(docs, wanted, n)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,6 +106,95 @@ def _confirmed(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, n: int, perce
     return common.store(full.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "confirmed")
 
 
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets, for the pairs that are wanted at least."""
+    out = np.zeros(wanted.shape, np.int64)
+    if wanted.mean() < 0.05:
+        for i, j in zip(*np.nonzero(wanted), strict=True):
+            out[i, j] = len(np.intersect1d(left[i], right[j], assume_unique=True))
+        return out
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+
+    def cells(sets: list[np.ndarray], part: np.ndarray) -> np.ndarray:
+        flat = np.zeros((len(sets), len(part)), np.float32)
+        row, item = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+        at = np.minimum(np.searchsorted(part, item), len(part) - 1)
+        hit = part[at] == item
+        flat[row[hit], at[hit]] = 1
+        return flat
+
+    for k in range(0, len(both), 8192):
+        part = both[k : k + 8192]
+        out += (cells(left, part) @ cells(right, part).T).astype(np.int64)
+    return out
+
+
+def _compare_blocks(percent: int):
+    """Links between two blocks of documents, or within one: all pairs of different components whose
+    signatures agree enough are compared on their whole sets, and as many links are told as connect
+    what is linked."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, roots, sigs, sets = [], [], [], []
+        for t in (left, right):
+            ids.append(t["node"].to_numpy())
+            roots.append(t["root"].to_numpy())
+            sigs.append(np.array(t["sig"].to_pylist(), np.int32).reshape(-1, COORDS))
+            sets.append([np.frombuffer(x.as_buffer(), np.uint64) for x in t["hashes"]])
+        found: list[tuple[int, int]] = []
+        if len(ids[0]) and len(ids[1]):
+            same = np.zeros((len(ids[0]), len(ids[1])), np.uint8)
+            for c in range(COORDS):
+                same += sigs[0][:, c][:, None] == sigs[1][:, c]
+            wanted = (same >= MATCHES) & (roots[0][:, None] != roots[1])
+            if left["block"][0] == right["block"][0]:
+                wanted &= ids[0][:, None] < ids[1]
+            if wanted.any():
+                shared = _overlaps(sets[0], sets[1], wanted)
+                n, m = (np.array([len(s) for s in x]) for x in sets)
+                link = wanted & (100 * shared >= percent * (n[:, None] + m - shared))
+                top: dict[int, int] = {}
+
+                def find(x: int) -> int:
+                    while top.setdefault(x, x) != x:
+                        top[x] = top[top[x]]
+                        x = top[x]
+                    return x
+
+                for i, j in zip(*np.nonzero(link), strict=True):
+                    x, y = find(int(roots[0][i])), find(int(roots[1][j]))
+                    if x != y:
+                        top[x] = y
+                        found.append((int(ids[0][i]), int(ids[1][j])))
+        return pa.table({"a": pa.array([min(p) for p in found], pa.int64()), "b": pa.array([max(p) for p in found], pa.int64())})
+
+    return run
+
+
+def _linked_in_blocks(rows: DataFrame, sigs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links that are still missing in lists (node, root, key, length) with several components.
+
+    Each node has a block: a share of BLOCK nodes of the longest list it is in. Two blocks are compared,
+    once, if any list has nodes of both. Rows grow with the number of block pairs, never with that of
+    node pairs, and a task holds two blocks."""
+    homes = rows.groupBy("node", "root").agg(F.max(F.struct("length", "key"))["key"].alias("home"))
+    sizes = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = homes.join(sizes, "home").select("node", "root", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block"))
+    placed = common.store(placed, "blocks")
+    meets = rows.select("key", "node").join(placed.select("node", "block"), "node").select("key", "block").distinct()
+    pairs = meets.withColumnRenamed("block", "x").join(meets.withColumnRenamed("block", "y"), "key").filter("x <= y").select("x", "y").distinct()
+    pairs = common.store(pairs, "block-pairs")
+    sets = _sets(docs, placed.select(F.col("node").alias("id")), n).groupBy("id").agg(F.min("hashes").alias("hashes"))
+    full = common.store(placed.join(sigs, "node").join(sets.withColumnRenamed("id", "node"), "node"), "members")
+
+    def side(key: str):
+        own = full.select(F.col("block").alias(key), *[F.col(c).alias(c) for c in ("block", "node", "root", "sig", "hashes")])
+        return pairs.select(*[F.col(c).alias(c) for c in ("x", "y")]).join(own, key).groupBy("x", "y")
+
+    left, right = side("x"), side("y")
+    return common.store(left.cogroup(right).applyInArrow(_compare_blocks(percent), "a long, b long"), "confirmed")
+
+
 def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -138,22 +235,7 @@ def classes_and_links(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame,
     roots = None if links.isEmpty() else components(links)
     rows = open_lists(roots)
     if not rows.isEmpty():
-        centers = rows.filter("node = center").select("key", F.col("root").alias("center_root"))
-        star = rows.join(centers, "key").filter("root <> center_root").select(*_ordered("node", "center")).distinct()
-        links = links.union(_confirmed(star, sigs, docs, n, percent))
-        roots = None if links.isEmpty() else components(links)
-        rows = open_lists(roots)
-    if not rows.isEmpty():
-        # A pair needs further matches, so long lists split by the next coordinate; each pair shows at its first two.
-        rows = rows.select("node", "root", "coord", "key").join(sigs, "node")
-        deep = rows.select("node", "root", "coord", "key", "sig", F.posexplode("sig").alias("next", "value")).filter("next > coord")
-        deep = deep.withColumn("key", F.xxhash64("key", "next", "value"))
-        left = deep.select("key", "next", "coord", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("sig").alias("sig_a"))
-        right = deep.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("sig").alias("sig_b"))
-        shared = F.filter(F.sequence(F.lit(0), F.lit(COORDS - 1)), lambda i: F.get("sig_a", i) == F.get("sig_b", i))
-        early = (F.get(shared, F.lit(0)) == F.col("coord")) & (F.get(shared, F.lit(1)) == F.col("next")) & (F.size(shared) >= MATCHES)
-        near = left.join(right, "key").filter(F.col("a") < F.col("b")).filter(F.col("root_a") != F.col("root_b")).filter(early).select("a", "b").distinct()
-        links = links.union(_confirmed(near, sigs, docs, n, percent))
+        links = links.union(_linked_in_blocks(rows, sigs, docs, n, percent))
         roots = None if links.isEmpty() else components(links)
     return sketched, nodes, roots
 
@@ -163,10 +245,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
     Documents whose sets are equal are one class and its smallest id stands for it. Classes are posted
     under every (coordinate, value) of the signature's prefix. Lists up to SHORT are paired in full. In a
-    longer list each member is first compared with one that the list's hash picks; only lists that then
-    still hold several components are looked at again: against the pick, and then split by a second
-    coordinate with pairs of different components only. Every link is confirmed on the whole sets. Two
-    classes that are linked but whose link isn't compared are always in one component already.
+    longer list each member is first compared with one that the list's hash picks; where members of a
+    long list then still are in different components, all of them are compared in blocks. Every link is
+    confirmed on the whole sets; a link whose ends are in one component already isn't looked for.
 
     Null and empty texts have no shingles, are linked with nothing and are kept. Rows repeated under one
     id are one node; a null id is linked with nothing, is its own component and kept. An empty table
