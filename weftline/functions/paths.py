@@ -33,13 +33,15 @@ def stem(path: Column) -> Column:
     return F.substring(whole, F.lit(1), F.length(whole) - F.length(suffix(path)))
 
 
+def heads(path: Column) -> Column:
+    """All directories that a path is in, from the outermost in."""
+    all_ = dirs(path)
+    return F.transform(F.filter(F.sequence(F.lit(0), F.size(all_)), lambda n: n > 0), lambda n: F.array_join(F.slice(all_, F.lit(1), n), "/"))
+
+
 def shared_dir_depth(a: Column, b: Column) -> Column:
     """How many leading directories two paths share; file names don't count."""
-    x, y = dirs(a), dirs(b)
-    n = F.least(F.size(x), F.size(y))
-    same = F.zip_with(F.slice(x, F.lit(1), n), F.slice(y, F.lit(1), n), lambda p, q: p == q)
-    first = F.array_position(same, False)
-    return F.when(first == 0, n).otherwise(first - 1).cast("int")
+    return F.size(F.array_intersect(heads(a), heads(b)))
 
 
 def test_stem(path: Column) -> Column:
@@ -50,19 +52,25 @@ def is_test(path: Column) -> Column:
     return test_stem(path) != stem(path)
 
 
-def test_pair_bonus(a: Column, b: Column) -> Column:
-    return F.when((is_test(a) != is_test(b)) & (test_stem(a) == test_stem(b)), TEST_PAIR).otherwise(0)
+def features(path: Column) -> Column:
+    """What affinity() needs of a path: made once for each path, however many pairs it is in."""
+    return F.struct(path.alias("path"), heads(path).alias("heads"), suffix(path).alias("suffix"), test_stem(path).alias("stem"), is_test(path).alias("is_test"))
+
+
+def test_pair_bonus(x: Column, y: Column) -> Column:
+    """For two features: 40 if exactly one is a test and the stems are the same without that."""
+    return F.when((x["is_test"] != y["is_test"]) & (x["stem"] == y["stem"]), TEST_PAIR).otherwise(0)
 
 
-def affinity(a: Column, b: Column, priority: str | Priority) -> Column:
-    """Closeness of two files: 500 for the same, else by shared directories, suffix and test pairing."""
-    depth = shared_dir_depth(a, b)
-    score = depth * SHARED_DIR + F.when(suffix(a) == suffix(b), SAME_SUFFIX).otherwise(0) + test_pair_bonus(a, b)
+def affinity(x: Column, y: Column, priority: str | Priority) -> Column:
+    """Closeness of two features: 500 for one file, else by shared directories, suffix and test pairing."""
+    depth = F.size(F.array_intersect(x["heads"], y["heads"]))
+    score = depth * SHARED_DIR + F.when(x["suffix"] == y["suffix"], SAME_SUFFIX).otherwise(0) + test_pair_bonus(x, y)
     if Priority(priority) == Priority.ORTHOGONAL:
         score = F.greatest(F.lit(0), score - ORTHOGONAL_PENALTY)
     else:
         score = score + F.when(depth > 0, LOGICAL_DIR_BONUS).otherwise(0)
-    return F.when(a == b, SAME_FILE).otherwise(score)
+    return F.when(x["path"] == y["path"], SAME_FILE).otherwise(score)
 
 
 def split_namespace(arg: Column) -> Column:

@@ -20,15 +20,16 @@ def affinity_pairs(units: DataFrame, priority: str | Priority) -> DataFrame:
     Only such pairs can score that share a file, the first directory, the test-normalised stem or, for
     logical grouping, the suffix; so the pairs come from equi-joins on those, never from all pairs of a
     change. A pair is kept at the first key that it shares, so no distinct is needed."""
-    path = F.col("file_path").cast("string")
-    keys = [path, F.get(paths.dirs(path), F.lit(0)), paths.test_stem(path)] + [paths.suffix(path)] * (Priority(priority) == Priority.LOGICAL)
-    rows = units.select("change_id", "position", path.alias("path"), F.array(*[F.coalesce(k, F.lit("\x00")) for k in keys]).alias("keys"))
-    posted = rows.select("change_id", "position", "path", "keys", F.posexplode("keys").alias("k", "v")).filter("v <> '\x00'")
-    left = posted.withColumnsRenamed({"position": "a", "path": "path_a", "keys": "keys_a"})
-    right = posted.withColumnsRenamed({"position": "b", "path": "path_b", "keys": "keys_b"})
-    same = F.zip_with("keys_a", "keys_b", lambda x, y: (x == y) & (x != "\x00"))
-    pairs = left.join(right, ["change_id", "k", "v"]).filter((F.col("a") < F.col("b")) & (F.array_position(same, True) == F.col("k") + 1))
-    return pairs.select("change_id", "a", "b", paths.affinity(F.col("path_a"), F.col("path_b"), priority).alias("score")).filter("score > 0")
+    # The features are laid down before the join, or they would be made again for each pair.
+    rows = units.select("change_id", "position", paths.features(F.col("file_path").cast("string")).alias("f")).repartition("change_id")
+    f = F.col("f")
+    keys = [f["path"], F.get(f["heads"], F.lit(0)), f["stem"]] + [f["suffix"]] * (Priority(priority) == Priority.LOGICAL)
+    posted = rows.select("change_id", "position", "f", F.posexplode(F.array(*keys)).alias("k", "v")).filter("v is not null")
+    left, right = posted.withColumnsRenamed({"position": "a", "f": "x"}), posted.withColumnsRenamed({"position": "b", "f": "y"})
+    x, y = F.col("x"), F.col("y")
+    first = F.when(x["path"] == y["path"], 0).when(F.get(x["heads"], F.lit(0)) == F.get(y["heads"], F.lit(0)), 1).when(x["stem"] == y["stem"], 2).otherwise(3)
+    pairs = left.join(right, ["change_id", "k", "v"]).filter((F.col("a") < F.col("b")) & (F.col("k") == first))
+    return pairs.select("change_id", "a", "b", paths.affinity(x, y, priority).alias("score")).filter("score > 0")
 
 
 def group_units(units: DataFrame, options: PlanOptions) -> DataFrame:

@@ -72,7 +72,7 @@ def q05_chunk_stats(spark, sf_dir):
 
 
 @query(f"""with {A.HUNKS}, x as (select change_id, file_ord, file_path, sum(added)::bigint a, sum(removed)::bigint r, count(*) n from h group by all),
-y as (select *, list_filter([case when r = 0 then 'new' end, case when a = 0 then 'deleted' end, case when file_ord % 7 = 0 then 'renamed' end], z -> z is not null) fl from x)
+y as (select *, list_filter([case when r = 0 then 'new' end, case when a = 0 then 'deleted' end, case when file_ord % 7 = 0 then 'renamed' end], lambda z: z is not null) fl from x)
 select change_id, file_ord, array_to_string(fl, ',') flags, file_path || ' (+' || a || '/-' || r || ')' || case when len(fl) > 0 then ' [' || array_to_string(fl, ', ') || ']' else '' end || ' — ' || case when n = 1 then 'hunk index: 0' else 'hunk indices: 0-' || (n - 1) end summary from y""")
 def q06_file_summary_flags(spark, sf_dir):
     files = stats.files_from_hunks(A.li_hunks(spark, sf_dir)).withColumn("is_renamed", F.col("file_ord") % 7 == 0)
@@ -88,7 +88,7 @@ def q07_hunk_lookup(spark, sf_dir):
     return stats.hunk_texts(wanted, seq)
 
 
-@query(r"""with a as (select page_id, url, regexp_extract(url, '(?s)://[^/?#]*([^?#]*)', 1) path from pages where url is not null), b as (select *, list_filter(string_split(path, '/'), x -> x <> '' and x <> '.') p from a),
+@query(r"""with a as (select page_id, url, regexp_extract(url, '(?s)://[^/?#]*([^?#]*)', 1) path from pages where url is not null), b as (select *, list_filter(string_split(path, '/'), lambda x: x <> '' and x <> '.') p from a),
 c as (select *, coalesce(p[-1], '') name from b), d as (select *, regexp_extract(name, '^.+(\.[^.]+)$', 1) suffix from c), e as (select *, name[1:length(name) - length(suffix)] stem from d)
 select page_id, greatest(0, len(p) - case when path like '/%' then 0 else 1 end)::bigint dirs, suffix, stem, regexp_replace(regexp_replace(stem, '^test_', ''), '_test$', '') test_stem,
 regexp_replace(regexp_replace(regexp_replace(url, '(?s)^[^:]*:', ''), '[^A-Za-z0-9._-]', '-', 'g'), '^-+|-+$', '', 'g') namespace, case when page_id % 2 = 0 then 'pr' else 'branch' end fork from e""")
@@ -178,7 +178,7 @@ def q17_loc_conservation(spark, sf_dir):
     return validate.loc_mismatch(groups, hunks)
 
 
-@query(f"""with {A.HUNKS}, {A.LOC}, x as (select *, unnest(list_filter([case when estimated_loc < {MIN_LOC} then 'below_min' end, case when estimated_loc > {MAX_LOC} then 'above_max' end], z -> z is not null)) violation_type from g)
+@query(f"""with {A.HUNKS}, {A.LOC}, x as (select *, unnest(list_filter([case when estimated_loc < {MIN_LOC} then 'below_min' end, case when estimated_loc > {MAX_LOC} then 'above_max' end], lambda z: z is not null)) violation_type from g)
 select change_id, group_id, estimated_loc, violation_type, case violation_type when 'below_min' then {MIN_LOC} else {MAX_LOC} end::bigint as "limit", 'group ' || group_id || ' has ' || estimated_loc || ' lines of code (+' || estimated_added || ' -' || estimated_removed || '), ' ||
 case violation_type when 'below_min' then 'below the minimum of {MIN_LOC}' else 'above the maximum of {MAX_LOC}' end as message from x""")
 def q18_loc_bounds(spark, sf_dir):
@@ -261,7 +261,7 @@ l1 as (select change_id, group_id, lag(group_id) over (partition by change_id, f
 l2 as (select change_id, group_id, lag(group_id) over (partition by change_id, file_path order by f, group_id) p from (select change_id, file_path, group_id, min(hunk_index) f from h2 group by all)),
 d1 as (select change_id, group_id, list(distinct p order by p) d from l1 where p is not null group by all), d2 as (select change_id, group_id, list(distinct p order by p) d from l2 where p is not null group by all),
 g1 as (select change_id, group_id, count(distinct file_path) k, 'first' title from h1 group by all), g2 as (select change_id, group_id, count(distinct file_path) k, 'second' title from h2 group by all)
-select change_id, group_id, coalesce(g1.title, g2.title) title, coalesce(g1.k, 0) + coalesce(g2.k, 0) assignments, array_to_string(list_concat(coalesce(d1.d, []), list_filter(coalesce(d2.d, []), x -> not list_contains(coalesce(d1.d, []), x))), ',') depends_on
+select change_id, group_id, coalesce(g1.title, g2.title) title, coalesce(g1.k, 0) + coalesce(g2.k, 0) assignments, array_to_string(list_concat(coalesce(d1.d, []), list_filter(coalesce(d2.d, []), lambda x: not list_contains(coalesce(d1.d, []), x))), ',') depends_on
 from g1 full join g2 using (change_id, group_id) left join d1 using (change_id, group_id) left join d2 using (change_id, group_id)""")
 def q28_upsert_groups(spark, sf_dir):
     hunks = A.li_hunks(spark, sf_dir)
@@ -330,8 +330,8 @@ def q35_apply_hunks(spark, sf_dir):
     return made.select("change_id", "file_path", F.md5("content").alias("content_md5"))
 
 
-@query(f"""with {A.HUNKS}, t as (select change_id, file_ord, file_path, '--- a/' || file_path || chr(10) || '+++ b/' || file_path || chr(10) || string_agg('[hunk_index=' || hunk_index || ']' || chr(10) || '+' || added || ' -' || removed || chr(10), chr(10) order by hunk_index) x from h group by all)
-select change_id, md5(string_agg(x, chr(10) order by file_ord)) text_md5, sum(length(x))::bigint + count(*) - 1 as length from t group by change_id""")
+@query(f"""with {A.HUNKS}, t as (select change_id, file_ord, file_path, '--- a/' || file_path || chr(10) || '+++ b/' || file_path || chr(10) || string_agg('[hunk_index=' || hunk_index || ']' || chr(10) || '+' || added || ' -' || removed || chr(10), chr(10) order by hunk_index) x from h group by change_id, file_ord, file_path),
+y as (select change_id, string_agg(x, chr(10) order by file_ord) z from t group by change_id) select change_id, md5(z) text_md5, length(z) as length from y""")
 def q36_labeled_diff(spark, sf_dir):
     text = F.concat(F.lit("+"), F.col("added").cast("string"), F.lit(" -"), F.col("removed").cast("string"), F.lit("\n"))
     hunks = A.li_hunks(spark, sf_dir).withColumn("hunk_text", text)

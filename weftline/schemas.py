@@ -4,8 +4,9 @@ CHANGES = "change_id string, raw_diff string"
 FILES = "change_id string, file_ord int, file_path string, source_file string, target_file string, added int, removed int, is_new boolean, is_deleted boolean, is_renamed boolean, hunk_count int"
 HUNKS = "change_id string, file_ord int, file_path string, hunk_index int, source_start int, source_length int, target_start int, target_length int, added int, removed int, hunk_text string"
 ASSIGNMENT = "struct<file_path: string, assignment_type: string, hunk_indices: array<int>>"
-GROUP = f"id string, title string, description string, depends_on array<string>, assignments array<{ASSIGNMENT}>, estimated_loc int, estimated_added int, estimated_removed int, expected_patch string, expected_patch_sha256 string"
-GROUP_STRUCT = "struct<" + GROUP.replace(" string,", ": string,").replace(" int,", ": int,").replace(" array<", ": array<").removesuffix(" string") + ": string>"
+_GROUP_FIELDS = (("id", "string"), ("title", "string"), ("description", "string"), ("depends_on", "array<string>"), ("assignments", f"array<{ASSIGNMENT}>"), ("estimated_loc", "int"), ("estimated_added", "int"), ("estimated_removed", "int"), ("expected_patch", "string"), ("expected_patch_sha256", "string"))
+GROUP = ", ".join(f"{n} {k}" for n, k in _GROUP_FIELDS)
+GROUP_STRUCT = "struct<" + ", ".join(f"{n}: {k}" for n, k in _GROUP_FIELDS) + ">"
 PLAN = (
     "plan struct<dev_branch: string, base_branch: string, min_loc: int, max_loc: int, strict_loc_bounds: boolean, stacked: boolean, draft: boolean, priority: string, "
     f"groups: array<{GROUP_STRUCT}>, author: string, merge_base_sha: string, dev_branch_arg: string, raw_diff: string>, "
