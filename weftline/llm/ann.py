@@ -25,7 +25,7 @@ class Forest:
         self.cut: list[float] = []
         self.kids: list[list[int]] = []
         self.roots = [self._grow(sample, np.arange(len(sample))) for _ in range(trees)]
-        self.way_, self.cut_, self.kids_ = np.array(self.way).reshape(len(self.way), -1), np.array(self.cut), np.array(self.kids, np.int64).reshape(-1, 2)
+        self.way_, self.cut_, self.kids_ = np.array(self.way).reshape(-1, sample.shape[1]), np.array(self.cut), np.array(self.kids, np.int64).reshape(-1, 2)
         del self.way, self.cut, self.kids, self.draw
 
     def _grow(self, sample: np.ndarray, rows: np.ndarray) -> int:

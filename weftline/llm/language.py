@@ -203,7 +203,8 @@ def label(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = F
 
     schema = T.StructType([*docs.schema.fields, T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType())])
     if spans:
-        schema = schema.add("_spans", "array<struct<first: int, words: int, lang: string>>")
+        span = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("words", T.IntegerType()), T.StructField("lang", T.StringType())])
+        schema = schema.add("_spans", T.ArrayType(span))
     return rows.mapInArrow(run, schema)
 
 

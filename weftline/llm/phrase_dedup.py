@@ -59,7 +59,9 @@ def _automata(unit: repeats.Unit):
         twice = count[back] > 1
         rows = [repeats.merged(key[twice], doc[twice], start[twice], w)]
         if pieces["salts"][0].as_py() > 1:
-            second = repeats.run_hashes(texts.units, w, 0xA24BAED4963EE407)[at[pick]]
+            # A window may lie in pieces for other shards, too; what counts is how often it is in this one.
+            shard = hashing.mixed(pieces["shard"].to_numpy()[:1].astype(np.uint64))
+            second = repeats.run_hashes(texts.units, w, 0xA24BAED4963EE407)[at[pick]] ^ shard
             rows.append((key[pick], doc[pick], start[pick], start[pick] + w, hashes[pick].view(np.int64), second.view(np.int64), np.minimum(count, 2)))
         return repeats.found_table(rows)
 
