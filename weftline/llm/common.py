@@ -62,5 +62,14 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> No
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def with_keys(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """The rows whose key is among the stored, distinct keys. Where Spark shuffles both sides it first
+    builds a Bloom filter of the keys and drops most other rows, with their texts, at the scan; it does so
+    only if the keys come through a comparison, so there is one that always holds, and it asks for 10 GB
+    of input unless told otherwise."""
+    rows.sparkSession.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "64m")
+    return rows.join(keys.filter(F.col(name) >= F.lit(-(1 << 63))), name)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))

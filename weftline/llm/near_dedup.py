@@ -76,7 +76,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), n)], pa.binary())], ["id", "hashes"])
 
-    return common.store(docs.join(wanted, "id").select("id", "text").mapInArrow(make, "id long, hashes binary"), "sets")
+    wanted = common.store(wanted.distinct(), "wanted")
+    return common.store(common.with_keys(docs, wanted, "id").select("id", "text").mapInArrow(make, "id long, hashes binary"), "sets")
 
 
 def _confirmed(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -84,7 +85,7 @@ def _confirmed(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, n: int, perce
     coordinates are dropped first; sets are made only for documents that are left."""
     pairs = pairs.join(sigs.withColumnsRenamed({"node": "a", "sig": "sig_a"}), "a").join(sigs.withColumnsRenamed({"node": "b", "sig": "sig_b"}), "b")
     pairs = common.store(pairs.filter(_same("sig_a", "sig_b") >= MATCHES).select("a", "b"), "candidates")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
 
     sets = _sets(docs, wanted, n)
 
