@@ -23,6 +23,9 @@ def test_paths(spark):
     L = F.lit
     for name, suffix in (("a.py", ".py"), (".bashrc", ""), ("foo.", ""), ("x.tar.gz", ".gz"), ("..b", ".b"), ("d/e", "")):
         assert scalar(spark, paths.suffix(L(name))) == suffix
+    some = spark.createDataFrame([(n,) for n in ("a/b/test_x.py", "y", "/r/z_test.tar.gz", ".bashrc", "a//b/./c.py")], "p string")
+    both = paths.add_features(some.withColumn("f", paths.features(F.col("p"))), F.col("p"), "g").collect()
+    assert all(r["f"] == r["g"] for r in both)
     bonus = lambda a, b: scalar(spark, paths.test_pair_bonus(paths.features(L(a)), paths.features(L(b))))
     assert bonus("tests/test_auth.py", "src/auth.py") == 40 and bonus("src/auth_test.py", "src/auth.py") == 40
     assert bonus("latest.py", "late.py") == 0 and bonus("contest.py", "con.py") == 0

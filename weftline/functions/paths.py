@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..options import LOGICAL_DIR_BONUS, ORTHOGONAL_PENALTY, SAME_FILE, SAME_SUFFIX, SHARED_DIR, TEST_PAIR, Priority
@@ -57,6 +57,18 @@ def features(path: Column) -> Column:
     return F.struct(path.alias("path"), heads(path).alias("heads"), suffix(path).alias("suffix"), test_stem(path).alias("stem"), is_test(path).alias("is_test"))
 
 
+def add_features(rows: DataFrame, path: Column, out: str) -> DataFrame:
+    """features() as a column, step by step, so that each step is evaluated once for a row."""
+    rows = rows.withColumn("_path", path).withColumn("_parts", parts(F.col("_path"))).withColumn("_name", name(F.col("_path")))
+    rows = rows.withColumn("_suffix", F.regexp_extract("_name", r"^.+(\.[^.]+)$", 1))
+    rows = rows.withColumn("_stem", F.substring("_name", F.lit(1), F.length("_name") - F.length("_suffix")))
+    rows = rows.withColumn("_bare", F.regexp_replace(F.regexp_replace("_stem", "^test_", ""), "_test$", ""))
+    depth = F.size("_parts") - 1
+    outer = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), depth)), lambda n: n > 0), lambda n: F.array_join(F.slice("_parts", F.lit(1), n), "/"))
+    made = F.struct(F.col("_path").alias("path"), outer.alias("heads"), F.col("_suffix").alias("suffix"), F.col("_bare").alias("stem"), (F.col("_bare") != F.col("_stem")).alias("is_test"))
+    return rows.withColumn(out, made).drop("_path", "_parts", "_name", "_suffix", "_stem", "_bare")
+
+
 def test_pair_bonus(x: Column, y: Column) -> Column:
     """For two features: 40 if exactly one is a test and the stems are the same without that."""
     return F.when((x["is_test"] != y["is_test"]) & (x["stem"] == y["stem"]), TEST_PAIR).otherwise(0)

@@ -21,7 +21,7 @@ def affinity_pairs(units: DataFrame, priority: str | Priority) -> DataFrame:
     logical grouping, the suffix; so the pairs come from equi-joins on those, never from all pairs of a
     change. A pair is kept at the first key that it shares, so no distinct is needed."""
     # The features are laid down before the join, or they would be made again for each pair.
-    rows = units.select("change_id", "position", paths.features(F.col("file_path").cast("string")).alias("f")).repartition("change_id")
+    rows = paths.add_features(units, F.col("file_path").cast("string"), "f").select("change_id", "position", "f").repartition("change_id")
     f = F.col("f")
     keys = [f["path"], F.get(f["heads"], F.lit(0)), f["stem"]] + [f["suffix"]] * (Priority(priority) == Priority.LOGICAL)
     posted = rows.select("change_id", "position", "f", F.posexplode(F.array(*keys)).alias("k", "v")).filter("v is not null")
