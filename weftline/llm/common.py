@@ -34,12 +34,16 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/weftline/{label}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
+def store(df: DataFrame, label: str, large: bool = False) -> DataFrame:
     """Writes df into the shared folder and reads it back: lineage ends there, and a lost executor
-    costs the reading of a file. The table stays until drop_stored() or the folder's owner removes it."""
+    costs the reading of a file. The table stays until drop_stored() or the folder's owner removes it.
+    After a large step the driver's JVM is asked to collect garbage, as only then Spark deletes the
+    shuffle files of what has been written."""
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
+    if large:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -74,15 +74,21 @@ class Texts:
                 out[a : z - n + 1] = True
         return out
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places and hashes of all anchors."""
+    def window_anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """The hash of each window's anchor, 0 where no window fits, and the hashes of all grams."""
         w, g = self.unit.window, self.unit.gram
         fits = self.whole(w)
         if not fits.any():
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return np.zeros(len(fits), np.uint64), np.zeros(0, np.uint64)
         hashes = run_hashes(self.units, g) | np.uint64(1)
-        width = w - g + 1
-        least = np.where(fits, _slide(hashes, width, np.minimum), np.uint64(0))
+        return np.where(fits, _slide(hashes, w - g + 1, np.minimum), np.uint64(0)), hashes
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of all anchors."""
+        least, hashes = self.window_anchors()
+        if not len(hashes):
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        width = self.unit.window - self.unit.gram + 1
         pad = np.zeros(width - 1, np.uint64)
         at = np.flatnonzero(_slide(np.concatenate([pad, least, pad]), width, np.maximum) == hashes)
         return at, hashes[at]
@@ -119,21 +125,38 @@ _PIECE = "shard long, salt int, salts int, key long, id long, start long, grams
 
 
 def _pieces(docs: DataFrame, unit: Unit, grams: bool) -> DataFrame:
-    """For each shard of each document the neighbourhoods of its anchors, and, if asked for, once for
-    each task of the shard the grams whose home the document is."""
+    """For each shard of each document the windows whose anchor has its home there, neighbours in one
+    piece; or, with `grams`, the neighbourhoods of such anchors and, once for each task of the shard, the
+    grams whose home the document is."""
 
     def batch_of(out: list[tuple]) -> pa.RecordBatch:
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["shard", "salt", "salts", "key", "id", "start", "grams", "piece"])
 
+    def known(h: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are wanted, and where they stand among those."""
+        order = np.argsort(want)
+        place = order[np.minimum(np.searchsorted(want[order], h), len(want) - 1)]
+        found = want[place] == h
+        return found, place
+
     def pieces_of(texts: Texts, route: pa.StructArray, key: int, order: int) -> Iterator[tuple]:
-        at, h = texts.anchors()
         want = route.field("gram").to_numpy().view(np.uint64)
-        shard, salts, own = route.field("shard").to_numpy(), route.field("salts").to_numpy(), np.asarray(route.field("own"))
-        by_gram = np.argsort(want)
-        place = np.minimum(np.searchsorted(want[by_gram], h), len(want) - 1)
-        found = want[by_gram][place] == h
-        at, row = at[found], by_gram[place[found]]
+        shard, salts = route.field("shard").to_numpy(), route.field("salts").to_numpy()
+        if not grams:  # all windows whose anchor is wanted, each in the one shard of its anchor
+            least, _ = texts.window_anchors()
+            found, place = known(least, want)
+            home = np.where(found, shard[place], -1)
+            cut = np.flatnonzero(np.diff(home)) + 1
+            for a, z in zip(np.append(0, cut).tolist(), np.append(cut, len(home)).tolist(), strict=True):
+                if z > a and home[a] >= 0:
+                    n = int(salts[place[a]])
+                    yield int(home[a]), key % n, n, key, order, a, False, texts.slice(a, z - 1 + unit.window)
+            return
+        at, h = texts.anchors()
+        own = np.asarray(route.field("own"))
+        found, place = known(h, want)
+        at, row = at[found], place[found]
         for s in np.unique(shard).tolist():
             mine = shard[row] == s
             p, r, n = at[mine], row[mine], int(salts[shard == s][0])
@@ -141,7 +164,7 @@ def _pieces(docs: DataFrame, unit: Unit, grams: bool) -> DataFrame:
             gap = np.flatnonzero(lo[1:] > hi[:-1])  # anchors come in order, so both ends rise
             for a, z in zip(lo[np.append(0, gap + 1)].tolist(), hi[np.append(gap, len(hi) - 1)].tolist(), strict=True):
                 yield s, key % n, n, key, order, a, False, texts.slice(a, z)
-            if grams and own[r].any():
+            if own[r].any():
                 _, first = np.unique(r[own[r]], return_index=True)
                 text = b" ".join(texts.slice(x, x + unit.gram) for x in p[own[r]][first].tolist())
                 for t in range(n):
@@ -181,15 +204,15 @@ def routed(docs: DataFrame, unit: Unit, task: Callable[[pa.Table], pa.Table], gr
     """(keyed documents, what the shards' tasks found)."""
     common.small_batches(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
-    posted = common.store(_postings(keyed, unit), "anchors")
+    posted = common.store(_postings(keyed, unit), "anchors", large=True)
     homes = posted.groupBy("gram").agg(F.min("key").alias("home"), F.sum("n").alias("n")).filter("n > 1").select("gram", "home")
-    again = common.store(posted.select("gram", "key").join(homes, "gram"), "recurring")
+    again = common.store(posted.select("gram", "key").join(homes, "gram"), "recurring", large=True)
     shards = max(4 * common.partitions(docs.sparkSession), again.count() // unit.load)
-    again = again.select("key", "gram", F.pmod("home", F.lit(shards)).alias("shard"), (F.col("home") == F.col("key")).alias("own")).distinct()
+    again = again.select("key", "gram", F.pmod("home", F.lit(shards)).alias("shard"), (F.col("home") == F.col("key")).alias("own"))
     loads = again.groupBy("shard").agg(F.greatest(F.lit(1), F.round(F.count("*") / (2 * unit.load))).cast("int").alias("salts"))
     routes = again.join(loads, "shard").groupBy("key").agg(F.collect_list(F.struct("gram", "shard", "salts", "own")).alias("routes"))
     pieces = _pieces(keyed.join(routes, "key"), unit, grams)
-    return keyed, common.store(pieces.groupBy("shard", "salt").applyInArrow(task, FOUND), "found")
+    return keyed, common.store(pieces.groupBy("shard", "salt").applyInArrow(task, FOUND), "found", large=True)
 
 
 def spans_by_document(keyed: DataFrame, found: DataFrame, run: Callable, schema: str) -> DataFrame:
