@@ -144,7 +144,7 @@ def test_options():
     for bad in ({"max_loc": 0}, {"min_loc": 0}, {"max_loc": 10, "min_loc": 10}, {"max_refinement_iterations": -1}, {"priority": "other"}):
         with pytest.raises(ValueError):
             O.PlanOptions(**bad)
-    assert O.options_from({"PR_SPLIT_MAX_LOC": "50", "PR_SPLIT_DRAFT": "true", "OTHER": "x"}) == O.PlanOptions(max_loc=50, draft=True)
+    assert O.options_from({"WEFTLINE_MAX_LOC": "50", "WEFTLINE_DRAFT": "true", "OTHER": "x"}) == O.PlanOptions(max_loc=50, draft=True)
     with pytest.raises(O.PlanError):
-        O.options_from({"PR_SPLIT_MAX_LOC": "many"})
+        O.options_from({"WEFTLINE_MAX_LOC": "many"})
     assert O.PlanOptions().needs_chunking(900_000) and not O.PlanOptions().needs_chunking(800_000)

@@ -112,7 +112,7 @@ class PlanOptions:
         return int(self.context_tokens * CHUNK_TARGET_RATIO) - overhead - MAX_OUTPUT_TOKENS
 
 
-def options_from(values: dict[str, str], prefix: str = "PR_SPLIT_") -> PlanOptions:
+def options_from(values: dict[str, str], prefix: str = "WEFTLINE_") -> PlanOptions:
     """Options from names and texts such as an environment; unknown names are ignored."""
     kinds = {"max_loc": int, "min_loc": int, "exact_units": int, "max_refinement_iterations": int, "priority": str, "chunk_strategy": str, "partition_strategy": str, "provider": str}
     flags = ("strict_loc_bounds", "stacked", "draft")
