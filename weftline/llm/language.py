@@ -37,15 +37,16 @@ def script(word: str) -> str | None:
 def _grams(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each byte of a word the cell of the three bytes around it, white space outside, and the
     word's first place in that list."""
-    pad = np.full(len(b) + 2, 32, np.int64)
+    pad = np.full(len(b) + 2, 32, np.uint32)
     pad[1:-1] = hashing._LOWER[b]
     pad[1:-1][np.isin(b, (9, 10, 11, 12, 13))] = 32
     size = ends - starts
     first = np.cumsum(size) - size
-    at = np.arange(int(size.sum())) - np.repeat(first - starts, size)
-    left = np.where(at == np.repeat(starts, size), 32, pad[at])
-    right = np.where(at == np.repeat(ends, size) - 1, 32, pad[at + 2])
-    return ((left * 0x3779B9 + pad[at + 1] * 0x85EBCB + right * 0x2C1B3D) >> 5) % GRAMS, first
+    at = np.arange(int(size.sum()), dtype=np.int32) - np.repeat((first - starts).astype(np.int32), size)
+    left, right = pad[at], pad[at + 2]
+    left[first], right[first + size - 1] = 32, 32
+    sum_ = left * np.uint32(0x3779B9) + pad[at + 1] * np.uint32(0x85EBCB) + right * np.uint32(0x2C1B3D)
+    return ((sum_ >> np.uint32(5)) % np.uint32(GRAMS)).astype(np.int32), first
 
 
 class Model:
@@ -135,7 +136,7 @@ def train(labelled: DataFrame, lang_col: str, text_col: str, docs_per_lang: int,
                     continue
                 at, _ = _grams(part, starts, ends)
                 lang = np.repeat(np.repeat(of[lo:hi], np.diff(first)), ends - starts)
-                cells += np.bincount(lang * GRAMS + at, minlength=cells.size).reshape(cells.shape)
+                cells += np.bincount(lang * GRAMS + at, minlength=cells.size).reshape(cells.shape)  # lang is 64 bits wide
                 far, letter = (np.concatenate([[0], np.cumsum(x[part])]) for x in (_FAR, _LETTER))
                 word = np.repeat(of[lo:hi], np.diff(first))
                 plain = (far[ends] == far[starts]) & (letter[ends] > letter[starts])
@@ -176,7 +177,7 @@ def label(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = F
         for batch in batches:
             b, bounds = hashing.text_bytes(batch.column(text_at))
             pred, score, parts = [], [], []
-            for lo, hi in hashing.chunks(bounds, 4 * hashing.CHUNK):
+            for lo, hi in hashing.chunks(bounds):
                 part, own = b[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo]
                 starts, ends, first = hashing.words(part, own)
                 points, lettered = m.scores(part, starts, ends)
