@@ -106,7 +106,7 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sorted_ = dealt.sortWithinPartitions(order[0], order[1], F.col("norm"), *order[2:]).select("id", "norm", "sha")
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", kind), T.StructField("keep", kind), T.StructField("size", T.LongType()), T.StructField("lead", T.BooleanType()), T.StructField("sha", T.BinaryType()), T.StructField("pid", T.IntegerType()), T.StructField("edge", T.IntegerType())])
-    runs = common.store(sorted_.mapInArrow(_runs, schema), "runs")
+    runs = common.store(sorted_.mapInArrow(common.lean(_runs), schema), "runs")
     edges = runs.filter("edge > 0").groupBy("pid", "edge").agg(F.min("sha").alias("sha"), F.first("keep").alias("keep"), F.count("*").alias("n")).collect()
     fixes = _stitched(edges)
     if fixes:

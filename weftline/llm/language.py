@@ -150,7 +150,7 @@ def train(labelled: DataFrame, lang_col: str, text_col: str, docs_per_lang: int,
         n = [*cells[lang, at].tolist(), *scripts.values()]
         yield pa.RecordBatch.from_arrays([pa.array([*lang.tolist(), *[k for k, _ in scripts]], pa.int32()), pa.array([*at.tolist(), *[-1] * len(scripts)], pa.int32()), pa.array([*[None] * len(lang), *[s for _, s in scripts]], pa.string()), pa.array(n, pa.int64())], ["lang", "cell", "script", "n"])
 
-    found = rows.mapInArrow(count, "lang int, cell int, script string, n long").groupBy("lang", "cell", "script").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.mapInArrow(common.lean(count), "lang int, cell int, script string, n long").groupBy("lang", "cell", "script").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros((GRAMS, len(langs)))
     grams = found[found["cell"] >= 0]
     table[grams["cell"].to_numpy(), grams["lang"].to_numpy()] = grams["n"].to_numpy()
@@ -206,7 +206,7 @@ def label(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = F
     if spans:
         span = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("words", T.IntegerType()), T.StructField("lang", T.StringType())])
         schema = schema.add("_spans", T.ArrayType(span))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(common.lean(run), schema)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:

@@ -61,7 +61,7 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
             flat = pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * COORDS), flat)], ["id", "n_shingles", "digest", "sig"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n_shingles long, digest binary, sig array<int>")
+    return docs.select("id", "text").mapInArrow(common.lean(run), "id long, n_shingles long, digest binary, sig array<int>")
 
 
 def _same(x: str, y: str) -> Column:
@@ -77,7 +77,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), n)], pa.binary())], ["id", "hashes"])
 
     wanted = common.store(wanted.distinct(), "wanted")
-    return common.store(common.with_keys(docs, wanted, "id").select("id", "text").mapInArrow(make, "id long, hashes binary"), "sets", large=True)
+    return common.store(common.with_keys(docs, wanted, "id").select("id", "text").mapInArrow(common.lean(make), "id long, hashes binary"), "sets", large=True)
 
 
 def _confirmed(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -104,7 +104,7 @@ def _confirmed(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, n: int, perce
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     full = pairs.join(sets.withColumnsRenamed({"id": "a", "hashes": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "hashes": "y"}), "b")
-    return common.store(full.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "confirmed", large=True)
+    return common.store(full.select("a", "b", "x", "y").mapInArrow(common.lean(compare), "a long, b long"), "confirmed", large=True)
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:

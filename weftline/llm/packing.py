@@ -147,7 +147,7 @@ def token_pieces(docs: DataFrame, path: str, end: int, capacity: int, id_col: st
 
     common.small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, _PIECES.format(kind=kind))
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(common.lean(run), _PIECES.format(kind=kind))
 
 
 def pack(docs: DataFrame, path: str, end: int, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

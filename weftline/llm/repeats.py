@@ -118,7 +118,7 @@ def _postings(docs: DataFrame, unit: Unit) -> DataFrame:
                 n = np.minimum(2, np.diff(np.append(place, len(h))))
                 yield pa.RecordBatch.from_arrays([pa.array(h[place].view(np.int64)), pa.array(key[lo:hi][of[place]]), pa.array(n.astype(np.int32))], ["gram", "key", "n"])
 
-    return docs.select("text", "key").mapInArrow(run, "gram long, key long, n int")
+    return docs.select("text", "key").mapInArrow(common.lean(run), "gram long, key long, n int")
 
 
 _PIECE = "shard long, salt int, salts int, key long, id long, start long, grams boolean, piece binary"
@@ -186,7 +186,7 @@ def _pieces(docs: DataFrame, unit: Unit, grams: bool) -> DataFrame:
         if out:
             yield batch_of(out)
 
-    return docs.select("text", "key", "order", "routes").mapInArrow(run, _PIECE)
+    return docs.select("text", "key", "order", "routes").mapInArrow(common.lean(run), _PIECE)
 
 
 #: What a shard's task says: units [lo, hi) of a document go; or, where a and b are set, that in one of
@@ -218,7 +218,7 @@ def routed(docs: DataFrame, unit: Unit, task: Callable[[pa.Table], pa.Table], gr
 def spans_by_document(keyed: DataFrame, found: DataFrame, run: Callable, schema: str) -> DataFrame:
     """Joins the spans to remove to their documents. run: batches of id, text, spans to result rows."""
     spans = found.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    return keyed.join(spans, "key", "left").select("id", "text", "spans").mapInArrow(run, schema)
+    return keyed.join(spans, "key", "left").select("id", "text", "spans").mapInArrow(common.lean(run), schema)
 
 
 def removed(spans, n: int) -> np.ndarray:

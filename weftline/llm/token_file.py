@@ -109,7 +109,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end: int, id_col: str
         if held:
             yield flush()
 
-    return common.store(rows.mapInArrow(run, "pid long, turn long, docs long, ids long, start long"), "files")
+    return common.store(rows.mapInArrow(common.lean(run), "pid long, turn long, docs long, ids long, start long"), "files")
 
 
 def read_tokens(spark: SparkSession, folder: str, files: DataFrame, id_name: str = "doc_id", with_ids: bool = False) -> DataFrame:
@@ -141,4 +141,4 @@ def read_tokens(spark: SparkSession, folder: str, files: DataFrame, id_name: str
                 for k in range(0, whole.num_rows, 10_000):
                     yield whole.slice(k, 10_000)
 
-    return found.mapInArrow(run, f"{id_name} long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return found.mapInArrow(common.lean(run), f"{id_name} long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
