@@ -125,6 +125,38 @@ def test_nearest(spark):
     assert ann.neighbours(vectors.filter("vec_id in (1, 2)"), vectors.filter("vec_id = 1")).count() == 1
 
 
+def test_nearest_with_repeated_rows(spark):
+    r = np.random.default_rng(12)
+    x = r.standard_normal((40, 6))
+    x[1] = x[0] + 0.01
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1, x[1].tolist())] * 30 + [(0, x[0].tolist())] * 30
+    rows += [(1, (x[1] + e).tolist()) for e in r.standard_normal((30, 6)) * 1e-3]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    near = {}
+    for i, v in rows:
+        if i:
+            near[i] = max(near.get(i, -9), float(x[0] @ v / np.linalg.norm(x[0]) / np.linalg.norm(v)))
+    want = sorted(near, key=lambda i: -near[i])[:5]
+    found = sorted(ann.neighbours(vectors, vectors.filter("vec_id = 0"), leaf=200).collect(), key=lambda f: f["rank"])
+    assert [f["vec_id"] for f in found] == want and [f["score"] for f in found] == pytest.approx([near[i] for i in want])
+
+
+def test_recall_is_fitted_without_the_own_rows():
+    r = np.random.default_rng(13)
+    x = r.standard_normal((300, 16))
+    again = np.repeat(np.arange(300), 6)
+    copies = x[again] + r.standard_normal((1800, 16)) * 1e-9
+    forest, probes = ann.fit(copies, again, 5, 4, 32, 0.95)
+    unit = copies / np.linalg.norm(copies, axis=1, keepdims=True)
+    homes, hits = forest.route(unit), 0
+    for i, leaves in zip(range(0, 1800, 18), forest.search(unit[::18], probes), strict=True):
+        near = unit @ unit[i]
+        near[again == again[i]] = -2
+        best = set(again[np.argsort(-near)[:30]].tolist())
+        hits += len(best & set(again[np.isin(homes, leaves).any(1)].tolist()))
+    assert hits >= 0.9 * 500
+
+
 @pytest.mark.parametrize("load", [20_000, 5])
 def test_phrases(docs, texts, none, load):
     got = table(phrase_dedup.remove_repeated(docs, load=load, with_text=True))

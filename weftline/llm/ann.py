@@ -78,17 +78,25 @@ class Forest:
             yield found
 
 
-def fit(vectors: np.ndarray, k: int, trees: int, leaf: int, recall: float, tries: int = 200) -> tuple[Forest, int]:
+def _by_id(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows by id, and where in it each id starts."""
+    order = np.argsort(ids, kind="stable")
+    return order, np.flatnonzero(np.append(True, np.diff(ids[order]) != 0)[: len(ids)])
+
+
+def fit(vectors: np.ndarray, ids: np.ndarray, k: int, trees: int, leaf: int, recall: float, tries: int = 200) -> tuple[Forest, int]:
     """A forest and the number of leaves that a query looks into: the least, by steps of a quarter, that
-    reaches the recall on the sample itself."""
+    reaches the recall on the sample itself. Ids are counted, each by its nearest vector, but for the
+    query's own."""
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     forest = Forest(unit, trees, leaf)
-    if len(unit) <= k + 1:
+    order, first = _by_id(ids)
+    if len(first) <= k + 1:
         return forest, forest.leaves
     rows = np.random.default_rng(9).choice(len(unit), min(tries, len(unit)), replace=False)
     near = unit[rows] @ unit.T
-    near[np.arange(len(rows)), rows] = -2
-    best = np.partition(near, -k, axis=1)[:, -k]
+    near[ids[rows][:, None] == ids] = -2
+    best = np.partition(np.maximum.reduceat(near[:, order], first, axis=1), -k, axis=1)[:, -k]
     homes = forest.route(unit)
     probes = trees
     while probes < forest.leaves:
@@ -96,8 +104,8 @@ def fit(vectors: np.ndarray, k: int, trees: int, leaf: int, recall: float, tries
         for i, leaves in enumerate(forest.search(unit[rows], probes)):
             seen = np.isin(homes, leaves).any(1)
             true = near[i] >= best[i]
-            got += min(k, int((seen & true).sum()))
-            total += min(k, int(true.sum()))
+            got += min(k, len(np.unique(ids[seen & true])))
+            total += min(k, len(np.unique(ids[true])))
         if got >= recall * total:
             break
         probes += max(1, probes // 4)
@@ -116,7 +124,7 @@ def _matrix(col, width: int) -> np.ndarray:
 
 
 def _best(left: pa.Table, right: pa.Table, k: int, width: int) -> pa.Table:
-    """The k best of one block of rows for each query of one block."""
+    """The k best ids of one block of rows for each query of one block, each id by its nearest vector."""
     names = ["query_id", "vec_id", "score"]
     if not left.num_rows or not right.num_rows:
         return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
@@ -124,9 +132,16 @@ def _best(left: pa.Table, right: pa.Table, k: int, width: int) -> pa.Table:
     q, v = _matrix(left["vector"], width), _matrix(right["vector"], width)
     near = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
     near[qid[:, None] == vid] = -2
-    least = np.partition(near, -min(k, len(vid)), axis=1)[:, -min(k, len(vid))] if len(vid) else None
+    by_id, first = _by_id(vid)
+    top = np.maximum.reduceat(near[:, by_id], first, axis=1) if len(first) < len(vid) else near
+    least = np.partition(top, -min(k, len(first)), axis=1)[:, -min(k, len(first))]
     row, col = np.nonzero((near >= least[:, None] - 1e-9) & (near > -1.5))
     score = np.concatenate([cosine(q[row[a : a + 20000]], v[col[a : a + 20000]]) for a in range(0, len(row), 20000)]) if len(row) else np.zeros(0)
+    if len(first) < len(vid):
+        order = np.lexsort((-score, vid[col], row))
+        row, col, score = row[order], col[order], score[order]
+        once = np.append(True, (np.diff(row) != 0) | (np.diff(vid[col]) != 0))[: len(row)]
+        row, col, score = row[once], col[once], score[once]
     order = np.lexsort((vid[col], -score, row))
     row, col, score = row[order], col[order], score[order]
     rank = np.arange(len(row)) - np.searchsorted(row, row)
@@ -145,7 +160,8 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int =
     both, so equal vectors, however many, never meet in one task. Results of blocks are merged by query.
 
     Vectors that are null, zero, or hold null or non-finite numbers take no part, nor do those of
-    another length than most. Ties go to the smaller id; a vector repeated under one id counts once.
+    another length than most. Ties go to the smaller id; a vector repeated under one id counts once, and
+    of different vectors under one id the nearest counts.
     Fewer candidates than k give fewer rows; empty tables give none; other columns are ignored.
     """
     spark = vectors.sparkSession
@@ -155,17 +171,17 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int =
         v = F.col(vector_col).cast("array<double>")
         rows = df.select(F.col(id_col).cast("long").alias(name), v.alias("vector")).filter(f"vector is not null and {name} is not null")
         fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-        return rows.filter(fine & F.exists("vector", lambda x: x != 0))
+        return rows.filter(fine & F.exists("vector", lambda x: x != 0)).distinct()
 
-    rows, asked = usable(vectors, "vec_id"), usable(queries, "query_id")
+    rows, asked = common.store(usable(vectors, "vec_id"), "vectors"), usable(queries, "query_id")
     widths = rows.groupBy(F.size("vector").alias("width")).count().orderBy(F.desc("count"), "width").first()
     out = "query_id long, rank int, vec_id long, score double"
     if widths is None:
         return spark.createDataFrame([], out)
     width = widths["width"]
     rows, asked = rows.filter(F.size("vector") == width), asked.filter(F.size("vector") == width)
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
-    forest, probes = fit(np.array(picked["vector"].tolist(), np.float64).reshape(-1, width), k, trees, leaf, recall)
+    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(sample).toPandas()
+    forest, probes = fit(np.array(picked["vector"].tolist(), np.float64).reshape(-1, width), picked["vec_id"].to_numpy(), k, trees, leaf, recall)
     shared = spark.sparkContext.broadcast(forest)
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
