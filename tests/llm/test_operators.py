@@ -278,6 +278,42 @@ def test_pieces_are_what_the_library_says(name):
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_are_one_id(name, tmp_path):
+    import pyarrow as pa
+    from tokenizers import AddedToken, Tokenizer
+
+    more = Tokenizer.from_file(queries.vocabulary(name))
+    more.add_tokens([AddedToken("Total Sum", normalized=True), AddedToken("xyzé", normalized=False), AddedToken("end", single_word=True, lstrip=True, normalized=False)])
+    more.save(str(tmp_path / "more.json"))
+    for path in (queries.vocabulary(name), str(tmp_path / "more.json")):
+        library, tok, r = Tokenizer.from_file(path), PieceTokenizer(path), random.Random(10)
+        parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "a", " b", "  ", "\n", "it's", "total \n sum", "Total Sum", "xyzé", "XYZÉ", " end", "ends", "é", "中", "7"]
+        texts = ["".join(r.choices(parts, k=r.randint(0, 8))) for _ in range(1500)] + ["a <|endoftext|> b", None, ""]
+        for some in (texts, texts[5:], texts[-3:-2]):
+            ids, counts = tok.encode(pa.array(some))
+            want = [e.ids for e in library.encode_batch([t or "" for t in some], add_special_tokens=False)]
+            assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+    assert library.token_to_id("<|endoftext|>") in tok.encode(pa.array(["a <|endoftext|> b"]))[0]
+
+
+def test_token_files_and_packing_keep_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    said = [(1, "a <|endoftext|> b"), (2, "c"), (3, "<|startoftext|>x<|endoftext|>"), (4, "<|endoftext|>")]
+    d = spark.createDataFrame(said, "doc_id long, text string")
+    for name, end in (("byte_bpe_50k.json", 0), ("word_bpe_49k.json", 1)):
+        path = queries.vocabulary(name)
+        library, at = Tokenizer.from_file(path), 0
+        folder = common.new_path(spark, "ids-added")
+        read, packed = table(token_file.read_tokens(spark, folder, token_file.write_tokens(d, folder, path, end=end), with_ids=True)), table(packing.pack(d, path, end=end))
+        for i, t in said:
+            ids = [*library.encode(t, add_special_tokens=False).ids, end]
+            assert (read[i]["start"], read[i]["n_tokens"], read[i]["ids"]) == (at, len(ids), ids)
+            assert (packed[i]["length"], packed[i]["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+            at += len(ids)
+
+
 def test_coder_round_trip():
     r = np.random.default_rng(4)
     for n, block in ((0, 16), (1, 16), (16, 16), (17, 16), (3000, 300), (2000, 4096)):

@@ -4,15 +4,19 @@ A byte-pair tokenizer first cuts a text into pieces and then codes each piece by
 is one of the two rules below, it is made here for a whole batch at once, equal pieces are found by
 dictionary encoding, and the library codes each distinct piece once. Texts with characters for which
 the rules below aren't plain (anything but ASCII and Latin letters with marks) go to the library whole,
-and so does everything if the vocabulary file states another rule. The ids are the same either way.
+as do those that may hold an added token of the vocabulary file (special or not, such as <|endoftext|>),
+which stands for one id wherever it is, and everything if the file states another rule. The ids are the
+same either way.
 """
 
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _OTHER, _LETTER, _DIGIT, _SPACE = 0, 1, 2, 3
 _CLASS = np.zeros(256, np.uint8)
@@ -34,10 +38,10 @@ class PieceTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         with open(path, encoding="utf-8") as f:
             self.rule = self._rule(json.load(f))
+        self.added = self._added()
         self._forget()
 
     @staticmethod
@@ -51,6 +55,14 @@ class PieceTokenizer:
             return "word"
         return "whole"
 
+    def _added(self) -> str | None:
+        """A pattern that is in every plain text with an added token; it may be in others, too. Tokens are
+        looked for as they are and as the normalizer makes them, whatever case and white space."""
+        said = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        norm = self.tokenizer.normalizer
+        said |= {norm.normalize_str(t) for t in said} if norm else set()
+        return "|".join(r"[\s\x0b]+".join(map(re.escape, t.split())) for t in sorted(said)) if said else None
+
     def _forget(self) -> None:
         self.place: dict[bytes, int] = {}
         self.ids = np.zeros(0, np.uint32)
@@ -135,7 +147,11 @@ class PieceTokenizer:
             for x, y in _ODD_PAIRS:
                 lead = np.flatnonzero(b[:-1] == x)
                 odd = np.append(odd, lead[b[lead + 1] == y])
-        hard = np.unique(np.searchsorted(bounds, odd, "right") - 1)
+        hard = np.searchsorted(bounds, odd, "right") - 1
+        if self.added is not None:
+            held = pc.match_substring_regex(texts, self.added, ignore_case=True)
+            hard = np.append(hard, np.flatnonzero(held.to_numpy(zero_copy_only=False)))
+        hard = np.unique(hard)
         if not len(hard):
             return self._plain(b, bounds)
         parts: list[np.ndarray] = []
