@@ -96,6 +96,24 @@ def test_exact_refuses_many_units():
         Units(["a"] * 11, [1] * 11, [], options()).exact()
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_subsets_against_all_partitions(seed):
+    u = random_units(seed + 100)
+    u.locs, u.files = u.locs[:7], u.files[:7]
+    groups = u.by_subsets()
+    assert u.cost(groups) == u.cost(u.exact()) and sorted(x for g in groups for x in g) == list(range(len(u.locs)))
+    assert [g[0] for g in groups] == sorted(g[0] for g in groups) and all(g == sorted(g) for g in groups)
+
+
+def test_subsets_take_what_the_search_refuses():
+    r = random.Random(4)
+    edges = [(a, b, r.randint(1, 60)) for a in range(11) for b in range(a + 1, 11) if r.random() < 0.5]
+    u = Units([f"f{k % 4}" for k in range(11)], [r.randint(1, 30) for _ in range(11)], edges, options(max_loc=50, min_loc=10, exact_units=11))
+    assert u.cost(u.by_subsets()) == u.cost(u.exact())
+    with pytest.raises(O.PlanError, match="solver"):
+        Units(["a"] * 19, [1] * 19, [], options()).by_subsets()
+
+
 def test_graph_fixtures():
     line = Graph({"a": [], "b": ["a"], "c": ["b"]})
     assert line.order() == ["a", "b", "c"] and line.ancestors("c") == {"a", "b"} and line.descendants("a") == {"b", "c"}

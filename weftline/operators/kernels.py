@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,6 +68,10 @@ def best_chunks(files: list[Any], tokens: list[int], budget: int) -> tuple[float
 # ---- groups of units ----------------------------------------------------------------------------
 
 
+#: Units of a change that are split exactly by sums over subsets: seconds and some MB at most.
+SUBSET_UNITS = 18
+
+
 class Units:
     """Units of a change in order of position, with the affinity of each pair that has any."""
 
@@ -205,6 +210,48 @@ class Units:
         place(0, 0)
         return best[1] or []
 
+    def by_subsets(self) -> list[list[int]]:
+        """The cheapest partition, too, by the cheapest split of every subset: the group of its last unit
+        and the cheapest split of the rest, so 3 ** n steps in arrays of 2 ** n. Groups come in order of
+        their first unit; of equal splits that with the smallest group of the last unit as a bit mask."""
+        o, n = self.options, len(self.locs)
+        if n > SUBSET_UNITS:
+            raise O.PlanError(f"exact partitioning of {n} units needs a solver package; sums over subsets take {SUBSET_UNITS}")
+        per_group, cross, divisor = O.EXACT_WEIGHTS[o.priority]
+        load, group = np.zeros(1 << n, np.int64), np.zeros(1 << n, np.int64)
+        for i in range(n):
+            pairs = np.zeros(1, np.int64)
+            for j in range(i):
+                pairs = np.concatenate([pairs, pairs + self._pair(i, j, cross, divisor)])
+            load[1 << i : 2 << i] = load[: 1 << i] + self.locs[i]
+            group[1 << i : 2 << i] = group[: 1 << i] + pairs
+        group += per_group + O.EXACT_OVERFLOW * np.maximum(0, load - o.max_loc)
+        if o.min_loc is not None:
+            group += O.EXACT_UNDERFLOW * np.maximum(0, o.min_loc - load)
+
+        def subsets(mask: int) -> np.ndarray:
+            out = np.zeros(1, np.int64)
+            for i in range(n):
+                if mask >> i & 1:
+                    out = np.concatenate([out, out + (1 << i)])
+            return out
+
+        best = np.full(1 << n, np.iinfo(np.int64).max)
+        best[0] = 0
+        for i in range(n):
+            top = best[1 << i : 2 << i]
+            for u in range(1 << i):  # the last unit with u, the others split at best
+                rest = subsets(((1 << i) - 1) ^ u)
+                top[rest | u] = np.minimum(top[rest | u], group[1 << i | u] + best[rest])
+        out, left = [], (1 << n) - 1
+        while left:
+            last = left.bit_length() - 1
+            mine = subsets(left ^ (1 << last))
+            own = int(mine[np.argmin(group[mine | 1 << last] + best[left ^ (1 << last) ^ mine])]) | 1 << last
+            out.append([i for i in range(n) if own >> i & 1])
+            left ^= own
+        return sorted(out)
+
 
 # ---- graphs -------------------------------------------------------------------------------------
 

@@ -32,8 +32,10 @@ def affinity_pairs(units: DataFrame, priority: str | Priority) -> DataFrame:
     return pairs.select("change_id", "a", "b", paths.affinity(x, y, priority).alias("score")).filter("score > 0")
 
 
-def group_units(units: DataFrame, options: PlanOptions) -> DataFrame:
-    """change_id, position, group_ord: greedy groups with repair, or the exact ones."""
+def group_units(units: DataFrame, options: PlanOptions, undecided: bool = False) -> DataFrame:
+    """change_id, position, group_ord: greedy groups with repair, or the exact ones: by search up to
+    options.exact_units, then by sums over subsets up to kernels.SUBSET_UNITS. A larger change raises
+    PlanError, or with `undecided` its units come without a group_ord."""
     near = affinity_pairs(units, options.priority).groupBy("change_id").agg(F.collect_list(F.struct("a", "b", "score")).alias("edges"))
     rows = units.join(near, "change_id", "left").select("change_id", "position", F.col("file_path").cast("string").alias("file_path"), "loc", F.when(F.col("position") == 0, F.col("edges")).alias("edges"))
 
@@ -42,7 +44,15 @@ def group_units(units: DataFrame, options: PlanOptions) -> DataFrame:
         at = {p: i for i, p in enumerate(place)}
         edges = [(at[e["a"]], at[e["b"]], e["score"]) for r in rows for e in r["edges"] or []]
         work = kernels.Units([r["file_path"] for r in rows], [r["loc"] for r in rows], edges, options)
-        groups = work.repair(work.grow()) if options.partition_strategy == PartitionStrategy.GRAPH else work.exact()
+        if options.partition_strategy == PartitionStrategy.GRAPH:
+            groups = work.repair(work.grow())
+        elif len(rows) <= options.exact_units:
+            groups = work.exact()
+        elif undecided and len(rows) > kernels.SUBSET_UNITS:
+            yield from ((p, None) for p in place)
+            return
+        else:
+            groups = work.by_subsets()
         for ord_, g in enumerate(groups):
             for i in g:
                 yield place[i], ord_

@@ -130,9 +130,8 @@ def order_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order as a change: its line items by supplier, six directories at most, as units."""
-    d = F.col("l_suppkey") % 6
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("change_id"), d.alias("d")).agg(F.sum(F.col("l_quantity").cast("long")).alias("loc"))
-    order = W.Window.partitionBy("change_id").orderBy("d")
+    """An order as a change: each of its line items a unit, in a file by supplier."""
+    rows = table(spark, sf_dir, "lineitem").withColumns({"change_id": F.col("l_orderkey"), "d": F.col("l_suppkey") % 6, "loc": F.col("l_quantity").cast("long")})
+    order = W.Window.partitionBy("change_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "loc")
     path = F.concat(F.lit("m"), F.floor(F.col("d") / 2).cast("string"), F.lit("/f"), F.col("d").cast("string"), F.lit(".py"))
     return rows.select("change_id", (F.row_number().over(order) - 1).alias("position"), path.alias("file_path"), "loc")
