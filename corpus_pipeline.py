@@ -26,8 +26,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in the shares of the curriculum, a row for each copy, in ranges of training position."""
-    return mixing.mixed_documents(docs)
+    """Sources in the shares of the curriculum, a row for each copy, in ranges of training position. Texts
+    stay whole, so a source may exceed its share by less than one document."""
+    return mixing.mixed_documents(docs, whole_texts=True)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -93,6 +93,16 @@ def test_mixing(spark, docs, texts, none):
     assert sum(len(words(r["text"])) for r in mixed.collect()) == sum(taken.values())
 
 
+def test_mixing_stage_keeps_texts_whole(spark, docs, texts):
+    import corpus_pipeline
+
+    text, size = dict(texts), {r["doc_id"]: r["taken"] for r in mixing.mix(docs).filter("size(copies) > 0").collect()}
+    mixed = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    assert mixed and all(r["text"] == text[r["doc_id"]] for r in mixed) and {r["doc_id"] for r in mixed} == set(size)
+    assert all(r["n_chars"] == len(r["text"]) for r in mixed)
+    assert sum(len(words(r["text"])) for r in mixed) > sum(size.values())
+
+
 def test_schedule_is_inverted(spark):
     knots = [(0.0, 1.0), (0.5, 3.0), (1.0, 3.0)]
     whole = mixing.integral(knots)

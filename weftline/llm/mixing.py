@@ -100,9 +100,10 @@ def mix(docs: DataFrame, schedules=CURRICULUM, share: Fraction = Fraction(3, 2),
     return out.repartitionByRange(common.partitions(spark), *order).sortWithinPartitions(*order).drop("key")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix as a corpus: a row of docs for each copy taken, in ranges of training position; the one
-    document of a source that the target cuts keeps its first words. Rows repeated under one id are
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", whole_texts: bool = False, **options) -> DataFrame:
+    """The mix as a corpus: a row of docs for each copy taken, in ranges of training position. The one
+    document of a source that the target cuts keeps its first words, or with `whole_texts` all of its
+    text, so that a source's target is exceeded by less than that document. Rows repeated under one id are
     told apart by their size; of equal rows each stands for itself."""
     columns = docs.columns
     plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
@@ -116,7 +117,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = rows.join(plan, same)
     words = F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     part = F.array_join(F.slice(words, F.lit(1), F.col("_at.copies").cast("int")), " ")
-    whole = F.col("_at.copies") == F.col("_rsize")
+    whole = F.lit(True) if whole_texts else F.col("_at.copies") == F.col("_rsize")
     text = F.when(whole, F.col(text_col)).otherwise(part)
     order = [F.col("_at.positions"), F.md5(F.coalesce(F.col("_rid").cast("string"), F.lit("")))]
     out = joined.withColumn(text_col, text)
