@@ -2,8 +2,9 @@
 
 A byte-pair tokenizer first cuts a text into pieces and then codes each piece by itself. Where the cut
 is one of the two rules below, it is made here for a whole batch at once, equal pieces are found by
-dictionary encoding, and the library codes each distinct piece once. Texts with characters for which
-the rules below aren't plain (anything but ASCII and Latin letters with marks) go to the library whole,
+dictionary encoding, and the library's model codes each distinct piece once. Pieces met often are
+remembered in Arrow arrays of bounded size.
+Texts with characters for which the rules below aren't plain (anything but ASCII and Latin letters with marks) go to the library whole,
 as do those that may hold an added token of the vocabulary file (special or not, such as <|endoftext|>),
 which stands for one id wherever it is, and everything if the file states another rule. The ids are the
 same either way.
@@ -29,8 +30,10 @@ _ODD[[*range(9), *range(14, 32), 127, 0xC0, 0xC1, 0xC2, *range(0xC6, 256)]] = Tr
 _ODD_PAIRS = ((0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0), (0xC5, 0x89))
 #: The cutting rule of the second kind of file.
 _WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Distinct pieces that are remembered; beyond, memory starts anew.
-CACHE = 800_000
+#: Distinct pieces that are remembered; beyond, the half that was met in most batches stays.
+CACHE = 1 << 18
+#: The byte-level alphabet: printable Latin-1 characters stand for their bytes, characters from 256 on for the other bytes, in order.
+_ALPHABET = {c: 256 + k for k, c in enumerate(c for c in range(256) if not (33 <= c <= 126 or 161 <= c <= 255 and c != 173))}
 
 
 class PieceTokenizer:
@@ -64,7 +67,8 @@ class PieceTokenizer:
         return "|".join(r"[\s\x0b]+".join(map(re.escape, t.split())) for t in sorted(said)) if said else None
 
     def _forget(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.known = pa.array([], pa.binary())
+        self.used = np.zeros(0, np.int64)  # batches in which each known piece was met, halved at each cut
         self.ids = np.zeros(0, np.uint32)
         self.ends = np.zeros(1, np.int64)
 
@@ -102,17 +106,46 @@ class PieceTokenizer:
             start[after[after < n]] = True
         return np.flatnonzero(start)
 
-    def _known(self, pieces: list[bytes]) -> np.ndarray:
-        if len(self.place) + len(pieces) > CACHE:
-            self._forget()
-        new = [p for p in pieces if p not in self.place]
-        if new:
-            coded = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-            got = [e.ids for e in coded]
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+    def _coded(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of single pieces, by the model of the library behind its cutting rule."""
+        tokenize, lower = self.tokenizer.model.tokenize, self.rule == "word"
+        out = []
+        for p in pieces:
+            if lower:
+                p = p.lower() if p.isascii() else p.decode().lower().encode()
+            text = p.decode("latin-1")
+            if not (text.isascii() and text.isprintable()):
+                text = text.translate(_ALPHABET)
+            elif not lower:
+                text = text.replace(" ", "\u0120")
+            out.append([t.id for t in tokenize(text)])
+        return out
+
+    def _keep_common(self) -> None:
+        stay = np.sort(np.lexsort((np.arange(len(self.used)), self.used))[-(CACHE // 2) :])
+        count = np.diff(self.ends)[stay]
+        ends = np.cumsum(count)
+        self.ids = self.ids[np.repeat(self.ends[stay] - (ends - count), count) + np.arange(int(count.sum()))]
+        self.ends = np.concatenate([[0], ends])
+        self.known, self.used = self.known.take(pa.array(stay)), self.used[stay] // 2
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Where the ids of distinct pieces are, after new ones were coded."""
+        if len(self.known) > CACHE:
+            self._keep_common()
+        found = pc.index_in(pieces, value_set=self.known)
+        at = found.fill_null(-1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        self.used[at[at >= 0]] += 1
+        if len(new):
+            fresh = pieces.take(pa.array(new))
+            got = self._coded(fresh.to_pylist())
+            at[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known = pa.concat_arrays([self.known, fresh])
+            self.used = np.append(self.used, np.zeros(len(new), np.int64))
             self.ids = np.concatenate([self.ids, np.array([i for x in got for i in x], np.uint32)])
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in got])])
-        return np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+        return at
 
     def _plain(self, b: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids and their number in each of the texts between bounds."""
@@ -125,7 +158,7 @@ class PieceTokenizer:
             keep = _CLASS[b[start]] != _SPACE
             pieces, start = pieces.filter(pa.array(keep)), start[keep]
         coded = pieces.dictionary_encode()
-        at = self._known(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        at = self._places(coded.dictionary)[coded.indices.to_numpy()]
         count = self.ends[at + 1] - self.ends[at]
         ends = np.cumsum(count)
         total = int(ends[-1]) if len(ends) else 0
