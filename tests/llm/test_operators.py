@@ -202,6 +202,62 @@ def test_suffixes(docs, texts, none, load):
         assert suffix_dedup.remove_repeated_bytes(none).count() == 0
 
 
+@pytest.mark.parametrize("letters", [phrase_dedup.LETTERS, 3])
+def test_automata_locate_every_occurrence(letters, monkeypatch):
+    monkeypatch.setattr(phrase_dedup, "LETTERS", letters)
+    monkeypatch.setattr(phrase_dedup, "PASSAGES", 2)
+    r = np.random.default_rng(15)
+    codes, bounds = r.integers(0, 4, 200).astype(np.uint64), np.array([0, 60, 60, 63, 200])
+    passages = np.array([120, 0, 10, 70, 100])
+    anchors = np.array([1 + min(codes[k : k + 4]) if any(a <= k and k + 4 <= z for a, z in zip(bounds, bounds[1:], strict=False)) else 0 for k in range(197)], np.uint64)
+    wanted = {tuple(codes[p : p + 4]) for p in passages}
+    at = [k for a, z in zip(bounds, bounds[1:], strict=False) for k in range(a, z - 3) if tuple(codes[k : k + 4]) in wanted]
+    assert phrase_dedup.occurrences(codes, anchors, passages, 4).tolist() == at
+    assert not len(phrase_dedup.occurrences(codes, anchors, passages[:0], 4))
+
+
+def test_phrases_go_by_the_automata_alone(spark, monkeypatch):
+    import pyarrow as pa
+
+    unit = repeats.Unit(5, 2, True, 100)
+    text = b"a b c d e f g"
+    table = pa.table({"cell": [1, 1], "salt": pa.array([0, 0], pa.int32()), "salts": pa.array([1, 1], pa.int32()), "key": [7, 8], "id": [1, 2], "start": [0, 4], "piece": [text, b"x " + text]})
+    assert sorted(zip(*[c.to_pylist() for c in phrase_dedup._automata(unit)(table).columns[:4]], strict=True)) == [(7, 1, 0, 7), (8, 2, 5, 12)]
+    monkeypatch.setattr(phrase_dedup, "compiled", lambda passages, make=phrase_dedup.compiled: make([p[:1] * 99 for p in passages]))
+    assert phrase_dedup._automata(unit)(table).num_rows == 0
+
+
+@pytest.mark.parametrize("load", [20_000, 5])
+def test_different_texts_under_one_id(spark, load):
+    r = random.Random(16)
+    body = " ".join("".join(r.choices("abcdef", k=5)) for _ in range(60))
+    rows = [(1, body), (1, "x " + body), (1, body[40:]), (2, body), (2, body), (None, body)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = {(x["doc_id"], x["text"]): x["k"] for x in d.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k")).collect()}
+    got = Counter((x["doc_id"], x["n_bytes"], x["n_removed"]) for x in suffix_dedup.remove_repeated_bytes(d, load=load).collect())
+    want, seen = Counter(), set()
+    for i, t in sorted(set(rows), key=lambda x: (x[0] is None, x[0], keys[x])):
+        out, new = np.zeros(len(t), bool), set()
+        for k in range(len(t) - 99):
+            if t[k : k + 100] in seen | new:
+                out[k : k + 100] = True
+            new.add(t[k : k + 100])
+        seen |= new
+        want[i, len(t), int(out.sum())] += rows.count((i, t))
+    assert got == want
+    assert all(x["n_removed"] == x["n_words"] for x in phrase_dedup.remove_repeated(d, load=load).filter("n_words = 60").collect())
+
+
+def test_many_repeated_rows_stay_linear(spark):
+    text = " ".join(f"w{k}" for k in range(80))
+    d = spark.createDataFrame([(1, text)] * 300 + [(2, "y " + text)], "doc_id long, text string")
+    unit = repeats.Unit(35, 6, True, 100)
+    keyed, found = repeats.routed(d, unit, phrase_dedup._automata(unit), "doc_id", "text")
+    assert found.filter("n = 0").count() <= 20
+    assert {(x["doc_id"], x["n_removed"]) for x in phrase_dedup.remove_repeated(d).collect()} == {(1, 80), (2, 80)}
+    assert {(x["doc_id"], x["n_removed"]) for x in suffix_dedup.remove_repeated_bytes(d).collect()} == {(1, 0), (2, len(text))}
+
+
 def test_repeated_rows_and_null_ids(spark):
     long_ = " ".join(f"w{k}" for k in range(50))
     d = spark.createDataFrame([(1, long_), (1, long_), (None, long_), (2, None)], "doc_id long, text string")
@@ -215,7 +271,9 @@ def test_repeated_rows_and_null_ids(spark):
     assert exact_dedup.drop_copies(d).count() == 2
 
 
-def test_family_of_suffix_arrays():
+@pytest.mark.parametrize("block", [1 << 15, 3])
+def test_family_of_suffix_arrays(block, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
     r = np.random.default_rng(3)
     family, seen = suffix_dedup.Family(4), set()
     for _ in range(30):
@@ -226,8 +284,19 @@ def test_family_of_suffix_arrays():
             want.append(bytes(b[k : k + 4]) in seen)
             seen.add(bytes(b[k : k + 4]))
         assert family.add(b, at).tolist() == want
-        assert all(len(x) >= 2 * len(y) for x, y in zip(family.levels, family.levels[1:], strict=False))
-    assert sum(map(len, family.levels)) == len(seen)
+        assert all(len(x.places) >= 2 * len(y.places) for x, y in zip(family.levels, family.levels[1:], strict=False))
+    for level in family.levels:
+        strings = level.strings(0, len(level.places), 4).tolist()
+        assert strings == sorted(set(strings)) and len(level.places) == len(strings)
+    assert sum(len(x.places) for x in family.levels) == len(seen)
+
+
+def test_ranks_are_those_of_sorted_runs():
+    r = np.random.default_rng(14)
+    for units, n in ((r.integers(0, 3, 300).astype(np.uint8), 100), (r.integers(0, 2, 200).astype(np.uint8), 5), (r.integers(0, 3, 200).astype(np.uint64), 35), (np.zeros(9, np.uint8), 9), (np.zeros(8, np.uint8), 9)):
+        runs = [bytes(units[k : k + n].astype(np.uint8)) for k in range(len(units) - n + 1)]
+        place = {x: k for k, x in enumerate(sorted(set(runs)))}
+        assert repeats.ranks(units, n).tolist() == [place[x] for x in runs]
 
 
 def test_anchors_are_in_every_window():

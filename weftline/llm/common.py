@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import sys
 import tempfile
@@ -24,38 +25,76 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset
-    (tests on one machine) a temporary folder of this process."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset on one
+    machine, as in tests, a temporary folder of this process. On a cluster it has to be set."""
     said = spark.conf.get("spark.checkpoint.dir", None)
     if said:
         return said.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="weftline-")
     return f"file://{_own['dir']}"
 
 
+def run_dir(spark: SparkSession) -> str:
+    """Where this application's tables are, apart from those of others."""
+    return f"{shared_dir(spark)}/weftline/{spark.sparkContext.applicationId}"
+
+
+def free(columns: list[str], *names: str) -> list[str]:
+    """Names like the given ones that no column has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def tag(docs: DataFrame) -> Column:
+    """128 bits for a row, from all its columns but maps: rows with equal tags are interchangeable."""
+    cols = [F.col(f"`{f.name}`") for f in docs.schema.fields if not f.dataType.simpleString().startswith("map")]
+    return F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit(1), *cols).alias("b"))
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/weftline/{label}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, label: str, large: bool = False) -> DataFrame:
-    """Writes df into the shared folder and reads it back: lineage ends there, and a lost executor
-    costs the reading of a file. The table stays until drop_stored() or the folder's owner removes it.
-    After a large step the driver's JVM is asked to collect garbage, as only then Spark deletes the
-    shuffle files of what has been written."""
+#: Session options while a table is written: small Arrow batches, so that Python workers stay small whatever
+#: texts come; runtime Bloom filters from 64 MB of input on, not from 10 GB.
+_WRITING = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "64m"}
+
+
+@contextlib.contextmanager
+def _options(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def store(df: DataFrame, label: str) -> DataFrame:
+    """Writes df into the shared folder and reads it back: lineage ends there, and a lost executor costs
+    the reading of a file. The table stays until drop_stored() or the folder's owner removes it."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
-    if large:
-        spark.sparkContext._jvm.System.gc()
+    with _options(spark, _WRITING):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_stored(spark: SparkSession) -> None:
-    """Removes every table that store() wrote below the shared folder. Call it when results that
-    depend on them have been saved."""
+    """Removes every table that this application's store() wrote. Call it when results that depend on
+    them have been saved."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/weftline")
+    path = jvm.org.apache.hadoop.fs.Path(run_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -64,27 +103,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
-    """Bounds what an Arrow batch may hold, so that Python workers stay small whatever texts come."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
-
-
 def with_keys(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
-    """The rows whose key is among the stored, distinct keys. Where Spark shuffles both sides it first
-    builds a Bloom filter of the keys and drops most other rows, with their texts, at the scan; it does so
-    only if the keys come through a comparison, so there is one that always holds, and it asks for 10 GB
-    of input unless told otherwise."""
-    rows.sparkSession.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "64m")
+    """The rows whose key is among the stored, distinct keys; for a table that store() writes. Where Spark
+    shuffles both sides and the keys are few it first builds a Bloom filter of them and drops most other
+    rows, with their texts, at the scan; it does so only if the keys come through a comparison, so there
+    is one that always holds."""
     return rows.join(keys.filter(F.col(name) >= F.lit(-(1 << 63))), name)
 
 
-def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """Gives what a task has freed back to the system at its end: workers are kept for later tasks, and
-    what they hold on to counts beside those."""
+def lean(run: Callable[[Iterator], Iterator], rows: int = 1000) -> Callable[[Iterator], Iterator]:
+    """run over batches of so many rows at most, whatever the session's batches are. At the end of a task
+    what it has freed is given back to the system: workers are kept for later tasks, and what they hold on
+    to counts beside those."""
 
     def wrapped(batches: Iterator) -> Iterator:
-        yield from run(batches)
+        yield from run(b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows))
         pa.default_memory_pool().release_unused()
         if sys.platform == "linux":
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # absent outside glibc

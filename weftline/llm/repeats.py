@@ -3,10 +3,11 @@
 A window is a fixed number of units (words or bytes) of one document. Of the short runs of units
 ("grams") in a window the one with the smallest hash is its anchor, so equal windows have equal anchors
 at equal places, and only a few hundredths of all grams are anchors. A gram that is an anchor once in
-the whole corpus proves its windows unique. All others get a home, the smallest document key among
-their holders, and a shard by their home; documents send the neighbourhoods of such anchors to those
-shards. Every occurrence of a window that may repeat is then in one shard. A shard that many documents
-need is dealt over several tasks, whose undecided windows are settled by their 128-bit hashes.
+the whole corpus proves its windows unique. Every other gram gets a cell, and documents send the runs of
+windows whose anchors have one cell, as pieces of text, to that cell's task: all windows with one anchor
+meet there. Grams whose first holder is the same share a cell, so neighbours mostly stay in one piece; a
+cell that would be too large is dealt again by gram. Only a gram that by itself is too much for one task
+is dealt by document, over several tasks, whose undecided windows are settled by their 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ class Unit:
     window: int
     gram: int
     words: bool  # else bytes
-    #: Anchors whose neighbourhoods one task takes, about.
+    #: Anchors whose windows one task takes, about.
     load: int
 
 
@@ -68,11 +69,8 @@ class Texts:
 
     def whole(self, n: int) -> np.ndarray:
         """Whether the n units from each place on are of one text, as far as a run of n exists."""
-        out = np.zeros(max(0, len(self.units) - n + 1), bool)
-        for a, z in zip(self.first[:-1].tolist(), self.first[1:].tolist(), strict=True):
-            if z - a >= n:
-                out[a : z - n + 1] = True
-        return out
+        end = np.repeat(self.first[1:], np.diff(self.first))[: max(0, len(self.units) - n + 1)]
+        return np.arange(len(end)) + n <= end
 
     def window_anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """The hash of each window's anchor, 0 where no window fits, and the hashes of all grams."""
@@ -94,8 +92,49 @@ class Texts:
         return at, hashes[at]
 
 
+def _in_order(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The stable order of keys of so many bits. Values sort faster than places do, so where both fit into
+    64 bits they are sorted as one number."""
+    wide = np.uint64(max(1, len(keys) - 1).bit_length())
+    if bits + int(wide) > 64:
+        return np.argsort(keys, kind="stable")
+    packed = (keys << wide) | np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    return (packed & ((np.uint64(1) << wide) - np.uint64(1))).view(np.int64)
+
+
+def ordered(ranks: np.ndarray) -> np.ndarray:
+    """The stable order of dense ranks."""
+    return _in_order(ranks, int(ranks.max(initial=0)).bit_length())
+
+
+def ranks(units: np.ndarray, n: int) -> np.ndarray:
+    """The rank of each n consecutive units among all such runs, in order of their units, by doubling:
+    equal runs, and only those, have equal ranks. Units are unsigned; for bytes the first step takes five."""
+
+    def dense(keys: np.ndarray, bits: int) -> np.ndarray:
+        order = _in_order(keys, bits)
+        keys = keys[order]
+        out = np.empty(len(keys), np.uint64)
+        out[order] = np.cumsum(np.append(False, keys[1:] != keys[:-1]))
+        return out
+
+    if len(units) < n:
+        return np.zeros(0, np.uint64)
+    size = 5 if units.dtype == np.uint8 and n >= 5 else 1
+    keys = units.astype(np.uint64)
+    for k in range(1, size):
+        keys = (keys[:-1] << np.uint64(8)) | units[k:]
+    at = dense(keys, int(keys.max()).bit_length())
+    while size < n:
+        step, wide = min(size, n - size), int(at.max()).bit_length()
+        at = dense((at[:-step] << np.uint64(wide)) | at[step:], 2 * wide)
+        size += step
+    return at
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text and a key for (id, text): equal rows have one key, and equal results."""
+    """id, text, a key for (id, text) and the id's place in order: equal rows have one key, and equal results."""
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("order"))
 
 
@@ -121,54 +160,29 @@ def _postings(docs: DataFrame, unit: Unit) -> DataFrame:
     return docs.select("text", "key").mapInArrow(common.lean(run), "gram long, key long, n int")
 
 
-_PIECE = "shard long, salt int, salts int, key long, id long, start long, grams boolean, piece binary"
+_PIECE = "cell long, salt int, salts int, key long, id long, start long, piece binary"
 
 
-def _pieces(docs: DataFrame, unit: Unit, grams: bool) -> DataFrame:
-    """For each shard of each document the windows whose anchor has its home there, neighbours in one
-    piece; or, with `grams`, the neighbourhoods of such anchors and, once for each task of the shard, the
-    grams whose home the document is."""
+def _pieces(docs: DataFrame, unit: Unit) -> DataFrame:
+    """For each cell of each document the windows whose anchor has that cell, neighbours in one piece."""
 
     def batch_of(out: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["shard", "salt", "salts", "key", "id", "start", "grams", "piece"])
-
-    def known(h: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which hashes are wanted, and where they stand among those."""
-        order = np.argsort(want)
-        place = order[np.minimum(np.searchsorted(want[order], h), len(want) - 1)]
-        found = want[place] == h
-        return found, place
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["cell", "salt", "salts", "key", "id", "start", "piece"])
 
     def pieces_of(texts: Texts, route: pa.StructArray, key: int, order: int) -> Iterator[tuple]:
-        want = route.field("gram").to_numpy().view(np.uint64)
-        shard, salts = route.field("shard").to_numpy(), route.field("salts").to_numpy()
-        if not grams:  # all windows whose anchor is wanted, each in the one shard of its anchor
-            least, _ = texts.window_anchors()
-            found, place = known(least, want)
-            home = np.where(found, shard[place], -1)
-            cut = np.flatnonzero(np.diff(home)) + 1
-            for a, z in zip(np.append(0, cut).tolist(), np.append(cut, len(home)).tolist(), strict=True):
-                if z > a and home[a] >= 0:
-                    n = int(salts[place[a]])
-                    yield int(home[a]), key % n, n, key, order, a, False, texts.slice(a, z - 1 + unit.window)
-            return
-        at, h = texts.anchors()
-        own = np.asarray(route.field("own"))
-        found, place = known(h, want)
-        at, row = at[found], place[found]
-        for s in np.unique(shard).tolist():
-            mine = shard[row] == s
-            p, r, n = at[mine], row[mine], int(salts[shard == s][0])
-            lo, hi = np.maximum(0, p + unit.gram - unit.window), np.minimum(len(texts.units), p + unit.window)
-            gap = np.flatnonzero(lo[1:] > hi[:-1])  # anchors come in order, so both ends rise
-            for a, z in zip(lo[np.append(0, gap + 1)].tolist(), hi[np.append(gap, len(hi) - 1)].tolist(), strict=True):
-                yield s, key % n, n, key, order, a, False, texts.slice(a, z)
-            if own[r].any():
-                _, first = np.unique(r[own[r]], return_index=True)
-                text = b" ".join(texts.slice(x, x + unit.gram) for x in p[own[r]][first].tolist())
-                for t in range(n):
-                    yield s, t, n, key, order, 0, True, text
+        want, cell, salts = route.field("gram").to_numpy().view(np.uint64), route.field("cell").to_numpy(), route.field("salts").to_numpy()
+        by_hash = np.argsort(want)
+        want, cell, salts = want[by_hash], cell[by_hash], salts[by_hash]
+        _, kind = np.unique(cell, return_inverse=True)
+        least, _ = texts.window_anchors()
+        place = np.minimum(np.searchsorted(want, least), len(want) - 1)
+        home = np.where(want[place] == least, kind[place], -1)
+        cut = np.flatnonzero(np.diff(home)) + 1
+        for a, z in zip(np.append(0, cut).tolist(), np.append(cut, len(home)).tolist(), strict=True):
+            if z > a and home[a] >= 0:
+                n = int(salts[place[a]])
+                yield int(cell[place[a]]), key % n, n, key, order, a, texts.slice(a, z - 1 + unit.window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size = [], 0
@@ -189,8 +203,45 @@ def _pieces(docs: DataFrame, unit: Unit, grams: bool) -> DataFrame:
     return docs.select("text", "key", "order", "routes").mapInArrow(common.lean(run), _PIECE)
 
 
-#: What a shard's task says: units [lo, hi) of a document go; or, where a and b are set, that in one of
-#: several tasks of a shard the window at lo with this hash is still undecided, n: its occurrences there.
+class Pieces:
+    """What one task of a cell has: its pieces in order of document and place, each text once. distinct:
+    the texts as Texts of bytes, in order of first appearance; code: the text of each row; times: how
+    often each text is there, rows repeated counted; rows repeated under one key and place are one row."""
+
+    def __init__(self, table: pa.Table):
+        table = table.sort_by([("id", "ascending"), ("key", "ascending"), ("start", "ascending")])
+        self.key, self.id, self.start = (table[c].to_numpy() for c in ("key", "id", "start"))
+        self.salted = bool(table.num_rows) and table["salts"][0].as_py() > 1
+        pieces = pa.concat_arrays(table["piece"].chunks) if table["piece"].num_chunks else pa.array([], pa.binary())
+        coded = pieces.dictionary_encode()
+        code = coded.indices.to_numpy().astype(np.int64)
+        self.times = np.bincount(code, minlength=len(coded.dictionary))
+        new = np.ones(len(code), bool)
+        new[1:] = (self.key[1:] != self.key[:-1]) | (self.start[1:] != self.start[:-1]) | (self.id[1:] != self.id[:-1])
+        self.key, self.id, self.start, self.code = self.key[new], self.id[new], self.start[new], code[new]
+        self.b, self.bounds = hashing.text_bytes(coded.dictionary)
+        self.first = np.zeros(len(self.times), np.int64)  # the first row of each text
+        self.first[self.code[::-1]] = np.arange(len(self.code))[::-1]
+
+    def rows_of(self, text: np.ndarray, lo: np.ndarray, hi: np.ndarray, rows: np.ndarray | None = None) -> tuple:
+        """Spans inside texts, as rows of FOUND for each of the given rows (all, if none are) that has the text."""
+        rows = np.arange(len(self.code)) if rows is None else rows
+        many = np.bincount(text, minlength=len(self.times))
+        begin = np.cumsum(many) - many
+        count = many[self.code[rows]]
+        at = np.repeat(begin[self.code[rows]] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        rows = np.repeat(rows, count)
+        zero = np.zeros(len(rows), np.int64)
+        return self.key[rows], self.id[rows], self.start[rows] + lo[at], self.start[rows] + hi[at], zero, zero, zero
+
+    def undecided(self, text: np.ndarray, place: np.ndarray, window: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple:
+        """Windows at places of texts, as rows of FOUND for the first row of their text."""
+        row = self.first[text]
+        return self.key[row], self.id[row], self.start[row] + place, self.start[row] + place + window, a.view(np.int64), b.view(np.int64), n.astype(np.int64)
+
+
+#: What a cell's task says: units [lo, hi) of a document go; or, where a and b are set, that in one of
+#: several tasks of a cell the window at lo with this hash is still undecided, n: its occurrences there.
 FOUND = "key long, id long, lo long, hi long, a long, b long, n int"
 
 
@@ -200,44 +251,49 @@ def found_table(rows: list[tuple]) -> pa.Table:
     return pa.table([*[pa.array(c, pa.int64()) for c in flat[:4]], pa.array(flat[4], pa.int64(), mask=hidden), pa.array(flat[5], pa.int64(), mask=hidden), pa.array(flat[6].astype(np.int32), pa.int32())], ["key", "id", "lo", "hi", "a", "b", "n"])
 
 
-def routed(docs: DataFrame, unit: Unit, task: Callable[[pa.Table], pa.Table], grams: bool, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(keyed documents, what the shards' tasks found)."""
-    common.small_batches(docs.sparkSession)
+def routed(docs: DataFrame, unit: Unit, task: Callable[[pa.Table], pa.Table], id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(keyed documents, what the cells' tasks found)."""
+    spark = docs.sparkSession
     keyed = _keyed(docs, id_col, text_col)
-    posted = common.store(_postings(keyed, unit), "anchors", large=True)
-    homes = posted.groupBy("gram").agg(F.min("key").alias("home"), F.sum("n").alias("n")).filter("n > 1").select("gram", "home")
-    again = common.store(posted.select("gram", "key").join(homes, "gram"), "recurring", large=True)
-    shards = max(4 * common.partitions(docs.sparkSession), again.count() // unit.load)
-    again = again.select("key", "gram", F.pmod("home", F.lit(shards)).alias("shard"), (F.col("home") == F.col("key")).alias("own"))
-    loads = again.groupBy("shard").agg(F.greatest(F.lit(1), F.round(F.count("*") / (2 * unit.load))).cast("int").alias("salts"))
-    routes = again.join(loads, "shard").groupBy("key").agg(F.collect_list(F.struct("gram", "shard", "salts", "own")).alias("routes"))
-    pieces = _pieces(keyed.join(routes, "key"), unit, grams)
-    return keyed, common.store(pieces.groupBy("shard", "salt").applyInArrow(task, FOUND), "found", large=True)
-
-
-def spans_by_document(keyed: DataFrame, found: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """Joins the spans to remove to their documents. run: batches of id, text, spans to result rows."""
-    spans = found.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    return keyed.join(spans, "key", "left").select("id", "text", "spans").mapInArrow(common.lean(run), schema)
+    posted = common.store(_postings(keyed, unit), "anchors")
+    grams = common.store(posted.groupBy("gram").agg(F.min("key").alias("home"), F.sum("n").alias("n")).filter("n > 1"), "grams")
+    shards = max(4 * common.partitions(spark), (grams.agg(F.sum("n")).first()[0] or 0) // unit.load)
+    hot = F.col("n") > unit.load
+    grams = grams.withColumn("shard", F.when(hot, F.lit(-1)).otherwise(F.pmod("home", F.lit(shards))))
+    large = grams.filter(~hot).groupBy("shard").agg(F.sum("n").alias("all")).filter(F.col("all") > 2 * unit.load).select("shard", F.ceil(F.col("all") / unit.load).alias("parts"))
+    part = F.when(hot, F.xxhash64("gram")).otherwise(F.coalesce(F.pmod(F.xxhash64("gram"), F.col("parts")), F.lit(0)))
+    salts = F.when(hot, F.ceil(F.col("n") / unit.load)).otherwise(1).cast("int")
+    cells = grams.join(large, "shard", "left").select("gram", F.xxhash64("shard", part).alias("cell"), salts.alias("salts"))
+    routes = posted.select("gram", "key").join(cells, "gram").groupBy("key").agg(F.collect_set(F.struct("gram", "cell", "salts")).alias("routes"))
+    routes = common.store(routes, "routes")
+    near = common.with_keys(keyed, common.store(routes.select("key"), "keys"), "key")
+    pieces = _pieces(near.join(routes, "key"), unit)
+    return keyed, common.store(pieces.groupBy("cell", "salt").applyInArrow(task, FOUND), "found")
+
+
+def by_document(keyed: DataFrame, found: DataFrame, run: Callable, schema: str, untouched: DataFrame) -> DataFrame:
+    """A row for each document. Those with spans to remove are joined to them, as id, text, spans, and go
+    through run; for all others untouched has the row, with key and order, so that no text is moved."""
+    spans = common.store(found.groupBy("key", F.col("id").alias("order")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    keys = common.store(spans.select("key").distinct(), "keys")
+    cut = common.with_keys(keyed, keys, "key").join(spans, ["key", "order"]).select("id", "text", "spans").mapInArrow(common.lean(run), schema)
+    cut = common.store(cut, "cut")
+    return cut.union(untouched.join(spans.select("key", "order"), ["key", "order"], "left_anti").drop("key", "order"))
 
 
 def removed(spans, n: int) -> np.ndarray:
-    """Which of n units the spans of one document cover; spans: a scalar list of lo, hi or null."""
+    """Which of n units the spans of one document cover; spans: a scalar list of lo, hi."""
     out = np.zeros(n + 1, np.int32)
-    if spans.is_valid:
-        np.add.at(out, spans.values.field("lo").to_numpy(), 1)
-        np.add.at(out, spans.values.field("hi").to_numpy(), -1)
+    np.add.at(out, spans.values.field("lo").to_numpy(), 1)
+    np.add.at(out, spans.values.field("hi").to_numpy(), -1)
     return np.cumsum(out)[:n] > 0
 
 
-def merged(key: np.ndarray, doc_id: np.ndarray, at: np.ndarray, window: int) -> tuple:
-    """Windows at the given places, as rows of FOUND with neighbours put together. Places come in
-    order within each piece."""
+def merged(text: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows at places of texts, in order, as (text, lo, hi) with neighbours put together."""
     if not len(at):
-        return tuple(np.zeros(0, np.int64) for _ in range(7))
+        return at, at, at
     new = np.ones(len(at), bool)
-    new[1:] = (key[1:] != key[:-1]) | (at[1:] > at[:-1] + window) | (at[1:] < at[:-1])
+    new[1:] = (text[1:] != text[:-1]) | (at[1:] > at[:-1] + window)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at)) - 1
-    zero = np.zeros(len(first), np.int64)
-    return key[first], doc_id[first], at[first], at[last] + window, zero, zero, zero
+    return text[first], at[first], at[np.append(first[1:], len(at)) - 1] + window
