@@ -54,9 +54,10 @@ def source_targets(sizes: DataFrame, weights: list[float], share: Fraction, cap:
     return marked.select("source", "place", "weight", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, schedules=CURRICULUM, share: Fraction = Fraction(3, 2), cap: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, schedules=CURRICULUM, share: Fraction = Fraction(3, 2), cap: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tag: Column | None = None) -> DataFrame:
     """Training positions for the documents of all sources: id_col, size, source_size, target, taken,
-    position, positions (one for each copy, from 0 to 1), copies (words of each copy), source.
+    position, positions (one for each copy, from 0 to 1), copies (words of each copy), source, tag (what
+    the caller wants to know rows by).
 
     Sources by code point, null last, take the schedules in turn; a schedule's integral is the source's
     weight. Its documents stand in the order of md5(id); pass k over them covers the words from
@@ -72,13 +73,13 @@ def mix(docs: DataFrame, schedules=CURRICULUM, share: Fraction = Fraction(3, 2),
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(common.WORD)), F.lit(0)).cast("long")
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    sized = common.store(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key")), "sized").withColumn("part", F.substring("key", 1, 3))
+    sized = common.store(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"), (F.lit(None).cast("int") if tag is None else tag).alias("tag")), "sized").withColumn("part", F.substring("key", 1, 3))
     parts = sized.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     sources = source_targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")), [integral(s) for s in schedules], share, cap)
     before = W.Window.partitionBy("source").orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)
     parts = parts.withColumn("part_before", F.coalesce(F.sum("part_size").over(before), F.lit(0))).drop("part_size")
     parts = parts.join(sources, parts["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    inner = W.Window.partitionBy("source", "part").orderBy("key", "id", "size").rowsBetween(W.Window.unboundedPreceding, -1)
+    inner = W.Window.partitionBy("source", "part").orderBy("key", "id", "size", "tag").rowsBetween(W.Window.unboundedPreceding, -1)
     laid = sized.withColumn("ahead", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     laid = laid.join(parts, laid["source"].eqNullSafe(parts["source"]) & (laid["part"] == parts["part"])).drop(parts["source"], parts["part"])
     laid = laid.withColumn("ahead", F.col("ahead") + F.col("part_before"))
@@ -95,7 +96,7 @@ def mix(docs: DataFrame, schedules=CURRICULUM, share: Fraction = Fraction(3, 2),
         times.append(F.when((F.size("copies") > k) & (F.col("target") > 0), F.round(at, 9)))
     laid = laid.withColumn("positions", F.filter(F.array(*times), lambda t: t.isNotNull()))
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, n: a + n)
-    out = laid.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), F.get("positions", F.lit(0)).alias("position"), "positions", "copies", "source", "key")
+    out = laid.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), F.get("positions", F.lit(0)).alias("position"), "positions", "copies", "source", "tag", "key")
     order = [F.col("position").asc_nulls_last(), F.col("key")]
     return out.repartitionByRange(common.partitions(spark), *order).sortWithinPartitions(*order).drop("key")
 
@@ -103,24 +104,28 @@ def mix(docs: DataFrame, schedules=CURRICULUM, share: Fraction = Fraction(3, 2),
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", whole_texts: bool = False, **options) -> DataFrame:
     """The mix as a corpus: a row of docs for each copy taken, in ranges of training position. The one
     document of a source that the target cuts keeps its first words, or with `whole_texts` all of its
-    text, so that a source's target is exceeded by less than that document. Rows repeated under one id are
-    told apart by their size; of equal rows each stands for itself."""
+    text, so that a source's target is exceeded by less than that document. Rows are told apart by all
+    their columns, so reruns agree; of equal rows each stands for itself. Null and empty texts, which have
+    no words, are never taken; an empty table gives no rows; other columns are kept, whatever their names."""
     columns = docs.columns
-    plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    plan = plan.filter("taken > 0").select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.col("source").alias("_source"), F.posexplode(F.arrays_zip("positions", "copies")).alias("_copy", "_at"))
-    turn = W.Window.partitionBy("_id", "_size", "_source", "_copy").orderBy("_at.positions")
-    plan = plan.withColumn("_turn", F.row_number().over(turn))
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(common.WORD)), F.lit(0)).cast("long")
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(id_col).alias("_rid"), size.alias("_rsize"), F.col(source_col).alias("_rsource"))
-    rows = rows.withColumn("_rturn", F.row_number().over(W.Window.partitionBy("_rid", "_rsize", "_rsource").orderBy(F.lit(1))))
-    same = F.col("_rid").eqNullSafe(F.col("_id")) & (F.col("_rsize") == F.col("_size")) & F.col("_rsource").eqNullSafe(F.col("_source")) & (F.col("_rturn") == F.col("_turn"))
-    joined = rows.join(plan, same)
+    a_, b_, at_, text_ = common.free(columns, "a", "b", "at", "text_taken")
+    tag = common.tag(docs)
+    plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, tag=tag, **options).filter("taken > 0")
+    plan = plan.select(F.col("tag.a").alias(a_), F.col("tag.b").alias(b_), F.posexplode(F.arrays_zip("positions", "copies", F.array_repeat("size", F.size("copies")).alias("sizes"))).alias("copy", at_))
+    plan = common.store(plan, "plan")
+    repeated = plan.filter("copy = 0").groupBy(a_, b_).count().filter("count > 1")
+    rows = docs.withColumns({a_: tag["a"], b_: tag["b"]})
+    if not repeated.isEmpty():  # of equal rows one stands for all, as their copies have one tag
+        rows = rows.dropDuplicates([a_, b_])
+    rows = rows.join(plan.drop("copy"), [a_, b_])
+    taken = F.col(at_)
     words = F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    part = F.array_join(F.slice(words, F.lit(1), F.col("_at.copies").cast("int")), " ")
-    whole = F.lit(True) if whole_texts else F.col("_at.copies") == F.col("_rsize")
-    text = F.when(whole, F.col(text_col)).otherwise(part)
-    order = [F.col("_at.positions"), F.md5(F.coalesce(F.col("_rid").cast("string"), F.lit("")))]
-    out = joined.withColumn(text_col, text)
+    part = F.array_join(F.slice(words, F.lit(1), taken["copies"].cast("int")), " ")
+    whole = F.lit(True) if whole_texts else taken["copies"] == taken["sizes"]
+    order = [taken["positions"], F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.col(a_)]
+    out = rows.withColumn(text_, F.when(whole, F.col(text_col)).otherwise(part))
+    out = out.repartitionByRange(common.partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    changed = {text_col: F.col(text_)}
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length(text_col).cast("long")))
-    return out.repartitionByRange(common.partitions(docs.sparkSession), *order).sortWithinPartitions(*order).select(*[F.col(f"`{c}`") for c in columns])
+        changed["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length(text_).cast("long"))
+    return out.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in columns])
