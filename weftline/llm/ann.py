@@ -165,15 +165,17 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int =
     Fewer candidates than k give fewer rows; empty tables give none; other columns are ignored.
     """
     spark = vectors.sparkSession
-    common.small_batches(spark, rows=2000)
 
     def usable(df: DataFrame, name: str) -> DataFrame:
-        v = F.col(vector_col).cast("array<double>")
+        v = F.col(vector_col)
+        v = v if df.schema[vector_col].dataType.simpleString() == "array<float>" else v.cast("array<double>")
         rows = df.select(F.col(id_col).cast("long").alias(name), v.alias("vector")).filter(f"vector is not null and {name} is not null")
         fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         return rows.filter(fine & F.exists("vector", lambda x: x != 0)).distinct()
 
     rows, asked = common.store(usable(vectors, "vec_id"), "vectors"), usable(queries, "query_id")
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    kind = "array<float>" if single else "array<double>"
     widths = rows.groupBy(F.size("vector").alias("width")).count().orderBy(F.desc("count"), "width").first()
     out = "query_id long, rank int, vec_id long, score double"
     if widths is None:
@@ -198,12 +200,21 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int =
             leaves = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)), pa.array([i for f in found for i in f], pa.int64()))
             yield pa.RecordBatch.from_arrays([leaves, *batch.columns], ["leaves", "query_id", "vector"])
 
-    placed = common.store(rows.mapInArrow(homes, "leaf long, vec_id long, vector array<double>"), "leaves")
-    going = common.store(asked.mapInArrow(visits, "leaves array<long>, query_id long, vector array<double>"), "visits")
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(shared.value.leaves, np.int64)
+        for batch in batches:
+            x = _matrix(batch.column(1), width)
+            seen += np.bincount(shared.value.route(x / np.linalg.norm(x, axis=1, keepdims=True)).ravel(), minlength=len(seen))
+        used = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[used])], ["leaf", "n"])
+
+    placed = rows.mapInArrow(homes, f"leaf long, vec_id long, vector {kind}")
+    going = common.store(asked.mapInArrow(visits, f"leaves array<long>, query_id long, vector {asked.schema['vector'].dataType.simpleString()}"), "visits")
     going = going.withColumn("leaf", F.explode("leaves")).drop("leaves")
 
     def blocks(df: DataFrame) -> dict[int, int]:
-        return {r["leaf"]: -(-r["count"] // block) for r in df.groupBy("leaf").count().collect() if r["count"] > block}  # by leaf, of which the sample bounds the number
+        """By leaf, of which the sample bounds the number."""
+        return {r["leaf"]: -(-r["n"] // block) for r in df.groupBy("leaf").agg(F.sum("n").alias("n")).collect() if r["n"] > block}
 
     def spread(df: DataFrame, own: dict[int, int], other: dict[int, int], mine: str, theirs: str, key: str) -> DataFrame:
         def many(cuts: dict[int, int]):
@@ -215,7 +226,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int =
         df = df.withColumn(mine, F.pmod(F.xxhash64(key), many(own)).cast("int"))
         return df.withColumn(theirs, F.explode(F.sequence(F.lit(0), many(other) - 1)))
 
-    by_row, by_query = blocks(placed), blocks(going)
+    by_row, by_query = blocks(rows.mapInArrow(tally, "leaf long, n long")), blocks(going.select("leaf", F.lit(1).alias("n")))
     right = spread(placed, by_row, by_query, "r", "q", "vec_id").groupBy("leaf", "r", "q")
     left = spread(going, by_query, by_row, "q", "r", "query_id").groupBy("leaf", "r", "q")
     found = left.cogroup(right).applyInArrow(lambda a, b: _best(a, b, k, width), "query_id long, vec_id long, score double")

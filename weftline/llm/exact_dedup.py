@@ -97,7 +97,6 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    common.small_batches(spark)
     text = common.text_or_empty(text_col)
     keyed = docs.select(F.col(id_col).alias("id"), F.length(text).alias("n"), F.encode(F.translate(text, common.SPACES, ""), "utf-8").alias("norm"))
     keyed = keyed.withColumns({"head": F.substring("norm", 1, 64), "sha": F.unhex(F.sha2("norm", 256))})
@@ -117,10 +116,13 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that content_sort keeps, with all their columns."""
+    """The rows of docs that content_sort keeps, with all their columns, whatever their names. Null and
+    empty texts are one group, of which one row stays; of rows repeated one stays; of the texts of a group
+    under one id the longest; an empty table gives no rows."""
+    id_, sha_, turn_ = common.free(docs.columns, "id", "sha", "turn")
     text = common.text_or_empty(text_col)
-    kept = content_sort(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.sha2(F.translate(text, common.SPACES, ""), 256).alias("_sha"), F.col(id_col).alias("_id"))
-    joined = rows.alias("r").join(kept.alias("k"), F.col("r._id").eqNullSafe(F.col("k._id")) & (F.col("r._sha") == F.col("k._sha")), "left_semi")
-    turn = W.Window.partitionBy("_id", "_sha").orderBy(F.length(text).desc())
-    return joined.withColumn("_turn", F.row_number().over(turn)).filter("_turn = 1").drop("_turn", "_sha", "_id")
+    kept = content_sort(docs, id_col, text_col).filter("kept").select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias(id_), F.col("text_sha256").alias(sha_))
+    rows = docs.withColumns({id_: F.coalesce(F.col(id_col).cast("string"), F.lit("")), sha_: F.sha2(F.translate(text, common.SPACES, ""), 256)})
+    # The join and the window go by the same two columns, so texts move once.
+    turn = W.Window.partitionBy(id_, sha_).orderBy(F.length(text).desc(), text, common.tag(docs))
+    return rows.join(kept, [id_, sha_], "left_semi").withColumn(turn_, F.row_number().over(turn)).filter(F.col(turn_) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -109,24 +109,42 @@ class Model:
         return label
 
 
-def train(labelled: DataFrame, lang_col: str, text_col: str, docs_per_lang: int, penalty: float) -> Model:
+def threshold(docs_per_lang: int, size: int) -> int:
+    """Below which a 62-bit hash of a document of a language with so many documents must be."""
+    return (1 << 62) if size <= docs_per_lang else docs_per_lang * (1 << 62) // size
+
+
+def train(labelled: DataFrame, docs_per_lang: int, penalty: float) -> Model:
     """Counts of cells by language over about docs_per_lang documents of each, picked by the hash of
-    their text; smaller languages in full. The driver receives a row for each language and used cell."""
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("lang is not null")
+    text and id; smaller languages in full. labelled: lang, text, id. The driver receives a row for each
+    language and used cell."""
+    rows = labelled.select("lang", F.coalesce("text", F.lit("")).alias("text"), "id")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         raise ValueError("no document has a language to learn")
     langs = sorted(sizes)
     if len(langs) > 1000:
         raise ValueError("more than 1000 languages")
-    share = F.create_map(*[F.lit(x) for n in langs for x in (n, int(min(1.0, docs_per_lang / sizes[n]) * 1_000_000))])
-    rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")])
+    share = F.create_map(*[F.lit(x) for n in langs for x in (n, threshold(docs_per_lang, sizes[n]))])
+    rows = rows.filter(F.xxhash64("text", "id").bitwiseAND((1 << 62) - 1) < share[F.col("lang")]).select("lang", "text")
     place = {n: i for i, n in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros((len(langs), GRAMS), np.int64)
+        cells: dict[int, np.ndarray] = {}
         scripts: dict[tuple[int, str], int] = {}
+
+        def found() -> pa.RecordBatch:
+            used = {k: np.flatnonzero(x) for k, x in cells.items()}
+            lang = [np.full(len(at), k) for k, at in used.items()] + [np.array([k for k, _ in scripts], np.int64)]
+            cell = [*used.values(), np.full(len(scripts), -1)]
+            n = [x[used[k]] for k, x in cells.items()] + [np.array([*scripts.values()], np.int64)]
+            kind = [None] * sum(map(len, used.values())) + [s for _, s in scripts]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(lang), pa.int32()), pa.array(np.concatenate(cell), pa.int32()), pa.array(kind, pa.string()), pa.array(np.concatenate(n), pa.int64())], ["lang", "cell", "script", "n"])
+
         for batch in batches:
+            if len(cells) > 64:  # with many languages, counts so far go on
+                yield found()
+                cells, scripts = {}, {}
             of = np.array([place[x] for x in batch.column(0).to_pylist()], np.int64)
             b, bounds = hashing.text_bytes(batch.column(1))
             for lo, hi in hashing.chunks(bounds):
@@ -136,7 +154,8 @@ def train(labelled: DataFrame, lang_col: str, text_col: str, docs_per_lang: int,
                     continue
                 at, _ = _grams(part, starts, ends)
                 lang = np.repeat(np.repeat(of[lo:hi], np.diff(first)), ends - starts)
-                cells += np.bincount(lang * GRAMS + at, minlength=cells.size).reshape(cells.shape)  # lang is 64 bits wide
+                for k in np.unique(of[lo:hi]).tolist():
+                    cells[k] = cells.get(k, 0) + np.bincount(at[lang == k], minlength=GRAMS)
                 far, letter = (np.concatenate([[0], np.cumsum(x[part])]) for x in (_FAR, _LETTER))
                 word = np.repeat(of[lo:hi], np.diff(first))
                 plain = (far[ends] == far[starts]) & (letter[ends] > letter[starts])
@@ -146,9 +165,7 @@ def train(labelled: DataFrame, lang_col: str, text_col: str, docs_per_lang: int,
                     kind = script(bytes(part[starts[i] : ends[i]]).decode("utf-8", "replace"))
                     if kind:
                         scripts[int(word[i]), kind] = scripts.get((int(word[i]), kind), 0) + 1
-        lang, at = np.nonzero(cells)
-        n = [*cells[lang, at].tolist(), *scripts.values()]
-        yield pa.RecordBatch.from_arrays([pa.array([*lang.tolist(), *[k for k, _ in scripts]], pa.int32()), pa.array([*at.tolist(), *[-1] * len(scripts)], pa.int32()), pa.array([*[None] * len(lang), *[s for _, s in scripts]], pa.string()), pa.array(n, pa.int64())], ["lang", "cell", "script", "n"])
+        yield found()
 
     found = rows.mapInArrow(common.lean(count), "lang int, cell int, script string, n long").groupBy("lang", "cell", "script").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros((GRAMS, len(langs)))
@@ -164,12 +181,13 @@ def train(labelled: DataFrame, lang_col: str, text_col: str, docs_per_lang: int,
 
 
 def label(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = False) -> DataFrame:
-    """All columns of docs and _lang, _score (and _spans), row by row without a shuffle."""
+    """All columns of docs and more at the end, under names that are free: the language, the score (and the
+    spans), row by row without a shuffle."""
     spark = docs.sparkSession
-    common.small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     text_at = docs.columns.index(text_col)
-    rows = docs.withColumn("_lettered", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    lettered_, lang_, score_, spans_ = common.free(docs.columns, "lettered", "lang", "score", "spans")
+    rows = docs.withColumn(lettered_, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
     runs = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,12 +218,12 @@ def label(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = F
             cols = [*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64())]
             if spans:
                 cols.append(pa.array(parts, runs))
-            yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:-1], "_lang", "_score", *["_spans"] * spans])
+            yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:-1], lang_, score_, *[spans_] * spans])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang_, T.StringType()), T.StructField(score_, T.DoubleType())])
     if spans:
         span = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("words", T.IntegerType()), T.StructField("lang", T.StringType())])
-        schema = schema.add("_spans", T.ArrayType(span))
+        schema = schema.add(spans_, T.ArrayType(span))
     return rows.mapInArrow(common.lean(run), schema)
 
 
@@ -217,8 +235,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     whose letters are in no learned script get the commonest language with score 0. Every word of a
     text counts; rows repeated are judged alike; an empty table gives no rows; other columns are ignored.
     """
-    found = label(docs.select(id_col, text_col), model, text_col, spans)
-    return found.select(id_col, F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), *[F.col("_spans").alias("spans")] * spans)
+    return label(docs.select(id_col, text_col), model, text_col, spans).drop(text_col).toDF(id_col, "lang_pred", "score", *["spans"] * spans)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
@@ -228,9 +245,8 @@ def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 4000, penalty: float = 12.0) -> Model | None:
     """A model from the labelled rows that aren't held out (crc32 of the id modulo 5 is 0; a null id is
     not); None where there are none. docs_per_lang bounds what is learned from."""
-    common.small_batches(docs.sparkSession)
-    labelled = docs.filter(~held_out(id_col)).select(lang_col, text_col).filter(F.col(lang_col).isNotNull())
-    return None if labelled.isEmpty() else train(labelled, lang_col, text_col, docs_per_lang, penalty)
+    labelled = docs.filter(~held_out(id_col)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).filter("lang is not null")
+    return None if labelled.isEmpty() else train(labelled, docs_per_lang, penalty)
 
 
 def learn_and_identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -243,9 +259,13 @@ def learn_and_identify(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def drop_unknown(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs that are mostly in one language (score of `least` or more), the language filled
-    in where it was null. Without a label to learn from nothing can be told and all rows stay."""
+    in where it was null. Without a label to learn from nothing can be told and all rows stay. Null texts,
+    and texts without a letter, go; rows repeated are judged alike; a share of exactly `least` stays; an
+    empty table gives no rows; other columns are kept as they are, whatever their names."""
     model = learn(docs, id_col, text_col, lang_col)
     if model is None:
         return docs
-    kept = label(docs, model, text_col).filter((F.col("_lang") != "und") & (F.col("_score") >= least))
-    return kept.withColumn(lang_col, F.coalesce(F.col(lang_col), F.col("_lang"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = label(docs, model, text_col)
+    lang, score = found.columns[-2:]
+    kept = found.filter((F.col(lang) != "und") & (F.col(score) >= least))
+    return kept.withColumn(lang_col, F.coalesce(F.col(lang_col), F.col(lang))).select(*[F.col(f"`{c}`") for c in docs.columns])

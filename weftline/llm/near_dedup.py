@@ -77,7 +77,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), n)], pa.binary())], ["id", "hashes"])
 
     wanted = common.store(wanted.distinct(), "wanted")
-    return common.store(common.with_keys(docs, wanted, "id").select("id", "text").mapInArrow(common.lean(make), "id long, hashes binary"), "sets", large=True)
+    return common.store(common.with_keys(docs, wanted, "id").select("id", "text").mapInArrow(common.lean(make), "id long, hashes binary"), "sets")
 
 
 def _confirmed(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -104,7 +104,7 @@ def _confirmed(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, n: int, perce
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     full = pairs.join(sets.withColumnsRenamed({"id": "a", "hashes": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "hashes": "y"}), "b")
-    return common.store(full.select("a", "b", "x", "y").mapInArrow(common.lean(compare), "a long, b long"), "confirmed", large=True)
+    return common.store(full.select("a", "b", "x", "y").mapInArrow(common.lean(compare), "a long, b long"), "confirmed")
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
@@ -193,7 +193,7 @@ def _linked_in_blocks(rows: DataFrame, sigs: DataFrame, docs: DataFrame, n: int,
         return pairs.select(*[F.col(c).alias(c) for c in ("x", "y")]).join(own, key).groupBy("x", "y")
 
     left, right = side("x"), side("y")
-    return common.store(left.cogroup(right).applyInArrow(_compare_blocks(percent), "a long, b long"), "confirmed", large=True)
+    return common.store(left.cogroup(right).applyInArrow(_compare_blocks(percent), "a long, b long"), "confirmed")
 
 
 def _ordered(a: str, b: str) -> list[Column]:
@@ -211,7 +211,7 @@ def classes_and_links(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame,
     posts = sigs.select("node", F.posexplode(F.slice("sig", 1, prefix)).alias("coord", "value"))
     posts = posts.select("node", "coord", (F.shiftleft(F.col("coord").cast("long"), 32) + F.col("value").cast("long")).alias("key"))
     lists = posts.groupBy("key").agg(F.count("*").alias("length"), F.min(F.struct(F.xxhash64("node", "key"), "node"))["node"].alias("center")).filter("length > 1")
-    members = common.store(posts.join(lists, "key"), "postings", large=True)
+    members = common.store(posts.join(lists, "key"), "postings")
     short = members.filter(F.col("length") <= SHORT).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("all"))
     both = F.flatten(F.transform("all", lambda x, i: F.transform(F.slice("all", i + 2, F.size("all")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     pairs = short.select(F.explode(both).alias("p")).select("p.a", "p.b")
@@ -256,7 +256,6 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     """
     if percent < 80:
         raise ValueError("signatures are made for similarities of 80 percent and more")
-    common.small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketched, nodes, roots = classes_and_links(rows, shingle_words, percent)
     if roots is not None:
@@ -267,7 +266,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, with all their columns: one document of each group."""
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).filter("kept").select(F.col(id_col).alias("_id")).distinct()
-    rows = docs.withColumn("_key", F.col(id_col).cast("long"))
-    return rows.join(kept, F.col("_key").eqNullSafe(F.col("_id")), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that near_duplicates keeps, with all their columns, whatever their names: one
+    document of each group. Null and empty texts and rows with a null id stay; rows repeated under one id
+    stay or go together; an empty table gives no rows."""
+    id_, key_ = common.free(docs.columns, "id", "key")
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).filter("kept").select(F.col(id_col).alias(id_)).distinct()
+    rows = docs.withColumn(key_, F.col(id_col).cast("long"))
+    return rows.join(kept, F.col(key_).eqNullSafe(F.col(id_)), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

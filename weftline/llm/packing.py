@@ -145,7 +145,6 @@ def token_pieces(docs: DataFrame, path: str, end: int, capacity: int, id_col: st
             seen += np.bincount(length, minlength=capacity + 1)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(doc), pid), pa.int32()), pa.array(turn)], ["id", "piece", "start", "length", "ids_crc32", "pid", "turn"])
 
-    common.small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(common.lean(run), _PIECES.format(kind=kind))
 

@@ -57,15 +57,22 @@ def unpack_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def _save(uri: str, data: bytes) -> None:
-    """Under its final name only when complete; a task that runs again writes the same bytes."""
+    """Under its final name only when complete; a task that runs again writes the same bytes. What an
+    attempt that died has left has another name, which read_tokens doesn't look at."""
     from pyarrow import fs
 
     where, path = fs.FileSystem.from_uri(uri)
-    where.create_dir(path.rpartition("/")[0], recursive=True)
-    part = f"{path}.{TaskContext.get().taskAttemptId()}.part"
+    folder, _, name = path.rpartition("/")
+    where.create_dir(folder, recursive=True)
+    part = f"{folder}/_{name}.{TaskContext.get().taskAttemptId()}.part"
     with where.open_output_stream(part, compression=None) as f:
         f.write(data)
-    where.move(part, path)
+    try:
+        where.move(part, path)
+    except OSError:  # not all stores rename onto a file, and an earlier attempt may have written it
+        if where.get_file_info(path).type != fs.FileType.File:
+            raise
+        where.delete_file(part)
 
 
 def write_tokens(docs: DataFrame, folder: str, path: str, end: int, id_col: str = "doc_id", text_col: str = "text", block: int = 2048, file_ids: int = 4_000_000) -> DataFrame:
@@ -77,7 +84,6 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end: int, id_col: str
     end after file_ids ids, at the end of a document.
     """
     spark = docs.sparkSession
-    common.small_batches(spark)
     text = common.text_or_empty(text_col)
     order = [F.col("id").asc_nulls_last(), F.col("mix")]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("mix"))
@@ -124,7 +130,7 @@ def read_tokens(spark: SparkSession, folder: str, files: DataFrame, id_name: str
         at += n
     base = spark.sparkContext.broadcast(before)
     name = F.element_at(F.split(F.element_at(F.split("path", "/"), -1), r"\."), 1)
-    found = spark.read.format("binaryFile").load(folder).select(F.split(name, "-")[0].cast("long").alias("pid"), F.split(name, "-")[1].cast("long").alias("turn"), "content")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(folder).select(F.split(name, "-")[0].cast("long").alias("pid"), F.split(name, "-")[1].cast("long").alias("turn"), "content")
     found = found.join(files.select("pid", "turn", "start"), ["pid", "turn"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
