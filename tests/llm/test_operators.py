@@ -495,6 +495,178 @@ def test_near_copies(docs, texts, none, short, monkeypatch):
         near_dedup.near_duplicates(none, percent=70)
 
 
+def test_a_list_with_one_large_component(spark, monkeypatch):
+    """Blocks of the largest component aren't paired with each other; links to what is outside are found."""
+    monkeypatch.setattr(near_dedup, "SHORT", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    r = random.Random(17)
+    body = [r.choice("abcdefgh") + str(k) for k in range(60)]
+    texts = []
+    for k in range(60):  # one edit more each time, so far ones are linked through others only
+        near = list(body)
+        for e in range(k % 12):
+            near[5 * e] = f"e{e}"
+        texts.append((k, " ".join(near) + (" end" if k % 2 else "")))
+    texts += [(100 + k, " ".join(f"x{k}y{n}" for n in range(30))) for k in range(5)]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    got = table(near_dedup.near_duplicates(d, shingle_words=4))
+    for i, (n, root) in near_truth(texts, 4).items():
+        assert (got[i]["n_shingles"], got[i]["component_id"]) == (n, root)
+
+
+def test_leftovers_of_dead_attempts_are_not_read(spark):
+    import os
+
+    d = spark.createDataFrame([(k, f"text {k} more") for k in range(20)], "doc_id long, text string")
+    folder, path = common.new_path(spark, "ids-left"), queries.vocabulary("byte_bpe_50k.json")
+    files = token_file.write_tokens(d, folder, path, end=0)
+    place = folder.removeprefix("file://")
+    name = sorted(os.listdir(place))[0]
+    with open(f"{place}/{name}", "rb") as f:
+        data = f.read()
+    for left, part in ((f"_{name}.77.part", data), (f"{name}.78.part", data[: len(data) // 2]), ("_x.ids.1.part", b"")):
+        with open(f"{place}/{left}", "wb") as f:
+            f.write(part)
+    got = table(token_file.read_tokens(spark, folder, files))
+    assert sorted(got) == list(range(20)) and got[0]["start"] == 0
+
+
+def test_a_retry_may_find_its_file(monkeypatch, tmp_path):
+    from pyarrow import fs
+
+    class Store:
+        """Doesn't rename onto a file."""
+
+        def __init__(self):
+            self.inner = fs.LocalFileSystem()
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def move(self, a, b):
+            if self.inner.get_file_info(b).type == fs.FileType.File:
+                raise OSError("there is one")
+            self.inner.move(a, b)
+
+    class There:
+        @staticmethod
+        def from_uri(uri):
+            return Store(), uri
+
+    class Turn:
+        @staticmethod
+        def get():
+            return Turn
+
+        @staticmethod
+        def taskAttemptId():
+            return 5
+
+    monkeypatch.setattr(fs, "FileSystem", There)
+    monkeypatch.setattr(token_file, "TaskContext", Turn)
+    for _ in range(2):
+        token_file._save(f"{tmp_path}/f/1.ids", b"abc")
+    assert [p.name for p in (tmp_path / "f").iterdir()] == ["1.ids"] and (tmp_path / "f" / "1.ids").read_bytes() == b"abc"
+
+
+def test_language_sample_and_folds(spark, monkeypatch):
+    assert language.threshold(4000, 4000) == 1 << 62 and 0 < language.threshold(4000, 10**13) < (1 << 62) // 10**9
+    r = random.Random(18)
+    sound = {"aa": ["la", "mi", "so"], "bb": ["krk", "zz", "vst"]}
+    talk = lambda lang: " ".join("".join(r.choices(sound[lang], k=3)) for _ in range(8))
+    rows = [(i, talk(x), x) for i, x in enumerate(["aa", "bb"] * 100)]
+    held = [i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    alone = d.filter("lang = 'aa'")
+    assert language.drop_unknown(alone).count() == 100 and language.learn_and_identify(alone).filter("score = 1").count() == 100
+    kept = d.select("doc_id", language.held_out().alias("h")).filter("h").collect()
+    assert [x["doc_id"] for x in kept] == held
+    # What is held out is never learned: with wrong labels there the model is the same.
+    wrong = [(i, t, "cc" if i in held else x) for i, t, x in rows]
+    a, b = language.learn(d), language.learn(spark.createDataFrame(wrong, d.schema))
+    assert a.langs == b.langs == ["aa", "bb"] and (a.table == b.table).all()
+    assert (language.learn(d, docs_per_lang=20).table != a.table).any()
+    # The table against plain counting.
+    grams = {x: Counter() for x in sound}
+    for i, t, x in rows:
+        if i not in held:
+            by = np.frombuffer(t.encode(), np.uint8)
+            from weftline.llm import hashing
+
+            starts, ends, _ = hashing.words(by, np.array([0, len(by)]))
+            grams[x].update(language._grams(by, starts, ends)[0].tolist())
+    for k, x in enumerate(a.langs):
+        for cell in set(grams["aa"]) | set(grams["bb"]):
+            logs = [math.log((grams[y][cell] + 0.5) / (sum(grams[y].values()) + 0.5 * language.GRAMS)) for y in a.langs]
+            assert a.table[cell, k] == pytest.approx(logs[k] - sum(logs) / 2, abs=1e-4)
+
+
+def test_word_scores_are_sums_over_their_cells():
+    r = np.random.default_rng(19)
+    model = language.Model(["a", "b"], r.standard_normal((language.GRAMS, 2)), [{"Latin"}, {"Latin", "Cyrillic"}], 0, 1.0)
+    said = ["Ab", "12", "кот", "中", "é"]
+    by = np.frombuffer(" ".join(said).encode(), np.uint8)
+    from weftline.llm import hashing
+
+    starts, ends, _ = hashing.words(by, np.array([0, len(by)]))
+    got, lettered = model.scores(by, starts, ends)
+    assert lettered.tolist() == [True, False, True, False, True] and (got[1] == 0).all() and (got[3] == 0).all()
+    for i in (0, 4):
+        w = said[i].lower().encode() if said[i].isascii() else said[i].encode()
+        pad = b" " + w + b" "
+        cells = [((pad[k] * 0x3779B9 + pad[k + 1] * 0x85EBCB + pad[k + 2] * 0x2C1B3D) % (1 << 32) >> 5) % language.GRAMS for k in range(len(w))]
+        assert got[i] == pytest.approx(sum(model.table[c] for c in cells), abs=1e-4)
+    assert got[2][0] == -50 and got[2][1] > -50
+
+
+def test_whole_row_stages_with_clashing_names(spark):
+    import corpus_pipeline
+
+    extra = ["_lang", "_score", "lang_pred", "lettered", "score", "id", "sha", "turn", "_id", "_sha", "key", "a", "b", "at", "copy", "tag", "text_taken", "node", "root", "size", "A_"]
+    r = random.Random(20)
+    rows = [(k, " ".join(r.choices(["la", "mi", "so", "fa", "re"], k=30)), "aa", f"s{k % 2}", 7, *["v"] * len(extra)) for k in range(12)]
+    rows += [rows[3], (None, rows[5][1] + " ", None, None, 7, *["v"] * len(extra)), (50, None, "aa", None, 7, *["v"] * len(extra)), (51, "", "aa", "s0", None, *["v"] * len(extra))]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        d = common.store(stage(spark, d, ""), "clash")
+        assert d.columns[5:] == extra and d.count() and all(x[c] == "v" for x in d.collect() for c in extra)
+    assert {x["doc_id"] for x in d.collect()} <= {*range(12), None}
+
+
+def test_pipeline_of_nothing(spark, none, tmp_path):
+    import corpus_pipeline
+
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mixed_rows_are_the_same_in_reruns(spark):
+    r = random.Random(21)
+    rows = [(k % 5, " ".join(r.choices("abcdef", k=10)), "s", n) for k in range(30) for n in (1, 2)] + [(1, "w x y z", "s", 1)] * 3
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    key = lambda m: sorted(map(tuple, m.collect()), key=str)
+    one = key(mixing.mixed_documents(d))
+    assert one == key(mixing.mixed_documents(d.repartition(7)))
+    assert sum(len(words(x[1])) for x in one) == sum(x["taken"] for x in mixing.mix(d).collect())
+
+
+def test_stored_tables_and_options(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    kept = common.store(spark.range(3), "kept")
+    assert kept.count() == 3 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    assert spark.sparkContext.applicationId in common.new_path(spark, "x")
+
+    class Cluster:
+        conf = spark.conf
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(ValueError):
+            common.shared_dir(Cluster)
+
+
 def test_block_overlaps():
     r = np.random.default_rng(1)
     left, right = ([np.unique(r.integers(0, 60, 30).astype(np.uint64)) for _ in range(n)] for n in (5, 7))

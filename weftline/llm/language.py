@@ -57,22 +57,25 @@ class Model:
         self.langs, self.table, self.scripts, self.common, self.penalty = langs, table.astype(np.float32), scripts, common_lang, penalty
 
     def scores(self, b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of all words by language, 0 for words without letters, and which have letters."""
+        """Scores of all words by language, and which words have letters of a script that some language
+        has; 0 for others."""
         if not len(starts):
             return np.zeros((0, len(self.langs)), np.float32), np.zeros(0, bool)
         cells, first = _grams(b, starts, ends)
         out = np.stack([np.add.reduceat(self.table[:, k][cells], first) for k in range(len(self.langs))], 1)
         upto = np.concatenate([[0], np.cumsum(_LETTER[b])])
         lettered = upto[ends] > upto[starts]
-        out[~lettered] = 0
-        out[:, [k for k, s in enumerate(self.scripts) if "Latin" not in s]] -= 50.0
+        latin = np.array(["Latin" in s for s in self.scripts])
+        lettered &= latin.any()
+        out[:, ~latin] -= 50.0
         far = np.concatenate([[0], np.cumsum(_FAR[b])])
         for i in np.flatnonzero(far[ends] > far[starts]):
             kind = script(bytes(b[starts[i] : ends[i]]).decode("utf-8", "replace"))
             allowed = np.array([kind in s for s in self.scripts])
-            out[i] += 50.0 if "Latin" != kind else 0.0
-            out[i] = np.where(allowed, out[i], -50.0) if allowed.any() else 0.0
-            lettered[i] = kind is not None
+            out[i] += np.where(latin, 0.0, 50.0)
+            out[i] = np.where(allowed, out[i], -50.0)
+            lettered[i] = allowed.any()
+        out[~lettered] = 0
         return out, lettered
 
     def path(self, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -200,9 +203,8 @@ def label(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = F
                 starts, ends, first = hashing.words(part, own)
                 points, lettered = m.scores(part, starts, ends)
                 word_lang = m.path(points, first)
-                usable = lettered & (points != 0).any(1)
                 text = np.repeat(np.arange(hi - lo), np.diff(first))
-                votes = np.bincount(text[usable] * len(m.langs) + word_lang[usable], minlength=(hi - lo) * len(m.langs)).reshape(hi - lo, -1)
+                votes = np.bincount(text[lettered] * len(m.langs) + word_lang[lettered], minlength=(hi - lo) * len(m.langs)).reshape(hi - lo, -1)
                 total = votes.sum(1)
                 top = np.where(total > 0, votes.argmax(1), m.common)
                 pred += [m.langs[k] for k in top.tolist()]

@@ -18,8 +18,8 @@ from .components import components
 COORDS, MINIMA, MATCHES = 32, 3, 3
 #: A list of postings up to this length is compared in full, a longer one against one member at first.
 SHORT = 16
-#: Documents of a block, where long lists are compared in blocks.
-BLOCK = 256
+#: Documents of a block, where long lists are compared in blocks; parts into which the blocks of a list are dealt.
+BLOCK, PARTS = 256, 8
 _ODD = np.random.default_rng(77).integers(1, 1 << 63, COORDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -81,10 +81,13 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of the pairs a < b those whose whole sets are similar enough. Pairs that share too few
-    coordinates are dropped first; sets are made only for documents that are left."""
-    pairs = pairs.join(sigs.withColumnsRenamed({"node": "a", "sig": "sig_a"}), "a").join(sigs.withColumnsRenamed({"node": "b", "sig": "sig_b"}), "b")
-    pairs = common.store(pairs.filter(_same("sig_a", "sig_b") >= MATCHES).select("a", "b"), "candidates")
+    """Of the pairs a < b, met: collisions counted so far, those whose whole sets are similar enough.
+    Pairs that have enough collisions are candidates; for the others all coordinates are probed, those of
+    the lists that were skipped, too. Sets are made only for candidates."""
+    short_of = pairs.filter(F.col("met") < MATCHES)
+    short_of = short_of.join(sigs.withColumnsRenamed({"node": "a", "sig": "sig_a"}), "a").join(sigs.withColumnsRenamed({"node": "b", "sig": "sig_b"}), "b")
+    short_of = short_of.filter(_same("sig_a", "sig_b") >= MATCHES)
+    pairs = common.store(pairs.filter(F.col("met") >= MATCHES).select("a", "b").union(short_of.select("a", "b")), "candidates")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
 
     sets = _sets(docs, wanted, n)
@@ -175,15 +178,24 @@ def _compare_blocks(percent: int):
 def _linked_in_blocks(rows: DataFrame, sigs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Links that are still missing in lists (node, root, key, length) with several components.
 
-    Each node has a block: a share of BLOCK nodes of the longest list it is in. Two blocks are compared,
-    once, if any list has nodes of both. Rows grow with the number of block pairs, never with that of
-    node pairs, and a task holds two blocks."""
+    Each node has a block: a share of BLOCK nodes of the longest list it is in. A component with that many
+    nodes in a list has blocks of its own, and of a list's largest one no two blocks are paired: only
+    what is outside it meets the list's blocks. Rows grow with the number of block pairs, never with that
+    of node pairs, and a task holds two blocks."""
     homes = rows.groupBy("node", "root").agg(F.max(F.struct("length", "key"))["key"].alias("home"))
-    sizes = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    placed = homes.join(sizes, "home").select("node", "root", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block"))
+    sizes = homes.groupBy("home", "root").agg(F.count("*").alias("many"))
+    sizes = sizes.withColumn("own", F.when(F.col("many") >= BLOCK, F.col("root")))  # null: with other small components
+    room = sizes.groupBy("home", "own").agg(F.ceil(F.sum("many") / BLOCK).alias("blocks"))
+    sizes = sizes.alias("s").join(room.alias("r"), (F.col("s.home") == F.col("r.home")) & F.col("s.own").eqNullSafe(F.col("r.own"))).select("s.home", "root", "s.own", "blocks")
+    placed = homes.join(sizes, ["home", "root"])
+    placed = placed.select("node", "root", "own", F.xxhash64("home", F.coalesce("own", F.lit(-1)), F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block"))
     placed = common.store(placed, "blocks")
-    meets = rows.select("key", "node").join(placed.select("node", "block"), "node").select("key", "block").distinct()
-    pairs = meets.withColumnRenamed("block", "x").join(meets.withColumnRenamed("block", "y"), "key").filter("x <= y").select("x", "y").distinct()
+    meets = rows.select("key", "node").join(placed.select("node", "block", "own"), "node").groupBy("key", "block", "own").agg(F.count("*").alias("many"))
+    meets = common.store(meets, "meetings")
+    top = meets.filter("own is not null").groupBy("key", "own").agg(F.sum("many").alias("many")).groupBy("key").agg(F.max(F.struct("many", "own"))["own"].alias("top"))
+    outside = meets.join(top, "key", "left").filter("own is null or own <> top").select("key", F.col("block").alias("x"), F.pmod(F.xxhash64("block"), F.lit(PARTS)).alias("part"))
+    others = meets.select("key", F.col("block").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("part"))
+    pairs = outside.join(others, ["key", "part"]).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     pairs = common.store(pairs, "block-pairs")
     sets = _sets(docs, placed.select(F.col("node").alias("id")), n).groupBy("id").agg(F.min("hashes").alias("hashes"))
     full = common.store(placed.join(sigs, "node").join(sets.withColumnRenamed("id", "node"), "node"), "members")
@@ -214,10 +226,10 @@ def classes_and_links(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame,
     members = common.store(posts.join(lists, "key"), "postings")
     short = members.filter(F.col("length") <= SHORT).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("all"))
     both = F.flatten(F.transform("all", lambda x, i: F.transform(F.slice("all", i + 2, F.size("all")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    pairs = short.select(F.explode(both).alias("p")).select("p.a", "p.b")
+    pairs = short.select(F.explode(both).alias("p")).select("p.a", "p.b", F.lit(1).alias("met"))
     long_ = members.filter(F.col("length") > SHORT)
     star = long_.groupBy("node").agg(F.max(F.struct("length", "key", "center"))["center"].alias("center"))
-    pairs = pairs.union(star.select(*_ordered("node", "center"))).filter("a <> b").distinct()
+    pairs = pairs.union(star.select(*_ordered("node", "center"), F.lit(0))).filter("a <> b").groupBy("a", "b").agg(F.sum("met").alias("met"))
     links = _confirmed(pairs, sigs, docs, n, percent)
     if long_.isEmpty():
         return sketched, nodes, (None if links.isEmpty() else components(links))
@@ -245,9 +257,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     """id_col, n_shingles, component_id, kept for each row of docs.
 
     Documents whose sets are equal are one class and its smallest id stands for it. Classes are posted
-    under every (coordinate, value) of the signature's prefix. Lists up to SHORT are paired in full. In a
-    longer list each member is first compared with one that the list's hash picks; where members of a
-    long list then still are in different components, all of them are compared in blocks. Every link is
+    under every (coordinate, value) of the signature's prefix; coordinates beyond it are skipped, as two
+    classes with MATCHES equal ones have one in the prefix. Lists up to SHORT are merged: collisions are
+    counted for each pair in them. Longer lists are skipped, too: each member is first compared with one
+    that the list's hash picks, and where members then still are in different components, those outside
+    the largest are compared with all, in blocks. Skipped lists are probed for pairs that are short of
+    MATCHES, those that reach it are compared on their whole sets. Every link is
     confirmed on the whole sets; a link whose ends are in one component already isn't looked for.
 
     Null and empty texts have no shingles, are linked with nothing and are kept. Rows repeated under one
