@@ -12,13 +12,15 @@ def uncovered(assigned: DataFrame, hunks: DataFrame) -> DataFrame:
     return hunks.select("change_id", "file_path", "hunk_index").join(assigned, ["change_id", "file_path", "hunk_index"], "left_anti")
 
 
-def assign_uncovered(assignments: DataFrame, hunks: DataFrame) -> DataFrame:
+def assign_uncovered(assignments: DataFrame, hunks: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """Where hunks in no group go: to the first group that holds their file, else to the group with the
     most assignments, the first of equal ones. assignments: change_id, group_ord, group_id, file_path, hunk_index.
+    sizes: change_id, group_ord, group_id, n where assignments are counted otherwise than by distinct file.
     A change without groups gives rows with a null group."""
     holders = assignments.groupBy("change_id", "file_path").agg(F.min(F.struct("group_ord", "group_id"))["group_id"].alias("holder"))
-    files = assignments.select("change_id", "group_ord", "group_id", "file_path").distinct()
-    sizes = files.groupBy("change_id", "group_ord", "group_id").agg(F.count("*").alias("n"))
+    if sizes is None:
+        files = assignments.select("change_id", "group_ord", "group_id", "file_path").distinct()
+        sizes = files.groupBy("change_id", "group_ord", "group_id").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("change_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "group_ord", "group_id"))["group_id"].alias("largest"))
     rows = uncovered(assignments, hunks).join(holders, ["change_id", "file_path"], "left").join(largest, "change_id", "left")
     return rows.select("change_id", "file_path", "hunk_index", F.coalesce("holder", "largest").alias("group_id"))
@@ -57,6 +59,29 @@ def move_hunks(assigned: DataFrame, edits: DataFrame, groups: DataFrame, hunks:
     return moved, told
 
 
+def edit_hunks(assigned: DataFrame, edits: DataFrame, groups: DataFrame, hunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """move_hunks for any number of edits of a hunk, one after the other: edits also have seq, their order
+    in the change. Each sees what those before it have left."""
+    keys = ["change_id", "file_path", "hunk_index"]
+    known = groups.select("change_id", "group_id")
+    fine = edits.filter("from_id <> to_id").join(known.withColumnRenamed("group_id", "from_id"), ["change_id", "from_id"], "left_semi").join(known.withColumnRenamed("group_id", "to_id"), ["change_id", "to_id"], "left_semi").join(hunks, keys, "left_semi")
+    steps = fine.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("seq", "from_id", "to_id"))).alias("steps"))
+    held = assigned.groupBy(*keys).agg(F.array_sort(F.collect_set("group_id")).alias("held"))
+    kind = dict(assigned.dtypes)["group_id"]
+
+    def step(state, e):
+        can = F.array_contains(state["held"], e["from_id"])
+        moved = F.array_distinct(F.concat(F.array_remove(state["held"], e["from_id"]), F.array(e["to_id"])))
+        return F.struct(F.when(can, moved).otherwise(state["held"]).alias("held"), F.when(can, F.concat(state["done"], F.array(e["seq"].cast("long")))).otherwise(state["done"]).alias("done"))
+
+    start = F.struct("held", F.array().cast("array<bigint>").alias("done"))
+    none = F.array().cast(f"array<struct<seq: {dict(edits.dtypes)['seq']}, from_id: {kind}, to_id: {kind}>>")
+    rows = held.join(steps, keys, "left").withColumn("end", F.aggregate(F.coalesce("steps", none), start, step))
+    done = rows.select("change_id", F.explode("end.done").alias("seq")).withColumn("applied", F.lit(True))
+    told = edits.withColumn("seq", F.col("seq").cast("long")).join(done, ["change_id", "seq"], "left").withColumn("applied", F.coalesce("applied", F.lit(False)))
+    return rows.select(*keys, F.explode("end.held").alias("group_id")), told
+
+
 def merge_chain(own: DataFrame, ancestors: DataFrame, carry_ancestor_files: bool = False) -> DataFrame:
     """Hunks of each group with those of its ancestors in the files that it holds, or in all their files.
 
@@ -89,6 +114,36 @@ def stacked_schedule(groups: DataFrame, own: DataFrame, trunk: str = "main") ->
     return place.join(packed, ["change_id", "group_id"], "left").withColumn("base_branch", F.coalesce(F.col("base_group").cast("string"), F.lit(trunk)))
 
 
+def effective_hunks(groups: DataFrame, files: DataFrame) -> DataFrame:
+    """change_id, group_id, assignments of branches in a stack, where what a parent has been given counts as
+    the parent's: a group with one parent gets, in files that it takes in part, what the parent then holds;
+    one with several carries everything that any ancestor itself holds. Groups on a cycle have no row."""
+    counts = files.select("change_id", F.col("file_path").cast("string").alias("file_path"), "hunk_count")
+    rows = groups.select("change_id", "group_id", F.posexplode_outer("assignments").alias("at", "a")).withColumn("file_path", F.col("a.file_path")).join(counts, ["change_id", "file_path"], "left")
+    packed = rows.groupBy("change_id", "group_id").agg(F.sort_array(F.collect_list(F.when(F.col("a").isNotNull(), F.struct("at", "file_path", F.col("a.assignment_type").alias("kind"), F.col("a.hunk_indices").alias("listed"), F.coalesce("hunk_count", F.lit(0)).cast("int").alias("n"))))).alias("own"))
+    whole = packed.join(groups.select("change_id", "group_id", "group_ord", "depends_on"), ["change_id", "group_id"])
+
+    def run(found: list[dict]):
+        own = {r["group_id"]: r["own"] for r in found}
+        tree = kernels.Graph({r["group_id"]: r["depends_on"] or [] for r in found})
+        held: dict = {}
+        for name in tree.order():
+            up = tree.parents[name]
+            lenders = [held[up[0]]] if len(up) == 1 else [own[a] for a in tree.ancestors(name)]
+            lent: dict[str, set[int]] = {}
+            for a in (a for x in lenders for a in x):
+                lent.setdefault(a["file_path"], set()).update(a["listed"] or [], range(a["n"]) if a["kind"] == "whole_file" else ())
+            mine = [a if a["kind"] == "whole_file" else a | {"listed": sorted({*(a["listed"] or []), *lent.get(a["file_path"], ())})} for a in own[name]]
+            if len(up) > 1:
+                there = {a["file_path"] for a in mine}
+                mine += [{"file_path": f, "kind": "partial_hunks", "listed": sorted(h), "n": 0} for f, h in sorted(lent.items()) if f not in there]
+            held[name] = mine
+            yield name, [{"file_path": a["file_path"], "assignment_type": a["kind"], "hunk_indices": a["listed"] or []} for a in mine]
+
+    kind = dict(groups.dtypes)["group_id"]
+    return kernels.by_change(whole, ["group_ord", "group_id", "depends_on", "own"], run, f"group_id {kind}, assignments array<struct<file_path: string, assignment_type: string, hunk_indices: array<int>>>")
+
+
 def materialize(assigned: DataFrame, files: DataFrame, hunks: DataFrame, base_files: DataFrame) -> DataFrame:
     """Contents of the files of each group: change_id, group_id, file_path, content (null: the file goes).
 
@@ -100,8 +155,8 @@ def materialize(assigned: DataFrame, files: DataFrame, hunks: DataFrame, base_fi
     old = F.regexp_replace("source_file", "^a/", "")
     rows = packed.join(files.select("change_id", "file_path", "is_new", "is_deleted", old.alias("old")), ["change_id", "file_path"])
     base = base_files.select("change_id", F.col("file_path").alias("old"), F.col("content").alias("base"))
-    rows = rows.join(base, ["change_id", "old"], "left").withColumn("key", F.struct("change_id", "group_id"))
-    rows = rows.select(F.struct("change_id", "group_id").alias("change_id"), "file_path", "is_new", "is_deleted", F.coalesce("base", F.lit("")).alias("base"), "hunks")
+    rows = rows.join(base, ["change_id", "old"], "left")  # a file of a group is the unit of work
+    rows = rows.select(F.struct("change_id", "group_id", "file_path").alias("change_id"), "file_path", "is_new", "is_deleted", F.coalesce("base", F.lit("")).alias("base"), "hunks")
 
     def run(rows: list[dict]):
         for r in rows:

@@ -344,22 +344,19 @@ class Graph:
         """Lines of a tree from the roots; a node with several parents shows under each."""
         lines: list[str] = []
 
-        def show(n: Any, lead: str, last: bool, top: bool) -> None:
+        def line(n: Any, lead: str, last: bool, top: bool) -> str:
             mark = "  <-- this one" if n == current else ""
             if markdown:
-                lines.append(f"{lead}- {f'**{n}**' if n == current else n}{mark}")
-                inner = lead + "  "
-            else:
-                lines.append(f"{n}{mark}" if top else f"{lead}{'└── ' if last else '├── '}{n}{mark}")
-                inner = lead if top else lead + ("    " if last else "│   ")
-            below = self.children[n]
-            for k, c in enumerate(below):
-                show(c, inner, k == len(below) - 1, False)
+                return f"{lead}- {f'**{n}**' if n == current else n}{mark}"
+            return f"{n}{mark}" if top else f"{lead}{'└── ' if last else '├── '}{n}{mark}"
 
-        if self.acyclic():
-            for n in self.parents:
-                if not self.parents[n]:
-                    show(n, "", True, True)
+        todo = [(n, "", True, True) for n in reversed(self.parents) if not self.parents[n]] if self.acyclic() else []
+        while todo:
+            n, lead, last, top = todo.pop()
+            lines.append(line(n, lead, last, top))
+            inner = lead + "  " if markdown else lead if top else lead + ("    " if last else "│   ")
+            below = self.children[n]
+            todo += [(c, inner, k == len(below) - 1, False) for k, c in reversed([*enumerate(below)])]
         return lines
 
 

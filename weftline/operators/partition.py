@@ -14,22 +14,33 @@ from . import graph, kernels, stats
 from .chunking import partition_units
 
 
-def affinity_pairs(units: DataFrame, priority: str | Priority) -> DataFrame:
-    """change_id, a, b, score for pairs of positions a < b with a score above 0.
+def affinity_scores(units: DataFrame, *priorities: str | Priority) -> DataFrame:
+    """change_id, a, b and a column for each priority, for pairs of positions a < b of which any is above 0.
 
     Only such pairs can score that share a file, the first directory, the test-normalised stem or, for
     logical grouping, the suffix; so the pairs come from equi-joins on those, never from all pairs of a
-    change. A pair is kept at the first key that it shares, so no distinct is needed."""
-    # The features are laid down before the join, or they would be made again for each pair.
-    rows = paths.add_features(units, F.col("file_path").cast("string"), "f").select("change_id", "position", "f").repartition("change_id")
+    change. A pair is kept at the first key that it shares, so no distinct is needed. Names go through the
+    joins as 64-bit numbers; two of one change would have to agree by chance to be taken for equal."""
+    wanted = [Priority(p) for p in priorities]
+    number = lambda c: F.xxhash64(c)
+    rows = paths.add_features(units, F.col("file_path").cast("string"), "f").select("change_id", "position", "f")
     f = F.col("f")
-    keys = [f["path"], F.get(f["heads"], F.lit(0)), f["stem"]] + [f["suffix"]] * (Priority(priority) == Priority.LOGICAL)
+    small = F.struct(number(f["path"]).alias("path"), F.transform(f["heads"], lambda h: F.xxhash64(h)).alias("heads"), number(f["suffix"]).alias("suffix"), number(f["stem"]).alias("stem"), f["is_test"].alias("is_test"))
+    # The features are laid down before the join, or they would be made again for each posting.
+    rows = rows.select("change_id", "position", small.alias("f")).repartition("change_id")
+    keys = [f["path"], F.get(f["heads"], F.lit(0)), f["stem"]] + [f["suffix"]] * (Priority.LOGICAL in wanted)
     posted = rows.select("change_id", "position", "f", F.posexplode(F.array(*keys)).alias("k", "v")).filter("v is not null")
     left, right = posted.withColumnsRenamed({"position": "a", "f": "x"}), posted.withColumnsRenamed({"position": "b", "f": "y"})
     x, y = F.col("x"), F.col("y")
     first = F.when(x["path"] == y["path"], 0).when(F.get(x["heads"], F.lit(0)) == F.get(y["heads"], F.lit(0)), 1).when(x["stem"] == y["stem"], 2).otherwise(3)
     pairs = left.join(right, ["change_id", "k", "v"]).filter((F.col("a") < F.col("b")) & (F.col("k") == first))
-    return pairs.select("change_id", "a", "b", paths.affinity(x, y, priority).alias("score")).filter("score > 0")
+    scored = pairs.select("change_id", "a", "b", *[paths.affinity(x, y, p).alias(str(p)) for p in wanted])
+    return scored.filter(reduce(lambda p, q: p | q, [F.col(str(p)) > 0 for p in wanted]))
+
+
+def affinity_pairs(units: DataFrame, priority: str | Priority) -> DataFrame:
+    """change_id, a, b, score for pairs of positions a < b with a score above 0."""
+    return affinity_scores(units, priority).withColumnRenamed(str(Priority(priority)), "score")
 
 
 def group_units(units: DataFrame, options: PlanOptions, undecided: bool = False) -> DataFrame:

@@ -30,6 +30,14 @@ def file_summaries(files: DataFrame) -> DataFrame:
     return files.select("change_id", "file_ord", "file_path", flags.alias("flags"), file_summary(F.col("file_path"), F.col("added"), F.col("removed"), flags, F.col("hunk_count")).alias("summary"))
 
 
+def summary_text(files: DataFrame) -> DataFrame:
+    """change_id, text: the totals of a change and a line for each file, in order."""
+    lines = file_summaries(files).groupBy("change_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("file_ord", "summary"))), lambda x: x["summary"]), "\n").alias("lines"))
+    sums = diff_stats(files)
+    head = F.format_string("Total: %s files, +%s/-%s (%s LOC)", *[F.col(c).cast("string") for c in ("total_files", "total_added", "total_removed", "total_loc")])
+    return sums.join(lines, "change_id").select("change_id", F.concat(head, F.lit("\n"), "lines").alias("text"))
+
+
 def file_paths(files: DataFrame) -> DataFrame:
     return files.select("change_id", "file_ord", "file_path").orderBy("change_id", "file_ord")
 
@@ -88,10 +96,39 @@ def labelled_diff(files: DataFrame, hunks: DataFrame) -> DataFrame:
 
 
 def group_catalogue(groups: DataFrame) -> DataFrame:
-    """Five lines about each group, in order, for each change."""
-    line = F.concat_ws(
-        "\n", F.concat(F.lit("- id: "), "id"), F.concat(F.lit("  title: "), "title"), F.concat(F.lit("  description: "), "description"),
-        F.concat(F.lit("  files: "), F.array_join(F.transform("assignments", lambda a: a["file_path"]), ", ")), F.concat(F.lit("  depends_on: "), F.array_join("depends_on", ", ")),
+    """change_id, text: four lines and an empty one about each group, in order. groups: change_id, group_ord,
+    group_id, title, description, depends_on, assignments, estimated_loc."""
+    files = F.array_sort(F.array_distinct(F.transform("assignments", lambda a: a["file_path"])))
+    after = F.when(F.size("depends_on") > 0, F.concat(F.lit(" (depends on: "), F.array_join("depends_on", ", "), F.lit(")"))).otherwise("")
+    text = F.concat(
+        F.lit("Group "), F.col("group_id").cast("string"), F.lit(": "), "title", after, F.lit("\n  Description: "), "description", F.lit("\n  Files ("), F.size(files).cast("string"), F.lit("): "),
+        F.array_join(files, ", "), F.lit("\n  Assignments: "), F.size("assignments").cast("string"), F.lit(", ~"), F.col("estimated_loc").cast("string"), F.lit(" LOC\n"),
     )
-    rows = groups.withColumn("_t", line)
+    rows = groups.withColumn("_t", text)
     return rows.groupBy("change_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("group_ord", "_t"))), lambda x: x["_t"]), "\n").alias("text"))
+
+
+def text_table(rows: DataFrame, order: str, columns: dict[str, Column], title: str = "") -> DataFrame:
+    """change_id, text: a table for a console, columns as wide as their widest cell, rows in order."""
+    names = [f"c{k}" for k in range(len(columns))]
+    cells = rows.select("change_id", F.col(order).alias("o"), *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in zip(names, columns.values(), strict=True)])
+    packed = cells.groupBy("change_id").agg(F.sort_array(F.collect_list(F.struct("o", *names))).alias("rows"), *[F.greatest(F.max(F.length(n)), F.lit(len(label))).alias(f"w{n}") for n, label in zip(names, columns, strict=True)])
+
+    def line(cell) -> Column:
+        return F.rtrim(F.concat_ws("  ", *[F.rpad(cell(k, n), F.col(f"w{n}"), F.lit(" ")) for k, n in enumerate(names)]))
+
+    head = line(lambda k, n: F.lit(list(columns)[k]))
+    rule = F.repeat(F.lit("-"), sum((F.col(f"w{n}") for n in names), F.lit(2 * (len(names) - 1))))
+    body = F.array_join(F.transform("rows", lambda r: line(lambda k, n: r[n])), "\n")
+    return packed.select("change_id", F.concat_ws("\n", *[F.lit(title)] * bool(title), head, rule, body).alias("text"))
+
+
+def plan_table(groups: DataFrame) -> DataFrame:
+    files = F.array_join(F.transform("assignments", lambda a: a["file_path"]), ", ")
+    lines = F.concat(F.lit("+"), F.col("estimated_added").cast("string"), F.lit("/-"), F.col("estimated_removed").cast("string"))
+    return text_table(groups, "group_ord", {"ID": F.col("group_id"), "Title": F.col("title"), "Diff": lines, "Depends On": F.array_join("depends_on", ", "), "Files": files}, "Split Plan")
+
+
+def status_table(rows: DataFrame) -> DataFrame:
+    """rows: what status.plan_status gives, and group_ord."""
+    return text_table(rows, "group_ord", {"ID": F.col("group_id"), "Title": F.col("title"), "Branch": F.col("branch_name"), "PR": F.col("pr_number"), "State": F.col("state"), "Review": F.col("review")}, "Status")

@@ -66,6 +66,7 @@ EXACT_WEIGHTS = {Priority.LOGICAL: (200, 0, 5), Priority.ORTHOGONAL: (250, 400,
 CONTEXT_TOKENS = {Provider.ANTHROPIC: 1_000_000, Provider.OPENAI: 1_050_000}
 MAX_OUTPUT_TOKENS = 128_000
 CHUNK_TARGET_RATIO = 2 / 3
+CHUNK_ATTEMPTS = 2
 AUTO_MIN_RATIO = 4  # min_loc = max_loc // 4 when it is derived
 
 

@@ -73,7 +73,7 @@ def q05_chunk_stats(spark, sf_dir):
 
 @query(f"""with {A.HUNKS}, x as (select change_id, file_ord, file_path, sum(added)::bigint a, sum(removed)::bigint r, count(*) n from h group by all),
 y as (select *, list_filter([case when r = 0 then 'new' end, case when a = 0 then 'deleted' end, case when file_ord % 7 = 0 then 'renamed' end], lambda z: z is not null) fl from x)
-select change_id, file_ord, array_to_string(fl, ',') flags, file_path || ' (+' || a || '/-' || r || ')' || case when len(fl) > 0 then ' [' || array_to_string(fl, ', ') || ']' else '' end || ' — ' || case when n = 1 then 'hunk index: 0' else 'hunk indices: 0-' || (n - 1) end summary from y""")
+select change_id, file_ord, array_to_string(fl, ',') flags, '  ' || file_path || ': +' || a || '/-' || r || ' (' || n || ' hunks, indices 0..' || (n - 1) || ')' || case when len(fl) > 0 then ' [' || array_to_string(fl, ', ') || ']' else '' end summary from y""")
 def q06_file_summary_flags(spark, sf_dir):
     files = stats.files_from_hunks(A.li_hunks(spark, sf_dir)).withColumn("is_renamed", F.col("file_ord") % 7 == 0)
     flags = file_flags(F.col("is_new"), F.col("is_deleted"), F.col("is_renamed"))
@@ -105,14 +105,11 @@ y as (select *, 25 * depth + case when sfx then 10 else 0 end + case when pair t
 z as (select change_id, a, b, case when same then 500 else greatest(0, base - 20) end orthogonal, case when same then 500 else base + case when depth > 0 then 10 else 0 end end logical from y)
 select change_id, count(*) filter (orthogonal > 0) orthogonal_pairs, coalesce(sum(orthogonal), 0)::bigint orthogonal_sum, count(*) filter (logical > 0) logical_pairs, coalesce(sum(logical), 0)::bigint logical_sum, sum(orthogonal * (a * 31 + b))::bigint orthogonal_check from z group by change_id having count(*) filter (logical > 0) > 0""")
 def q09_affinity_pairs(spark, sf_dir):
-    units = A.li_units(spark, sf_dir)
-
-    def sums(priority: Priority, name: str) -> DataFrame:
-        pairs = partition.affinity_pairs(units, priority)
-        return pairs.groupBy("change_id").agg(F.count("*").alias(f"{name}_pairs"), F.sum("score").alias(f"{name}_sum"), F.sum(F.col("score") * (F.col("a") * 31 + F.col("b"))).alias(f"{name}_check"))
-
-    both = sums(Priority.LOGICAL, "logical").drop("logical_check").join(sums(Priority.ORTHOGONAL, "orthogonal"), "change_id", "left")
-    return both.na.fill(0)
+    pairs = partition.affinity_scores(A.li_units(spark, sf_dir), Priority.LOGICAL, Priority.ORTHOGONAL)
+    one, two = F.col("logical"), F.col("orthogonal")
+    return pairs.groupBy("change_id").agg(
+        F.count_if(one > 0).alias("logical_pairs"), F.sum(one).alias("logical_sum"), F.count_if(two > 0).alias("orthogonal_pairs"), F.sum(two).alias("orthogonal_sum"), F.sum(two * (F.col("a") * 31 + F.col("b"))).alias("orthogonal_check"),
+    )
 
 
 @query()

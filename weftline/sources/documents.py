@@ -63,6 +63,41 @@ def worktree_clean(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.filter(F.col(column) != "").agg(F.coalesce(F.bool_and(F.col(column).startswith("??")), F.lit(True)).alias("clean"))
 
 
+def refs(lines: DataFrame, column: str = "value") -> DataFrame:
+    """name, sha from lines "sha name" that list a repository's refs."""
+    parts = F.split(F.trim(F.col(column)), r"\s+", 2)
+    return lines.filter(F.size(parts) == 2).select(F.regexp_replace(parts[1], "^refs/(heads|remotes|tags)/", "").alias("name"), parts[0].alias("sha"))
+
+
+def refs_exist(wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """wanted: name -> name, exists; a name or a whole sha is known."""
+    both = known.select("name").union(known.select("sha")).distinct()
+    return wanted.join(both.withColumn("exists", F.lit(True)), "name", "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
+
+
+def merge_bases(commits: DataFrame, wanted: DataFrame) -> DataFrame:
+    """change_id, merge_base for each wanted pair (change_id, a, b) over commits (change_id, sha, parents): a
+    commit that both reach, themselves included, and that none such behind it reaches; of several the
+    first sha, null where there is none."""
+    from ..operators import kernels
+
+    rows = commits.join(wanted, "change_id").select("change_id", "sha", "parents", "a", "b")
+
+    def run(found: list[dict]):
+        tree = kernels.Graph({r["sha"]: [p for p in r["parents"] or []] for r in found})
+        a, b = found[0]["a"], found[0]["b"]
+        both = ({a} | tree.ancestors(a)) & ({b} | tree.ancestors(b)) if a in tree.parents and b in tree.parents else set()
+        behind = {x for c in both for x in tree.ancestors(c)}
+        yield (min(both - behind, default=None),)
+
+    return kernels.by_change(rows, ["sha", "parents", "a", "b"], run, "merge_base string")
+
+
+def body_template(spark: SparkSession, path: str) -> str | None:
+    """The text of a template file; null where there is none."""
+    return "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()) if plan_exists(spark, path) else None
+
+
 def live_states(answers: DataFrame, number: str = "pr_number", column: str = "json") -> DataFrame:
     """pr_number, state, review_decision, is_draft; nulls where the answer is missing or no JSON."""
     d = F.from_json(column, "state string, reviewDecision string, isDraft boolean")

@@ -2,15 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import markdown_cell
+from ..options import PlanError
 
 
 def write_plan(plans: DataFrame, path: str) -> None:
-    """One plan document; overwritten."""
-    plans.coalesce(1).write.mode("overwrite").json(path)
+    """A line of JSON for each plan, in as many files as the table has partitions; overwritten."""
+    plans.write.mode("overwrite").json(path)
+
+
+def write_files(made: DataFrame, root: str) -> DataFrame:
+    """Writes the contents of files of groups (change_id, group_id, file_path, content) below
+    root/change/group, removing those with null content, and returns a row for each: path, bytes (null:
+    removed). root: a URI that all executors share and pyarrow can write."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        where, top = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            told = []
+            for change, group, name, content in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if ".." in name.split("/") or name.startswith("/"):
+                    raise PlanError(f"{name} is outside its folder")
+                path = f"{top}/{change}/{group}/{name}"
+                if content is None:
+                    if where.get_file_info(path).type == fs.FileType.File:
+                        where.delete_file(path)
+                    told.append((path, None))
+                else:
+                    where.create_dir(path.rpartition("/")[0], recursive=True)
+                    with where.open_output_stream(path, compression=None) as f:
+                        f.write(content.encode())
+                    told.append((path, len(content.encode())))
+            yield pa.RecordBatch.from_arrays([pa.array([t[0] for t in told], pa.string()), pa.array([t[1] for t in told], pa.int64())], ["path", "bytes"])
+
+    rows = made.select(F.col("change_id").cast("string"), F.col("group_id").cast("string"), "file_path", "content")
+    return rows.mapInArrow(run, "path string, bytes long")
 
 
 def plan_json(row: Column) -> Column:
