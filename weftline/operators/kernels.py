@@ -45,24 +45,23 @@ def best_chunks(files: list[Any], tokens: list[int], budget: int) -> tuple[float
     """The cheapest cut of a sequence into chunks within the budget: (cost, first hunk of each chunk).
     Of equally cheap last chunks the shortest is taken. Every hunk must fit the budget."""
     n = len(tokens)
-    cost, cut = [0.0] + [float("inf")] * n, [0] * (n + 1)
-    for end in range(1, n + 1):
-        border = O.CHUNK_SAME_FILE_BOUNDARY if end < n and files[end - 1] == files[end] else 0.0
-        used, seen = 0, set()
-        for start in reversed(range(end)):
-            used += tokens[start]
-            if used > budget:
-                break
-            seen.add(files[start])
-            slack = budget - used
-            whole = cost[start] + (O.CHUNK_BASE_COST + slack * slack / max(1, budget) + (len(seen) - 1) * O.CHUNK_FILE_MIX + border)
-            if whole < cost[end]:
-                cost[end], cut[end] = whole, start
-    starts, at = [], n
-    while at:
-        at = cut[at]
-        starts.append(at)
-    return cost[n], starts[::-1]
+    upto = np.concatenate([[0], np.cumsum(np.array(tokens, np.int64))])
+    cost, cut = np.zeros(n + 1), np.zeros(n + 1, np.int64)
+    mix = np.zeros(n, np.int64)  # of each start: files between it and the present end, but for one
+    before: dict[Any, int] = {}
+    for end, file in enumerate(files, 1):
+        mix[before.get(file, -1) + 1 : end - 1] += 1
+        before[file] = end - 1
+        first = int(np.searchsorted(upto, upto[end] - budget))
+        slack = budget - (upto[end] - upto[first:end])
+        border = O.CHUNK_SAME_FILE_BOUNDARY if end < n and files[end] == file else 0.0
+        whole = cost[first:end] + (O.CHUNK_BASE_COST + slack * slack / max(1, budget) + mix[first:end] * O.CHUNK_FILE_MIX + border)
+        cut[end] = end - 1 - int(whole[::-1].argmin())
+        cost[end] = whole[cut[end] - first]
+    starts = [n]
+    while starts[-1]:
+        starts.append(int(cut[starts[-1]]))
+    return float(cost[n]), starts[:0:-1]
 
 
 # ---- groups of units ----------------------------------------------------------------------------
@@ -127,30 +126,32 @@ class Units:
                 return False
         return True
 
+    def _missing(self, *loads: int) -> int:
+        """Lines that the loads lack to the minimum, together."""
+        return sum(max(0, self.options.min_loc - n) for n in loads)
+
     def _partner(self, groups: list[list[int]], i: int) -> int | None:
-        o, best, found = self.options, None, None
-        own = self.load(groups[i])
-        for j, other in enumerate(groups):
-            whole = own + self.load(other)
-            if j == i or whole > o.max_loc or not self._adjacent(groups, i, j):
-                continue
-            missing = (o.min_loc - own) + max(0, o.min_loc - self.load(other))
-            if max(0, o.min_loc - whole) >= missing:
-                continue
-            key = (whole >= o.min_loc, self.closeness(groups[i], other), -abs(groups[i][0] - other[0]), whole - o.max_loc, -min(i, j), -max(i, j))
-            if best is None or key > best:
-                best, found = key, j
-        return found
+        """The group that a small one had best be merged into: enough lines first, then closeness, distance,
+        how full it gets, and the earlier pair."""
+        own, loads = self.load(groups[i]), [self.load(g) for g in groups]
+        fits = [j for j, n in enumerate(loads) if j != i and own + n <= self.options.max_loc and self._missing(own + n) < self._missing(own, n) and self._adjacent(groups, i, j)]
+
+        def worth(j: int) -> tuple:
+            return not self._missing(own + loads[j]), self.closeness(groups[i], groups[j]), -abs(groups[i][0] - groups[j][0]), loads[j], -min(i, j), -max(i, j)
+
+        return max(fits, key=worth, default=None)
+
+    def _merges(self, groups: list[list[int]]) -> Iterator[tuple[int, int]]:
+        """Small groups and their partners, the smallest first."""
+        if self.options.min_loc is not None and len(groups) > 1:
+            small = [(self.load(g), g[0], i) for i, g in enumerate(groups) if self._missing(self.load(g))]
+            pairs = ((i, self._partner(groups, i)) for _, _, i in sorted(small))
+            yield from ((i, j) for i, j in pairs if j is not None)
 
     def repair(self, groups: list[list[int]]) -> list[list[int]]:
         """Merges groups below the minimum into the best group beside them, smallest first, until none can be."""
-        low = self.options.min_loc
         groups = [list(g) for g in groups]
-        while low is not None and len(groups) > 1:
-            small = sorted((self.load(g), g[0], i) for i, g in enumerate(groups) if self.load(g) < low)
-            pair = next(((i, j) for _, _, i in small if (j := self._partner(groups, i)) is not None), None)
-            if pair is None:
-                break
+        while pair := next(self._merges(groups), None):
             i, j = pair
             groups[j] = sorted(groups[i] + groups[j])
             del groups[i]
