@@ -167,7 +167,7 @@ def test_recall_is_fitted_without_the_own_rows():
     assert hits >= 0.9 * 500
 
 
-@pytest.mark.parametrize("load", [20_000, 5])
+@pytest.mark.parametrize("load", [4000, 5])
 def test_phrases(docs, texts, none, load):
     got = table(phrase_dedup.remove_repeated(docs, load=load, with_text=True))
     all_ = {i: words(t) for i, t in texts}
@@ -184,7 +184,7 @@ def test_phrases(docs, texts, none, load):
         assert phrase_dedup.remove_repeated(none).count() == 0
 
 
-@pytest.mark.parametrize("load", [20_000, 5])
+@pytest.mark.parametrize("load", [4000, 5])
 def test_suffixes(docs, texts, none, load):
     got = table(suffix_dedup.remove_repeated_bytes(docs, load=load, batch=2000, with_text=True))
     seen = set()
@@ -227,7 +227,7 @@ def test_phrases_go_by_the_automata_alone(spark, monkeypatch):
     assert phrase_dedup._automata(unit)(table).num_rows == 0
 
 
-@pytest.mark.parametrize("load", [20_000, 5])
+@pytest.mark.parametrize("load", [4000, 5])
 def test_different_texts_under_one_id(spark, load):
     r = random.Random(16)
     body = " ".join("".join(r.choices("abcdef", k=5)) for _ in range(60))

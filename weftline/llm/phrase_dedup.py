@@ -98,7 +98,7 @@ def _automata(unit: repeats.Unit):
     return run
 
 
-def remove_repeated(docs: DataFrame, window: int = 35, gram: int = 10, load: int = 20_000, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeated(docs: DataFrame, window: int = 35, gram: int = 10, load: int = 4000, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """id_col, n_words, n_removed, kept_sha256 (and kept_text) for each row of docs.
 
     A word goes if a window of `window` consecutive words of its document covers it whose words also

@@ -113,7 +113,7 @@ def _index(unit: repeats.Unit, batch: int):
     return run
 
 
-def remove_repeated_bytes(docs: DataFrame, window: int = 100, gram: int = 32, load: int = 20_000, batch: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, window: int = 100, gram: int = 32, load: int = 4000, batch: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans, kept_sha256 (and kept_bytes) for each row of docs.
 
     A byte goes if a string of `window` bytes of its text covers it that also starts earlier: in a text
