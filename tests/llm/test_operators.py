@@ -722,6 +722,16 @@ def test_plan_uses_up_the_histogram(seed):
     assert sum(t for _, t in made) <= 1.01 * math.ceil(sum(n * c for n, c in counts.items()) / 1000) + 2
 
 
+def test_places_are_bounded_by_the_capacity():
+    small, large = ({n: 1 + n * k % 7 for n in range(1, 257)} for k in (1, 1_000_003))
+    sizes = []
+    for counts in (small, {n: c * 10_000 for n, c in large.items()}):
+        made = packing.plan(counts, 256)
+        assert len(made) <= 10 * 256
+        sizes.append(len(packing._Places(made).key))
+    assert max(sizes) <= 10 * 256 * 6
+
+
 def test_pipeline(spark, docs, texts, tmp_path):
     import corpus_pipeline
 

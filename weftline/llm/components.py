@@ -13,7 +13,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Every node takes its smallest neighbour as parent, parents are followed twice, and what links the
     trees found so far is the next, smaller graph, until none is left. Rows stay one for each node or
-    link; a node with very many links is joined on, never gathered."""
+    link; a node with very many links is joined on, never gathered: the side with its many rows is the one
+    that adaptive execution splits, as the other has one row for each node."""
     edges = common.store(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "links")
     found: DataFrame | None = None
     while found is None or not edges.isEmpty():

@@ -175,6 +175,11 @@ def _compare_blocks(percent: int):
     return run
 
 
+def _parts() -> Column:
+    """A row for each part into which what belongs to one list is dealt."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("part")
+
+
 def _linked_in_blocks(rows: DataFrame, sigs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Links that are still missing in lists (node, root, key, length) with several components.
 
@@ -194,7 +199,7 @@ def _linked_in_blocks(rows: DataFrame, sigs: DataFrame, docs: DataFrame, n: int,
     meets = common.store(meets, "meetings")
     top = meets.filter("own is not null").groupBy("key", "own").agg(F.sum("many").alias("many")).groupBy("key").agg(F.max(F.struct("many", "own"))["own"].alias("top"))
     outside = meets.join(top, "key", "left").filter("own is null or own <> top").select("key", F.col("block").alias("x"), F.pmod(F.xxhash64("block"), F.lit(PARTS)).alias("part"))
-    others = meets.select("key", F.col("block").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("part"))
+    others = meets.select("key", F.col("block").alias("y"), _parts())
     pairs = outside.join(others, ["key", "part"]).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     pairs = common.store(pairs, "block-pairs")
     sets = _sets(docs, placed.select(F.col("node").alias("id")), n).groupBy("id").agg(F.min("hashes").alias("hashes"))
@@ -240,10 +245,10 @@ def classes_and_links(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame,
         return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     def open_lists(roots: DataFrame | None) -> DataFrame:
-        """Postings of the long lists whose members aren't all of one component."""
+        """Postings of the long lists whose members aren't all of one component. A list is dealt over parts."""
         rows = labelled(long_, roots)
-        mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-        return common.store(rows.join(mixed, "key"), "open")
+        mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key", _parts())
+        return common.store(rows.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS))).join(mixed, ["key", "part"]).drop("part"), "open")
 
     roots = None if links.isEmpty() else components(links)
     rows = open_lists(roots)

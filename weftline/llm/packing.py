@@ -98,7 +98,9 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
 
 
 class _Places:
-    """Where the r-th piece of a length goes: as many rows as the plan has (pattern, length) pairs."""
+    """Where the r-th piece of a length goes: as many rows as the plan has (pattern, length) pairs. A plan has
+    at most per_length + 1 fitted patterns for each of `capacity` lengths, and each fill of the rest uses up
+    a length; so its size is bounded by the capacity, whatever the corpus, and it is sent to all tasks."""
 
     def __init__(self, made: list[tuple[tuple[int, ...], int]]):
         rows, given, first = [], Counter(), 0
