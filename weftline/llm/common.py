@@ -111,18 +111,40 @@ def with_keys(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
     return rows.join(keys.filter(F.col(name) >= F.lit(-(1 << 63))), name)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers are kept for later tasks, and what they hold on to counts
+    beside those."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # absent outside glibc
+        if trim:
+            trim(0)
+
+
+def tidy(run: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """run over a group's tables (one, or two of a cogroup), what it has freed given back after each."""
+    import inspect
+
+    def one(table: pa.Table) -> pa.Table:
+        out = run(table)
+        give_back()
+        return out
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = run(left, right)
+        give_back()
+        return out
+
+    return two if len(inspect.signature(run).parameters) == 2 else one
+
+
 def lean(run: Callable[[Iterator], Iterator], rows: int = 1000) -> Callable[[Iterator], Iterator]:
-    """run over batches of so many rows at most, whatever the session's batches are. At the end of a task
-    what it has freed is given back to the system: workers are kept for later tasks, and what they hold on
-    to counts beside those."""
+    """run over batches of so many rows at most, whatever the session's batches are; at the end of a task
+    what it has freed is given back."""
 
     def wrapped(batches: Iterator) -> Iterator:
         yield from run(b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows))
-        pa.default_memory_pool().release_unused()
-        if sys.platform == "linux":
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # absent outside glibc
-            if trim:
-                trim(0)
+        give_back()
 
     return wrapped
 

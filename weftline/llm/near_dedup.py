@@ -210,7 +210,7 @@ def _linked_in_blocks(rows: DataFrame, sigs: DataFrame, docs: DataFrame, n: int,
         return pairs.select(*[F.col(c).alias(c) for c in ("x", "y")]).join(own, key).groupBy("x", "y")
 
     left, right = side("x"), side("y")
-    return common.store(left.cogroup(right).applyInArrow(_compare_blocks(percent), "a long, b long"), "confirmed")
+    return common.store(left.cogroup(right).applyInArrow(common.tidy(_compare_blocks(percent)), "a long, b long"), "confirmed")
 
 
 def _ordered(a: str, b: str) -> list[Column]:

@@ -268,7 +268,7 @@ def routed(docs: DataFrame, unit: Unit, task: Callable[[pa.Table], pa.Table], id
     routes = common.store(routes, "routes")
     near = common.with_keys(keyed, common.store(routes.select("key"), "keys"), "key")
     pieces = _pieces(near.join(routes, "key"), unit)
-    return keyed, common.store(pieces.groupBy("cell", "salt").applyInArrow(task, FOUND), "found")
+    return keyed, common.store(pieces.groupBy("cell", "salt").applyInArrow(common.tidy(task), FOUND), "found")
 
 
 def by_document(keyed: DataFrame, found: DataFrame, run: Callable, schema: str, untouched: DataFrame) -> DataFrame:
