@@ -732,6 +732,28 @@ def test_places_are_bounded_by_the_capacity():
     assert max(sizes) <= 10 * 256 * 6
 
 
+def test_registered_queries(spark, docs, texts, tmp_path):
+    """What each contract returns, by the queries themselves."""
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    ids, size = [i for i, _ in texts], {i: len(words(t)) for i, t in texts}
+    run = {name: table(f(spark, str(tmp_path))) for name, f in queries.QUERIES.items() if name in ("op1_mixing", "op3_phrase_dedup", "op4_language", "op5_suffix_dedup", "op6_token_file", "op7_exact_dedup", "op9_near_dedup")}
+    assert all(sorted(rows) == ids for rows in run.values())
+    for i, t in texts:
+        assert run["op3_phrase_dedup"][i]["n_words"] == size[i] == run["op1_mixing"][i]["size"]
+        assert run["op5_suffix_dedup"][i]["n_bytes"] == len((t or "").encode())
+        language_ = run["op4_language"][i]
+        assert language_["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and (language_["lang_pred"] == "und") == (not any(c.isalpha() for c in t or ""))
+        assert language_["lang_pred"] in ("en", "fr", "und") and 0 <= language_["score"] <= 1
+    found = near_truth(texts, 4)
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in run["op9_near_dedup"].items()} == found
+    packed = queries.op10_packing(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in packed} == set(ids) and sum(r["length"] for r in packed) > sum(size.values()) / 2
+    at = 0
+    for i in sorted(ids):
+        assert run["op6_token_file"][i]["start"] == at
+        at += run["op6_token_file"][i]["n_tokens"]
+
+
 def test_pipeline(spark, docs, texts, tmp_path):
     import corpus_pipeline
 
