@@ -1,14 +1,16 @@
 """An adaptive context-mixing range coder for token ids, many blocks at a time.
 
-Each block of ids starts from fresh statistics and can be decoded alone. Blocks of one length are coded
-side by side, one numpy lane each: step t codes the t-th id of every block.
+Each block of ids starts from fresh statistics and can be decoded alone. Blocks are coded side by side, one
+numpy lane each: step t codes the t-th id of every block. The last block is filled up with zeros.
 
 An id is predicted from the two ids before it (order 2), from the one before it (order 1) and from the
 frequencies so far (order 0). What is coded first is whether it is the order-2 prediction, the order-1
 prediction or neither. Three experts give the chances of that, by how often the order-2 prediction held
 lately, by the same for order 1, and overall; their chances are mixed with weights that follow how well
-each has done. Any other id is coded by the order-0 frequencies of its upper and lower byte, which are
-renewed at fixed steps. Chances are multiples of 1/4096; the coder keeps 64 bits and emits 32 at a time.
+each has done. Any other id is coded by the order-0 frequencies of its upper and lower byte. Predictions
+change with every id; chances, weights and frequencies are renewed at fixed steps from what was counted
+since, for all states at once, so that a step only looks them up. Chances are multiples of 1/4096; the
+coder keeps 64 bits and emits 32 at a time. All of it is whole numbers, so every machine decodes alike.
 """
 
 from __future__ import annotations
@@ -20,103 +22,115 @@ _ONE = 1 << _BITS
 _LOW32 = np.uint64(0xFFFFFFFF)
 _S32 = np.uint64(32)
 _SHIFT = np.uint64(_BITS)
+_SHIFT2 = np.uint64(2 * _BITS)
 _SLOTS = 4096  # of the tables of predictions, for each block
+_BLOCK = 1 << 19  # ids of a block at most: counts times 4096 stay within 31 bits
+_NONE = 65536  # predicted where nothing is known yet: no id
+_PRIOR = np.array([5, 3, 8], np.int32)[:, None]  # counts in sixteenths: order 2, order 1, neither
 
 
-def _renewals(steps: int) -> set[int]:
-    """Steps at which order-0 frequencies are renewed: often at first, then every 256."""
-    return {16, 32, 64, 128, *range(256, steps, 256)}
+def _renewals(steps: int) -> tuple[set[int], set[int]]:
+    """Steps at which chances, and at which order-0 frequencies are renewed: often at first."""
+    return {4, 8, 16, 32, *range(64, steps, 64)}, {16, 32, 64, 128, *range(256, steps, 256)}
 
 
 class _Model:
+    """States are 5 * 10: how often the order-2 prediction held lately (0 to 4), and order 1's, plus 5 where
+    both predict one id. Arrays by state have the lanes last."""
+
     def __init__(self, lanes: int):
         self.row = np.arange(lanes)
-        self.pred = [np.full(lanes * _SLOTS, -1, np.int32) for _ in range(2)]
-        self.held = [np.zeros(lanes * _SLOTS, np.uint8) for _ in range(2)]
-        self.p = [np.tile(np.array([20000, 30000], np.int32), (lanes * 10, 1)) for _ in range(2)] + [np.tile(np.array([20000, 30000], np.int32), (lanes, 1))]
-        self.w = np.full((3, lanes), 20000, np.int32)
+        self.lanes, self.slot, self.byte = lanes, self.row * _SLOTS, self.row * 256
+        self.state0 = self.row.astype(np.int32)
+        self.pred = [np.full(lanes * _SLOTS, _NONE << 3, np.int32) for _ in range(2)]  # id, and how often it held
+        self.hits = np.zeros((5, 10, 3, lanes), np.int32)
+        self.chance = np.empty((5, 10, 3, lanes), np.int32)  # the two bounds, at outcome 0
+        self.n = [np.zeros((states, 3, lanes), np.int32) for states in (5, 10, 1)]
+        self.w = np.full((3, lanes), _ONE // 3, np.int32)
         self.seen = np.zeros((2, lanes * 256), np.int32)
-        self.cum = np.empty((2, lanes * 257), np.int64)
-        self.last = np.zeros((2, lanes), np.int64)
+        self.start = np.empty((2, lanes * 256), np.int16)
+        self.range = np.empty((2, lanes * 256), np.int32)  # start of a byte's range, and its length above 16 bits
+        self.one = self.two = np.zeros(lanes, np.int64)
+        self.mix()
         self.renew()
 
+    def _shares(self) -> list[np.ndarray]:
+        return [((n + _PRIOR) << _BITS) // (n + _PRIOR).sum(1, keepdims=True) for n in self.n]
+
+    def mix(self) -> None:
+        """New chances from the outcomes counted since the last time."""
+        new = [self.hits.sum(1, dtype=np.int32), self.hits.sum(0, dtype=np.int32)]
+        new.append(new[0].sum(0, dtype=np.int32)[None])
+        steps = int(new[2][:, :, 0].sum())
+        if steps:
+            got = np.stack([(n * q).sum((0, 1), dtype=np.int32) // steps for n, q in zip(new, self._shares(), strict=True)])
+            self.w = np.maximum(self.w + ((got - self.w) >> 1), 64)
+            self.n = [n - (n >> 2) + 16 * m for n, m in zip(self.n, new, strict=True)]
+            self.hits[:] = 0
+        q, w = self._shares(), (self.w << _BITS) // self.w.sum(0, dtype=np.int32)
+        first, second = (((w[0] * q[0][:, s])[:, None] + (w[1] * q[1][:, s] + w[2] * q[2][0, s])[None]) >> _BITS for s in (0, 1))
+        a = 1 + (first * (_ONE - 3) >> _BITS)
+        self.chance[:, :, 0] = a | (a + 1 + (second * (_ONE - 3) >> _BITS)) << 16
+
     def renew(self) -> None:
+        """New order-0 frequencies from all bytes coded so far."""
         for k in range(2):
-            seen = self.seen[k].reshape(-1, 256).astype(np.int64)
-            freq = 1 + seen * (_ONE - 256) // np.maximum(1, seen.sum(1, keepdims=True))
-            freq[:, -1] += _ONE - freq.sum(1)
-            cum = self.cum[k].reshape(-1, 257)
-            cum[:, 0] = 0
-            np.cumsum(freq, 1, out=cum[:, 1:])
-
-    def look(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Predictions of order 2 and 1 for the first n lanes, and the bounds of the two chances."""
-        one, two = self.last[1, :n], self.last[0, :n]
-        base = self.row[:n] * _SLOTS
-        self.at = base + ((one * 40503 + two * 10007) >> 2) % _SLOTS, base + one % _SLOTS
-        c2, c1 = self.pred[0][self.at[0]], self.pred[1][self.at[1]]
-        self.k = self.row[:n] * 10 + self.held[0][self.at[0]], self.row[:n] * 10 + self.held[1][self.at[1]] + 5 * (c1 == c2)
-        self.e = self.p[0][self.k[0]], self.p[1][self.k[1]], self.p[2][:n]
-        w = self.w[:, :n]
-        whole = w[0] + w[1] + w[2]
-        mix = [(w[0] * self.e[0][:, j].astype(np.int64) + w[1] * self.e[1][:, j].astype(np.int64) + w[2] * self.e[2][:, j].astype(np.int64)) // whole for j in range(2)]
-        a = 1 + (mix[0] * (_ONE - 3) >> 16)
-        b = 2 + (mix[1] * (_ONE - 3) >> 16)
-        return c2, c1, a, b
-
-    def learn(self, n: int, ids: np.ndarray, s: np.ndarray, rest: np.ndarray) -> None:
-        first, upto = s == 0, s <= 1
-        goal = np.where(np.stack([first, upto], 1), 65535, 0).astype(np.int32)
-        for j, e in enumerate(self.e):
-            got = np.where(first, e[:, 0], np.where(upto, e[:, 1] - e[:, 0], 65536 - e[:, 1]))
-            w = self.w[j, :n]
-            w += (got - w) >> 4
-            np.maximum(w, 512, out=w)
-            new = e + ((goal - e) >> 5)
-            if j < 2:
-                self.p[j][self.k[j]] = new
-            else:
-                self.p[2][:n] = new
-        for j in range(2):
-            at = self.at[j]
-            right = self.pred[j][at] == ids
-            self.held[j][at] = np.where(right, np.minimum(self.held[j][at] + 1, 4), 1)
-            self.pred[j][at] = ids
+            seen = self.seen[k].reshape(-1, 256)
+            freq = 1 + seen * (_ONE - 256) // np.maximum(1, seen.sum(1, keepdims=True, dtype=np.int32))
+            freq[:, -1] += _ONE - freq.sum(1, dtype=np.int32)
+            start = np.cumsum(freq, 1, dtype=np.int32) - freq
+            self.start[k] = start.ravel()
+            self.range[k] = (start | freq << 16).ravel()
+
+    def look(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Predictions of order 2 and 1, and the bounds of the two chances."""
+        one = self.one
+        self.at = self.slot + ((one * 40503 + self.two * 10007 >> 2) & (_SLOTS - 1)), self.slot + (one & (_SLOTS - 1))
+        e2, e1 = self.pred[0].take(self.at[0]), self.pred[1].take(self.at[1])
+        c2, c1, self.held = e2 >> 3, e1 >> 3, (e2 & 7, e1 & 7)
+        self.same = c1 == c2
+        state = self.held[0] * 10 + self.held[1] + self.same * np.int32(5)
+        self.state = (state * np.int32(3 * self.lanes) + self.state0).astype(np.int64)
+        ab = self.chance.reshape(-1).take(self.state).astype(np.uint64)
+        return c2, c1, ab & np.uint64(0xFFFF), ab >> np.uint64(16)
+
+    def learn(self, x: np.ndarray, first: np.ndarray, upto: np.ndarray, rest: np.ndarray, high: np.ndarray | None, lower: np.ndarray | None) -> None:
+        """x: the ids of this step; first, upto: whether the outcome was 0, was 0 or 1; rest: the lanes
+        of outcome 2, high and lower: the places of their bytes."""
+        self.hits.reshape(-1)[self.state + (2 * self.lanes - first * self.lanes - upto * self.lanes)] += 1
+        id8 = (x << 3) + np.int32(1)
+        for k, right in enumerate((first, upto & (self.same | ~first))):
+            self.pred[k][self.at[k]] = id8 + np.minimum(self.held[k], 3) * right
         if len(rest):
-            self.seen[0][rest * 256 + (ids[rest] >> 8)] += 24
-            self.seen[1][rest * 256 + (ids[rest] & 255)] += 24
-        self.last[0, :n] = self.last[1, :n]
-        self.last[1, :n] = ids
+            self.seen[0][high] += 1
+            self.seen[1][lower] += 1
+        self.two, self.one = self.one, x.astype(np.int64)
 
 
 def _lanes(total: int, block: int) -> tuple[int, int]:
-    """Number of blocks, and the ids of the last."""
+    """Number of blocks, and the steps that code them all."""
     n = -(-total // block)
-    return n, total - (n - 1) * block
+    return n, block if n > 1 else total
 
 
 def encode(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     """The words of all blocks one after the other, and their number in each block. Ids are below 65536."""
     if not len(ids):
         return np.zeros(0, "<u4"), np.zeros(0, np.int64)
-    if int(ids.max()) >= 65536:
+    if int(ids.max()) >= _NONE:
         raise ValueError("ids of more than 16 bits")
-    lanes, short = _lanes(len(ids), block)
+    if not 0 < block <= _BLOCK:
+        raise ValueError(f"blocks of 1 to {_BLOCK} ids")
+    lanes, steps = _lanes(len(ids), block)
     grid = np.zeros(lanes * block, np.int32)
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
-    model, renew = _Model(lanes), _renewals(block)
+    model, (mixes, renewals) = _Model(lanes), _renewals(block)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     room = 2 * block + 8
     out, at = np.zeros(lanes * room, "<u4"), np.arange(lanes) * room
 
-    def put(rows, start: np.ndarray, freq: np.ndarray) -> None:
-        r = span[rows] >> _SHIFT
-        low[rows] += r * start.astype(np.uint64)
-        span[rows] = r * freq.astype(np.uint64)
-
-    def settle(n: int) -> None:
-        tight = np.flatnonzero(span[:n] <= _LOW32)
+    def settle(tight: np.ndarray) -> None:
         if len(tight):
             lo, sp = low[tight], span[tight]
             split = (lo ^ (lo + sp - np.uint64(1))) >> _S32 != 0
@@ -126,24 +140,33 @@ def encode(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
             low[tight] = lo << _S32
             span[tight] = np.minimum(sp, _LOW32) << _S32
 
-    for t in range(block if lanes > 1 else short):
-        n = lanes if t < short else lanes - 1
-        if t in renew:
+    for t in range(steps):
+        if t in mixes:
+            model.mix()
+        if t in renewals:
             model.renew()
-        x = grid[t, :n]
-        c2, c1, a, b = model.look(n)
-        s = np.where(x == c2, 0, np.where(x == c1, 1, 2))
-        put(slice(n), np.where(s == 0, 0, np.where(s == 1, a, b)), np.where(s == 0, a, np.where(s == 1, b - a, _ONE - b)))
-        rest = np.flatnonzero(s == 2)
+        x = grid[t]
+        c2, c1, a, b = model.look()
+        first = x == c2
+        upto = first | (x == c1)
+        high = lower = None
+        r = span >> _SHIFT
+        a, b = r * a, r * b
+        span = np.where(first, a, np.where(upto, b - a, span - b))
+        low += np.where(first, np.uint64(0), np.where(upto, a, b))
+        settle(np.flatnonzero(span <= _LOW32))
+        rest = np.flatnonzero(~upto)
         if len(rest):
-            settle(n)
-            for k, byte in enumerate((x[rest] >> 8, x[rest] & 255)):
-                place = rest * 257 + byte
-                start = model.cum[k][place]
-                put(rest, start, model.cum[k][place + 1] - start)
-                settle(n)
-        settle(n)
-        model.learn(n, x, s, rest)
+            lit, base = x.take(rest), model.byte.take(rest)
+            high, lower = base + (lit >> 8), base + (lit & 255)
+            e, g = model.range[0].take(high), model.range[1].take(lower)
+            f = e >> 16
+            r = span.take(rest) >> _SHIFT2
+            low[rest] += r * ((e & 0xFFFF) * _ONE + f * (g & 0xFFFF)).astype(np.uint64)
+            r *= (f * (g >> 16)).astype(np.uint64)
+            span[rest] = r
+            settle(rest[r <= _LOW32])
+        model.learn(x, first, upto, rest, high, lower)
     for half in (low >> _S32, low & _LOW32):
         out[at] = half
         at += 1
@@ -156,26 +179,18 @@ def decode(data: np.ndarray, words: np.ndarray, total: int, block: int) -> np.nd
     """The ids back from what encode gave."""
     if not total:
         return np.zeros(0, "<u4")
-    lanes, short = _lanes(total, block)
+    lanes, steps = _lanes(total, block)
     data = np.append(data.astype(np.uint64), np.zeros(2, np.uint64))
     at = np.cumsum(words) - words
     grid = np.zeros((block, lanes), np.int32)
-    model, renew = _Model(lanes), _renewals(block)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    model, (mixes, renewals) = _Model(lanes), _renewals(block)
+    span = np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    low = np.zeros(lanes, np.uint64)
     code = (data[at] << _S32) | data[at + 1]
     at = at + 2
     last = len(data) - 1
 
-    def value(rows) -> np.ndarray:
-        return np.minimum((code[rows] - low[rows]) // (span[rows] >> _SHIFT), np.uint64(_ONE - 1)).astype(np.int64)
-
-    def take(rows, start: np.ndarray, freq: np.ndarray) -> None:
-        r = span[rows] >> _SHIFT
-        low[rows] += r * start.astype(np.uint64)
-        span[rows] = r * freq.astype(np.uint64)
-
-    def settle(n: int) -> None:
-        tight = np.flatnonzero(span[:n] <= _LOW32)
+    def settle(tight: np.ndarray) -> None:
         if len(tight):
             lo, sp = low[tight], span[tight]
             split = (lo ^ (lo + sp - np.uint64(1))) >> _S32 != 0
@@ -185,30 +200,43 @@ def decode(data: np.ndarray, words: np.ndarray, total: int, block: int) -> np.nd
             low[tight] = lo << _S32
             span[tight] = np.minimum(sp, _LOW32) << _S32
 
-    for t in range(block if lanes > 1 else short):
-        n = lanes if t < short else lanes - 1
-        if t in renew:
+    def byte(k: int, base: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Places of the bytes in whose ranges the values lie."""
+        start = model.start[k]
+        place = base.copy()
+        for step in (128, 64, 32, 16, 8, 4, 2, 1):
+            place += (start.take(place + step) <= v) * step
+        return place
+
+    for t in range(steps):
+        if t in mixes:
+            model.mix()
+        if t in renewals:
             model.renew()
-        c2, c1, a, b = model.look(n)
-        v = value(slice(n))
-        s = (v >= a).astype(np.int64) + (v >= b)
-        take(slice(n), np.where(s == 0, 0, np.where(s == 1, a, b)), np.where(s == 0, a, np.where(s == 1, b - a, _ONE - b)))
-        x = np.where(s == 0, c2, c1)
-        rest = np.flatnonzero(s == 2)
+        c2, c1, a, b = model.look()
+        r = span >> _SHIFT
+        a, b, d = r * a, r * b, code - low
+        first, upto = d < a, d < b
+        span = np.where(first, a, np.where(upto, b - a, span - b))
+        low += np.where(first, np.uint64(0), np.where(upto, a, b))
+        settle(np.flatnonzero(span <= _LOW32))
+        x = np.where(first, c2, c1)
+        high = lower = None
+        rest = np.flatnonzero(~upto)
         if len(rest):
-            settle(n)
-            found = np.zeros(len(rest), np.int64)
-            for k in range(2):
-                v, base, cum = value(rest), rest * 257, model.cum[k]
-                byte = np.zeros(len(rest), np.int64)
-                for step in (128, 64, 32, 16, 8, 4, 2, 1):
-                    byte += np.where(cum[base + byte + step] <= v, step, 0)
-                start = cum[base + byte]
-                take(rest, start, cum[base + byte + 1] - start)
-                found = found << 8 | byte
-                settle(n)
-            x[rest] = found
-        settle(n)
-        grid[t, :n] = x
-        model.learn(n, x, s, rest)
+            base, lo = model.byte.take(rest), low.take(rest)
+            r = span.take(rest) >> _SHIFT2
+            v = np.minimum((code.take(rest) - lo) // r, np.uint64(_ONE * _ONE - 1)).astype(np.int32)
+            high = byte(0, base, (v >> _BITS).astype(np.int16))
+            e = model.range[0].take(high)
+            f, start = e >> 16, (e & 0xFFFF) * _ONE
+            lower = byte(1, base, np.minimum((v - start) // f, _ONE - 1).astype(np.int16))
+            g = model.range[1].take(lower)
+            low[rest] = lo + r * (start + f * (g & 0xFFFF)).astype(np.uint64)
+            r *= (f * (g >> 16)).astype(np.uint64)
+            span[rest] = r
+            settle(rest[r <= _LOW32])
+            x[rest] = (high - base) << 8 | (lower - base)
+        grid[t] = x
+        model.learn(x, first, upto, rest, high, lower)
     return grid.T.reshape(-1)[:total].astype("<u4")

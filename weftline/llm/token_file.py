@@ -1,9 +1,9 @@
 """Token-id files: written in order of id by all tasks, read back block by block.
 
 Format of a file, all numbers little-endian:
-  magic "WEFTIDS1"; u32 CRC-32 of what follows up to the words; u64 documents, u64 ids, u32 block, u32 blocks;
+  magic "WEFTIDS2"; u32 CRC-32 of what follows up to the words; u64 documents, u64 ids, u32 block, u32 blocks;
   i64 document ids; u8 1 where the document id isn't null; u32 ids of each document;
-  u32 words of each block; u32 CRC-32 of each block's ids; then the blocks' 32-bit words.
+  u32 words of each block; u32 CRC-32 of each block's ids and words; then the blocks' 32-bit words.
 Blocks of `block` ids run across documents and are coded by id_coder, each on its own.
 """
 
@@ -22,19 +22,22 @@ from pyspark.sql import functions as F
 from . import common, id_coder
 from .tokens import tokenizer, with_end
 
-MAGIC = b"WEFTIDS1"
+MAGIC = b"WEFTIDS2"
 _HEAD = struct.Struct("<QQII")
 
 
-def _checks(ids: np.ndarray, block: int) -> list[int]:
-    return [zlib.crc32(ids[a : a + block].tobytes()) for a in range(0, len(ids), block)]
+def _checks(ids: np.ndarray, words: np.ndarray, sizes: np.ndarray, block: int) -> list[int]:
+    """Of each block: the ids, then the words, so damage shows even where it changes no id."""
+    ends = np.cumsum(sizes).tolist()
+    return [zlib.crc32(words[b:c], zlib.crc32(ids[a : a + block])) for a, b, c in zip(range(0, len(ids), block), [0, *ends], ends, strict=False)]
 
 
 def pack_file(doc_ids: np.ndarray, valid: np.ndarray, counts: np.ndarray, ids: np.ndarray, block: int) -> bytes:
     words, sizes = id_coder.encode(ids, block)
-    checks = _checks(ids.astype("<u4"), block)
+    words = words.astype("<u4")
+    checks = _checks(ids.astype("<u4"), words, sizes, block)
     table = _HEAD.pack(len(doc_ids), len(ids), block, len(sizes)) + doc_ids.astype("<i8").tobytes() + valid.astype("u1").tobytes() + counts.astype("<u4").tobytes() + sizes.astype("<u4").tobytes() + np.array(checks, "<u4").tobytes()
-    return MAGIC + struct.pack("<I", zlib.crc32(table)) + table + words.astype("<u4").tobytes()
+    return MAGIC + struct.pack("<I", zlib.crc32(table)) + table + words.tobytes()
 
 
 def unpack_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -50,8 +53,10 @@ def unpack_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     if zlib.crc32(data[12:at]) != struct.unpack_from("<I", data, 8)[0]:
         raise ValueError("the tables of a token-id file are damaged")
     doc_ids, valid, counts, sizes, checks = out
-    ids = id_coder.decode(np.frombuffer(data, "<u4", int(sizes.sum()), at), sizes.astype(np.int64), total, block)
-    if _checks(ids, block) != checks.tolist():
+    sizes = sizes.astype(np.int64)
+    words = np.frombuffer(data, "<u4", int(sizes.sum()), at)
+    ids = id_coder.decode(words, sizes, total, block)
+    if _checks(ids, words, sizes, block) != checks.tolist():
         raise ValueError("a block of a token-id file is damaged")
     return doc_ids, valid.astype(bool), counts.astype(np.int64), ids
 
