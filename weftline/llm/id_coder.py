@@ -23,7 +23,7 @@ _LOW32 = np.uint64(0xFFFFFFFF)
 _S32 = np.uint64(32)
 _SHIFT = np.uint64(_BITS)
 _SHIFT2 = np.uint64(2 * _BITS)
-_SLOTS = 4096  # of the tables of predictions, for each block
+_SLOTS = 2048  # of the tables of predictions, for each block
 _BLOCK = 1 << 19  # ids of a block at most: counts times 4096 stay within 31 bits
 _NONE = 65536  # predicted where nothing is known yet: no id
 _PRIOR = np.array([5, 3, 8], np.int32)[:, None]  # counts in sixteenths: order 2, order 1, neither
