@@ -86,8 +86,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end: int, id_col: str
 
     folder: a URI that driver and executors share and pyarrow can write (file:, s3:, gs:, hdfs:). Null
     and empty texts give their end id; an empty table gives no file; other columns are ignored. Files
-    end after file_ids ids, at the end of a batch of documents; what is left of a partition goes with its
-    last file if it is less than half of one, as few blocks side by side are coded slowly.
+    end after file_ids ids, at the end of a document.
     """
     spark = docs.sparkSession
     text = common.text_or_empty(text_col)
@@ -100,12 +99,13 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end: int, id_col: str
         held: list[tuple] = []
         turn = start = pending = 0
 
-        def flush(some: list[tuple]) -> pa.RecordBatch:
+        def flush() -> pa.RecordBatch:
             nonlocal turn, start, pending
-            ids, counts, doc_ids, valid = (np.concatenate(x) for x in zip(*some, strict=True))
+            ids, counts, doc_ids, valid = (np.concatenate(x) for x in zip(*held, strict=True))
             _save(f"{folder}/{pid:06d}-{turn:06d}.ids", pack_file(doc_ids, valid, counts, ids, block))
             row = [[pid], [turn], [len(doc_ids)], [len(ids)], [start]]
-            turn, start, pending = turn + 1, start + len(ids), pending - len(ids)
+            held.clear()
+            turn, start, pending = turn + 1, start + len(ids), 0
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in row], ["pid", "turn", "docs", "ids", "start"])
 
         for batch in batches:
@@ -115,12 +115,10 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end: int, id_col: str
             key = batch.column(0)
             held.append((ids, np.diff(bounds), key.fill_null(0).to_numpy(), key.is_valid().to_numpy(zero_copy_only=False)))
             pending += len(ids)
-            while pending >= file_ids + file_ids // 2:
-                upto = int(np.searchsorted(np.cumsum([len(h[0]) for h in held]), file_ids)) + 1
-                some, held[:] = held[:upto], held[upto:]
-                yield flush(some)
+            if pending >= file_ids:
+                yield flush()
         if held:
-            yield flush(held)
+            yield flush()
 
     return common.store(rows.mapInArrow(common.lean(run), "pid long, turn long, docs long, ids long, start long"), "files")
 
