@@ -401,6 +401,11 @@ def test_coder_round_trip():
             assert (id_coder.decode(data, sizes, n, block) == ids).all()
     with pytest.raises(ValueError):
         id_coder.encode(np.array([70000]), 16)
+    with pytest.raises(ValueError):
+        id_coder.encode(np.array([1]), (1 << 19) + 1)
+    hot = r.permutation(np.tile(np.array([7, 7, 7, 7, 40000]), 5_000))  # one block longer than usual
+    data, sizes = id_coder.encode(hot, len(hot))
+    assert (id_coder.decode(data, sizes, len(hot), len(hot)) == hot).all()
     ids = (r.zipf(1.5, 20000) % 500).astype("<u4")
     assert len(id_coder.encode(ids, 4096)[0]) * 4 < 0.6 * 2 * len(ids)
 
