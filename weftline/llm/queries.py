@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, language, mixing, near_dedup, packing, phrase_dedup, suffix_dedup, token_file, url_filter
+from . import ann, exact_dedup, language, mixing, near_dedup, packing, phrase_dedup, prefix_trie, suffix_dedup, token_file, url_filter, whitening, winnowing
 from .common import documents, new_path
 
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -64,7 +65,20 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), shingle_words=4)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_ann, op3_phrase_dedup, op4_language, op5_suffix_dedup, op6_token_file, op7_exact_dedup, op8_url_filter, op9_near_dedup, op10_packing)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(documents(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(documents(spark, sf_dir, "conversations"))
+
+
+_ALL = (op1_mixing, op2_ann, op3_phrase_dedup, op4_language, op5_suffix_dedup, op6_token_file, op7_exact_dedup, op8_url_filter, op9_near_dedup, op10_packing, op11_whitening, op12_decontamination, op13_prefix_trie)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 SQL: dict[str, str] = {
     "op1_mixing": r"""
