@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import inspect
 import json
 import re
 
@@ -7,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
-from weftline.functions import text
+from weftline.functions import prompts, text
 from weftline.functions.prompts import Prompts
-from weftline.operators import actions, edit, graph, kernels, planning, stats, validate
+from weftline.operators import actions, chunking, edit, graph, kernels, planning, stats, validate
 from weftline.options import PlanOptions
 from weftline.sources import documents, sinks
 
@@ -203,9 +204,11 @@ def test_long_chains_are_drawn():
     assert kernels.Graph({"a": [], "b": ["a"], "c": ["a"], "d": ["b"]}).tree() == ["a", "├── b", "│   └── d", "└── c"]
 
 
-def test_messages_take_their_values():
-    assert len(text.MESSAGES) >= 22 and text.message("pr_not_found", 7).startswith("there is no pull request 7")
-    assert all(text.message(k, *[7 if x == "d" else "x" for x in re.findall("%([ds])", m)]) for k, m in text.MESSAGES.items())
+def test_messages_are_those_of_checks(spark):
+    source = inspect.getsource(validate) + inspect.getsource(chunking) + inspect.getsource(text)
+    assert all(f'MESSAGES["{k}"]' in source for k in text.MESSAGES)
+    said = Prompts().system_text("orthogonal", 77)
+    assert all(name in said for name in prompts.CHECKS) and "the maximum is 77" in said and "partial_hunks" in said
 
 
 def test_catalogue_of_queries_matches_its_sql():

@@ -1,55 +1,48 @@
-"""Texts for a planning model: instructions, and what is told of a diff, a chunk or a plan.
-
-The words are this package's own and can be replaced; what is put into them has fixed formats."""
+"""Texts for a planning model: what an answer looks like, by which checks it is judged, and what is told of a diff, a
+chunk or a plan. All templates can be replaced; what is put into them has fixed formats."""
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, fields
 from string import Formatter
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import options as O
 from ..options import Priority
+from .text import MESSAGES
+
+#: Checks of operators/validate.py that a model's plan has to pass.
+CHECKS = ("unknown_dependency", "cycle", "coverage_gap", "coverage_overlap", "conflict", "above_max")
+
+
+def answer_schema() -> str:
+    """The columns of an answer, one a line, as sources/documents.py reads them."""
+    assignment = "file_path, assignment_type (" + " | ".join(O.AssignmentType) + "), hunk_indices"
+    return f"groups: list of\n  id, title, description, depends_on: list of ids, estimated_loc\n  assignments: list of {assignment}"
+
+
+def checks() -> str:
+    """A line for each check, made of the message that its failure is reported with."""
+    return "\n".join(f"- {name}: {re.sub('%[ds]', '..', MESSAGES[name])}" for name in CHECKS)
 
 
 @dataclass(frozen=True)
 class Prompts:
     """Templates with {placeholders}; a template may leave placeholders out."""
 
-    system: str = (
-        "You cut one large change into small groups that can be reviewed and merged one after the other.\n\n"
-        "1. Each hunk of the diff belongs to one group: none is left over, none is used twice.\n"
-        "2. Groups name the groups they depend on in depends_on; following these never leads in a circle.\n"
-        "3. A group has about {max_loc} changed lines (added and removed) or fewer; only what can't be cut may have more.\n"
-        "4. Answer by one call of the tool that takes a list of groups.\n"
-        "5. Titles follow the conventional form type(scope): summary, with one of the types feat, fix, refactor, test, docs, chore, style, perf, ci, build, revert.\n"
-        "6. Hunks are numbered from 0 within each file, as the labels [hunk_index=N] say; never number through all files.\n"
-        "7. A whole_file assignment lists all hunks of its file.\n"
-        "8. A partial_hunks assignment lists just the hunks that it takes.\n"
-        "9. estimated_loc is the sum of added and removed lines of the assigned hunks.\n"
-        "10. Files and hunks that aren't in the diff are never assigned.\n\n"
-        "{priority_instructions}\n"
-    )
-    orthogonal: str = "Priority: orthogonal. Groups should be independent: let them touch different files, so that they can be reviewed side by side, and add a dependency only where hunks of one file need an order."
-    logical: str = "Priority: logical. Groups should each be one concern: a feature, a fix or a refactoring stays together over all its files, and dependencies follow the order in which it is built."
-    user: str = "Split this diff.\n\nFile summary:\n{file_summary}\n\nFull diff:\n{full_diff}"
-    chunk_first: str = (
-        "This is chunk 1 of {total_chunks} of a diff; {remaining_chunks} more will follow, one at a time. Make few, broad groups that later hunks can join, and assign only hunks that are shown here.\n\n"
-        "File summary (this chunk only):\n{file_summary}\n\nDiff (this chunk only):\n{chunk_diff}"
-    )
-    chunk_next: str = (
-        "This is chunk {chunk_index} of {total_chunks} of a diff. Groups made so far:\n{group_catalog}\n\n"
-        "Put hunks into these groups, under their exact ids, wherever they are of the same feature, module or concern. Only what fits none of them gets a new group with an unused id. Return only groups that take hunks of this chunk.\n\n"
-        "File summary (this chunk only):\n{file_summary}\n\nDiff (this chunk only):\n{chunk_diff}"
-    )
-    refine: str = (
-        "The plan breaks limits on changed lines.\n\nViolations:\n{violations}\n\nCurrent plan:\n{current_plan}\n\nFull diff:\n{full_diff}\n\n"
-        "Merge groups that are too small and take hunks out of groups that are too large. Return a whole plan with all hunks; leave groups within the limits as they are where you can."
-    )
+    system: str = "Output\n{schema}\nhunk_indices are the numbers in the labels [hunk_index=N].\n\nA plan fails with\n{checks}\nhere the maximum is {max_loc}.\n\n{priority_instructions}"
+    orthogonal: str = f"Units are kept together by file ({O.SAME_FILE} points), then by test and subject ({O.TEST_PAIR}) and directory ({O.SHARED_DIR} a level, {O.ORTHOGONAL_PENALTY} off); every further file in a group costs {O.ORTHOGONAL_FILE_PENALTY:g}."
+    logical: str = f"Units are kept together by file ({O.SAME_FILE} points), then by test and subject ({O.TEST_PAIR}) and directory ({O.SHARED_DIR} a level, {O.LOGICAL_DIR_BONUS} more for the first); further files are free."
+    user: str = "# Files\n{file_summary}\n\n# Hunks\n{full_diff}"
+    chunk_first: str = "# Part: chunk 1 of {total_chunks}, {remaining_chunks} more to come\n\n# Files\n{file_summary}\n\n# Hunks\n{chunk_diff}"
+    chunk_next: str = "# Part: chunk {chunk_index} of {total_chunks}\n\n# Known groups; an id of theirs adds to that group\n{group_catalog}\n\n# Files\n{file_summary}\n\n# Hunks\n{chunk_diff}"
+    refine: str = "# Limits broken\n{violations}\n\n# Plan to replace\n{current_plan}\n\n# Hunks\n{full_diff}"
 
     def system_text(self, priority: str | Priority, max_loc: int) -> str:
-        return self.system.format(max_loc=max_loc, priority_instructions=self.logical if Priority(priority) == Priority.LOGICAL else self.orthogonal)
+        return self.system.format(schema=answer_schema(), checks=checks(), max_loc=max_loc, priority_instructions=self.logical if Priority(priority) == Priority.LOGICAL else self.orthogonal)
 
     def filled(self, name: str, **values: Column | str | int) -> Column:
         """The named template with columns or constants in its placeholders."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .paths import stem
 
-#: Messages of errors and warnings, by rule.
+#: What operators/validate.py and chunking.py say of a broken rule.
 MESSAGES = {
     "cycle": "the dependency graph has a cycle",
     "unknown_dependency": "depends on an unknown group",
@@ -18,27 +18,9 @@ MESSAGES = {
     "below_min": "group %s has %d lines of code (+%d -%d), below the minimum of %d",
     "above_max": "group %s has %d lines of code (+%d -%d), above the maximum of %d",
     "hunk_too_large": "hunk %d of %s needs %d tokens and exceeds budget %d",
-    "branch_not_found": "there is no branch %s",
-    "dirty_worktree": "the working tree has changes that aren't committed; commit or stash them first",
-    "auth_failed": "the host's command line isn't logged in; log in first",
-    "no_plan": "there is no plan; make one by a split first",
-    "parse_error": "the model's answer can't be read: %s",
-    "branch_create_failed": "branch %s can't be made: %s",
-    "pr_create_failed": "the pull request of group %s can't be made: %s",
-    "merge_failed": "%s can't be merged into %s: %s",
-    "pr_not_found": "there is no pull request %d, or it isn't from a fork",
-    "pr_fetch_failed": "the fork's branch of pull request %d can't be fetched: %s",
-    "fork_fetch_failed": "%s:%s can't be fetched: %s",
-    "min_not_below_max": "min_loc %d must be below max_loc %d",
-    "strict_bounds_failed": "the plan breaks the configured limits on lines of code",
 }
 
 
-def message(rule: str, *values) -> str:
-    """The message of a rule with its values."""
-    return MESSAGES[rule] % values
-
-
 def group_title(index: Column, files: Column) -> Column:
     """files: sorted distinct paths of the group."""
     one = F.concat(F.lit("chore(split): review "), F.replace(stem(F.get(files, F.lit(0))), F.lit("_"), F.lit("-")), F.lit("-"), index.cast("string"))
