@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
+import numpy as np
 import pytest
 
 from weftline import options as O
-from weftline.operators.kernels import Graph, Units, apply_hunks, best_chunks
+from weftline.operators.kernels import Graph, History, apply_hunks, best_chunks, bins
 
 
 def cut_cost(files, tokens, starts, budget):
@@ -41,77 +43,42 @@ def test_best_chunks_fixtures():
     assert best_chunks(["a", "b"], [50, 50], 100)[1] == [0]
 
 
-def options(**kw):
-    return O.PlanOptions(**{"max_loc": 10, "priority": "orthogonal"} | kw)
-
-
-def test_grow_and_repair_fixtures():
-    two = Units(["a.py", "b.py"], [3, 4], [], options())
-    assert two.grow() == [[1], [0]]
-    low = Units(["a.py", "b.py"], [3, 4], [], options(min_loc=5))
-    assert low.repair(low.grow()) == [[0, 1]]
-    near = Units(["src/auth.py", "src/auth_test.py"], [3, 3], [(0, 1, 85)], options(priority="logical"))
-    assert near.grow() == [[0, 1]]
-    same = Units(["c.py", "c.py"], [1, 1], [(0, 1, 500)], options(max_loc=1))
-    assert same.grow() == [[0], [1]]
-
-
-def random_units(seed):
+@pytest.mark.parametrize("seed", range(30))
+def test_bins_against_a_fold(seed):
     r = random.Random(seed)
-    n = r.randint(1, 12)
-    files = [r.choice("abcd") for _ in range(n)]
-    edges = [(i, j, 500 if files[i] == files[j] else r.choice((0, 15, 40))) for i in range(n) for j in range(i + 1, n)]
-    return Units(files, [r.randint(1, 9) for _ in range(n)], [e for e in edges if e[2]], options(min_loc=r.choice((None, 4)), priority=r.choice(list(O.Priority))))
-
-
-@pytest.mark.parametrize("seed", range(60))
-def test_groups_cover_and_keep_bounds(seed):
-    u = random_units(seed)
-    groups = u.repair(u.grow())
-    assert sorted(x for g in groups for x in g) == list(range(len(u.locs)))
-    assert all(u.load(g) <= 10 or len(g) == 1 for g in groups)
+    loads, limit = [r.choice((0, 1, 2, 5, 9, 30)) for _ in range(r.randint(0, 40))], r.choice((1, 5, 10, 29))
+    want, bin_, load = [], -1, 0
+    for x in loads:
+        fits = bin_ >= 0 and load + x <= limit
+        bin_, load = (bin_, load + x) if fits else (bin_ + 1, x)
+        want.append(bin_)
+    assert bins(np.array(loads, np.int64), limit).tolist() == want
 
 
-def partitions(items):
-    if not items:
-        yield []
-        return
-    for rest in partitions(items[1:]):
-        yield [[items[0]], *rest]
-        for k in range(len(rest)):
-            yield [*rest[:k], [items[0], *rest[k]], *rest[k + 1 :]]
+def test_bins_of_a_million():
+    began = time.time()
+    assert bins(np.ones(1_000_000, np.int64), 7)[-1] == 142_857 and time.time() - began < 5
 
 
 @pytest.mark.parametrize("seed", range(40))
-def test_exact_against_all_partitions(seed):
-    u = random_units(seed + 100)
-    u.locs, u.files = u.locs[:7], u.files[:7]
-    groups = u.exact()
-    assert u.cost(groups) == min(u.cost(p) for p in partitions(list(range(len(u.locs)))))
-    assert [g[0] for g in groups] == sorted(g[0] for g in groups)
-
-
-def test_exact_refuses_many_units():
-    with pytest.raises(O.PlanError, match="solver"):
-        Units(["a"] * 11, [1] * 11, [], options()).exact()
-
-
-@pytest.mark.parametrize("seed", range(40))
-def test_subsets_against_all_partitions(seed):
-    u = random_units(seed + 100)
-    u.locs, u.files = u.locs[:7], u.files[:7]
-    groups = u.by_subsets()
-    assert u.cost(groups) == u.cost(u.exact()) and sorted(x for g in groups for x in g) == list(range(len(u.locs)))
-    assert [g[0] for g in groups] == sorted(g[0] for g in groups) and all(g == sorted(g) for g in groups)
-
-
-def test_subsets_take_what_the_search_refuses():
-    r = random.Random(4)
-    edges = [(a, b, r.randint(1, 60)) for a in range(11) for b in range(a + 1, 11) if r.random() < 0.5]
-    u = Units([f"f{k % 4}" for k in range(11)], [r.randint(1, 30) for _ in range(11)], edges, options(max_loc=50, min_loc=10, exact_units=11))
-    assert u.cost(u.by_subsets()) == u.cost(u.exact())
-    with pytest.raises(O.PlanError, match="solver"):
-        Units(["a"] * 19, [1] * 19, [], options()).by_subsets()
+def test_merge_bases_against_all_ancestors(seed):
+    r = random.Random(seed)
+    parents = {f"c{r.random()}": [] for _ in range(r.randint(1, 3))}
+    for k in range(25):
+        parents[f"d{k}"] = r.sample(list(parents), min(len(parents), r.choice((1, 1, 2, 3))))
+    graph, history = Graph(parents), History(parents)
+    for _ in range(30):
+        a, b = r.choice(list(parents)), r.choice(list(parents))
+        both = ({a} | graph.ancestors(a)) & ({b} | graph.ancestors(b))
+        assert history.bases(a, b) == both - {x for c in both for x in graph.ancestors(c)}
+    assert history.bases("nothing", a) == set()
+
+
+def test_merge_bases_of_a_long_line():
+    n = 100_000
+    history = History({k: [k - 1] if k else [] for k in range(n)} | {"x": [n - 5]})
+    began = time.time()
+    assert all(history.bases(n - 1 - k, "x") == {min(n - 1 - k, n - 5)} for k in range(20)) and time.time() - began < 2
 
 
 def test_graph_fixtures():

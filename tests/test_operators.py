@@ -200,17 +200,6 @@ def test_stream_of_states(spark, tmp_path):
     assert spark.sql("select key, state from polled").collect() == [("k", "MERGED")]
 
 
-def test_exact_groups_of_large_changes(spark):
-    sizes = {1: 3, 2: 12, 3: 19}
-    units = spark.createDataFrame([(c, p, f"d{p % 2}/f{p % 5}.py", 10 + p) for c, n in sizes.items() for p in range(n)], "change_id long, position int, file_path string, loc long")
-    exact = PlanOptions(max_loc=60, min_loc=10, priority="logical", partition_strategy="cp_sat")
-    got = partition.group_units(units, exact, undecided=True).collect()
-    assert {c: sum(r["change_id"] == c for r in got) for c in sizes} == sizes
-    assert all((r["group_ord"] is None) == (r["change_id"] == 3) for r in got)
-    with pytest.raises(Exception, match="solver"):
-        partition.group_units(units, exact).collect()
-
-
 def test_order_units_are_line_items(spark, tmp_path):
     items = [(1, k, k, 6 * (k % 2), 5.0, "2020-01-01", 1.0) for k in range(12)]
     spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_shipdate string, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))

@@ -172,6 +172,9 @@ def test_refs_and_merge_bases(spark, tmp_path):
     assert {r["name"]: r["exists"] for r in documents.refs_exist(wanted, known).collect()} == {"main": True, "origin/dev": True, "aa1": True, "none": False}
     commits = [("c", "1", []), ("c", "2", ["1"]), ("c", "3", ["2"]), ("c", "4", ["2"]), ("c", "9", [])]
     table = spark.createDataFrame(commits, "change_id string, sha string, parents array<string>")
+    several = spark.createDataFrame([("c", "3", "4"), ("c", "1", "4"), ("c", "1", "4"), ("c", "zz", "4"), ("none", "a", "b")], "change_id string, a string, b string")
+    found = {(r["change_id"], r["a"], r["b"]): r["merge_base"] for r in rows(documents.merge_bases(table, several))}
+    assert found == {("c", "3", "4"): "2", ("c", "1", "4"): "1", ("c", "zz", "4"): None, ("none", "a", "b"): None}
     base = lambda a, b: rows(documents.merge_bases(table, spark.createDataFrame([("c", a, b)], "change_id string, a string, b string")))[0]["merge_base"]
     assert (base("3", "4"), base("3", "2"), base("4", "9"), base("3", "gone")) == ("2", "2", None, None)
     (tmp_path / "body.md").write_text("x {tree}\ny\n")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -11,27 +13,27 @@ from ..options import ChunkStrategy
 from . import kernels
 
 
-def filled(rows: Column, load: str, limit: int) -> Column:
-    """For each element of an ordered array the number of the bin it falls in: a bin ends before the
-    element that would lift it over the limit; one too large stands alone."""
-    start = F.struct(F.lit(-1).alias("bin"), F.lit(0).cast("long").alias("load"), F.array().cast("array<int>").alias("out"))
-
-    def add(state: Column, x: Column) -> Column:
-        fits = (state["bin"] >= 0) & (state["load"] + x[load] <= limit)
-        bin_ = F.when(fits, state["bin"]).otherwise(state["bin"] + 1)
-        sum_ = F.when(fits, state["load"] + x[load]).otherwise(x[load]).cast("long")
-        return F.struct(bin_.alias("bin"), sum_.alias("load"), F.concat(state["out"], F.array(bin_)).alias("out"))
-
-    return F.aggregate(rows, start, add)["out"]
-
-
 def _cut(rows: DataFrame, keys: list[str], order: str, load: str, limit: int, name: str) -> DataFrame:
+    """All columns of rows and the bin (kernels.bins) of each row in its sequence. A sequence goes to Python as two
+    arrays of numbers; what else the rows have is joined to the bins inside the JVM."""
     others = [c for c in rows.columns if c not in keys]
     packed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, *[c for c in others if c != order]))).alias("_rows"))
-    zipped = F.arrays_zip(F.col("_rows").alias("r"), filled(F.col("_rows"), load, limit).alias("b"))
+    packed = packed.withColumn("_loads", F.transform("_rows", lambda r: F.coalesce(r[load].cast("long"), F.lit(0)))).withColumn("_bins", _bins(limit)("_loads"))
+    zipped = F.arrays_zip(F.col("_rows").alias("r"), F.col("_bins").alias("b"))
     return packed.select(*keys, F.explode(zipped).alias("_z")).select(*keys, "_z.r.*", F.col("_z.b").alias(name))
 
 
+def _bins(limit: int):
+    @F.arrow_udf("array<int>")
+    def run(loads: pa.Array) -> pa.Array:
+        bounds = loads.offsets.to_numpy()
+        flat = loads.values.to_numpy()
+        out = [kernels.bins(flat[a:z], limit) for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
+        return pa.ListArray.from_arrays(pa.array(bounds - bounds[0], pa.int32()), pa.array(np.concatenate(out) if out else [], pa.int32()))
+
+    return run
+
+
 def partition_units(hunks: DataFrame, max_loc: int) -> DataFrame:
     """Runs of hunks of a file up to max_loc changed lines, numbered through the change."""
     rows = hunks.select("change_id", "file_ord", "file_path", "hunk_index", (F.col("added") + F.col("removed")).cast("long").alias("loc"))

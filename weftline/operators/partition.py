@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from ..functions import paths
 from ..functions.text import group_description, group_title
 from ..options import PartitionStrategy, PlanError, PlanOptions, Priority
-from . import graph, kernels, stats
+from . import graph, grouping, kernels, stats
 from .chunking import partition_units
 
 
@@ -43,34 +45,65 @@ def affinity_pairs(units: DataFrame, priority: str | Priority) -> DataFrame:
     return affinity_scores(units, priority).withColumnRenamed(str(Priority(priority)), "score")
 
 
-def group_units(units: DataFrame, options: PlanOptions, undecided: bool = False) -> DataFrame:
-    """change_id, position, group_ord: greedy groups with repair, or the exact ones: by search up to
-    options.exact_units, then by sums over subsets up to kernels.SUBSET_UNITS. A larger change raises
-    PlanError, or with `undecided` its units come without a group_ord."""
-    near = affinity_pairs(units, options.priority).groupBy("change_id").agg(F.collect_list(F.struct("a", "b", "score")).alias("edges"))
-    rows = units.join(near, "change_id", "left").select("change_id", "position", F.col("file_path").cast("string").alias("file_path"), "loc", F.when(F.col("position") == 0, F.col("edges")).alias("edges"))
-
-    def run(rows: list[dict]):
-        place = [r["position"] for r in rows]
-        at = {p: i for i, p in enumerate(place)}
-        edges = [(at[e["a"]], at[e["b"]], e["score"]) for r in rows for e in r["edges"] or []]
-        work = kernels.Units([r["file_path"] for r in rows], [r["loc"] for r in rows], edges, options)
-        if options.partition_strategy == PartitionStrategy.GRAPH:
-            groups = work.repair(work.grow())
-        elif len(rows) <= options.exact_units:
-            groups = work.exact()
-        elif undecided and len(rows) > kernels.SUBSET_UNITS:
-            yield from ((p, None) for p in place)
-            return
-        else:
-            groups = work.by_subsets()
-        for ord_, g in enumerate(groups):
-            for i in g:
-                yield place[i], ord_
-
+def affinity_sums(units: DataFrame, priority: str | Priority) -> DataFrame:
+    """change_id, pairs, score, first, second: over all pairs of positions a < b with an affinity above 0 their number, the
+    sum of affinities, and the sums of affinity times a and times b.
+
+    Made of counts by class (paths.affinity_terms), so no pair is ever a row: work is by unit, however many units share
+    a directory or suffix. Keys are 64-bit numbers within a change."""
+    rows = paths.add_features(units, F.col("file_path").cast("string"), "f")
+    kinds = F.array(F.struct(F.lit(True).alias("score"), paths.affinity_terms(F.col("f"), priority).alias("terms")), F.struct(F.lit(False).alias("score"), paths.meeting_terms(F.col("f"), priority).alias("terms")))
+    rows = rows.select("change_id", "position", F.explode(kinds).alias("k")).select("change_id", "position", "k.score", F.explode("k.terms").alias("t")).select("change_id", "position", "score", "t.*").filter("weight <> 0")
+    key = ["change_id", "score", "key"]
+    before = W.Window.partitionBy(*key).orderBy("position", "side").rowsBetween(W.Window.unboundedPreceding, -1)
+    whole = W.Window.partitionBy(*key)
+    one = lambda when: F.when(when, 1).otherwise(0)
+    with_sides = F.col("side").isNotNull()
+    met = F.when(with_sides, F.when(F.col("side"), F.coalesce(F.sum(one(~F.col("side"))).over(before), F.lit(0))).otherwise(F.coalesce(F.sum(one(F.col("side"))).over(before), F.lit(0)))).otherwise(F.coalesce(F.count("*").over(before), F.lit(0)))
+    all_ = F.when(with_sides, F.when(F.col("side"), F.sum(one(~F.col("side"))).over(whole)).otherwise(F.sum(one(F.col("side"))).over(whole))).otherwise(F.count("*").over(whole) - 1)
+    rows = rows.select("change_id", "score", "position", "weight", met.alias("earlier"), (all_ - met).alias("later"))
+    w, at = F.col("weight"), F.col("position")
+    value = lambda x: F.coalesce(F.sum(F.when(F.col("score"), x)), F.lit(0))
+    out = rows.groupBy("change_id").agg(F.coalesce(F.sum(F.when(~F.col("score"), w * F.col("earlier"))), F.lit(0)).alias("pairs"), value(w * F.col("earlier")).alias("score"), value(w * F.col("later") * at).alias("first"), value(w * F.col("earlier") * at).alias("second"))
+    return out.filter("pairs > 0")
+
+
+def _by_units(units: DataFrame, run: Callable[[grouping.Units, list[int]], Iterable[tuple]], options: PlanOptions, schema: str) -> DataFrame:
+    """run over the units of each change, and their positions."""
+    rows = paths.add_features(units.select("change_id", "position", "file_path", "loc"), F.col("file_path").cast("string"), "f")
+    rows = rows.select("change_id", "position", F.col("loc").cast("long").alias("loc"), "f.path", "f.heads", "f.suffix", "f.stem", "f.is_test")
+
+    def work(rows: list[dict]) -> Iterable[tuple]:
+        known: dict[str, grouping.File] = {}
+        files = [known.setdefault(r["path"], grouping.File(r["path"], tuple(r["heads"]), r["suffix"], r["stem"], r["is_test"])) for r in rows]
+        return run(grouping.Units(files, [r["loc"] for r in rows], options), [r["position"] for r in rows])
+
+    return kernels.by_change(rows, ["position", "loc", "path", "heads", "suffix", "stem", "is_test"], work, schema)
+
+
+def group_units(units: DataFrame, options: PlanOptions) -> DataFrame:
+    """change_id, position, group_ord: greedy groups with repair, or the cheapest ones (exact_groups())."""
     if options.partition_strategy == PartitionStrategy.LLM:
         raise PlanError("groups of a model come as a table; see sources.documents.model_groups")
-    return kernels.by_change(rows, ["position", "file_path", "loc", "edges"], run, "position int, group_ord int")
+    if options.partition_strategy == PartitionStrategy.CP_SAT:
+        return exact_groups(units, options).select("change_id", "position", "group_ord")
+
+    def run(work: grouping.Units, place: list[int]) -> Iterable[tuple]:
+        return ((place[i], k) for k, g in enumerate(work.repair(work.grow())) for i in g)
+
+    return _by_units(units, run, options, "position int, group_ord int")
+
+
+def exact_groups(units: DataFrame, options: PlanOptions) -> DataFrame:
+    """change_id, position, group_ord, cost, bound: the cheapest partition of each change that is found, its cost, and
+    what no partition is below; it is proven the cheapest where they are equal. Changes of up to
+    grouping.SUBSET_UNITS units always are; larger ones as far as options.exact_steps go."""
+
+    def run(work: grouping.Units, place: list[int]) -> Iterable[tuple]:
+        groups, cost, bound = work.exact(options.exact_steps)
+        return ((place[i], k, cost, bound) for k, g in enumerate(groups) for i in g)
+
+    return _by_units(units, run, options, "position int, group_ord int, cost long, bound long")
 
 
 def groups_from_units(grouped: DataFrame, units: DataFrame, hunks: DataFrame, backend: str) -> DataFrame:

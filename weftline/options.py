@@ -81,7 +81,7 @@ class PlanOptions:
     chunk_strategy: ChunkStrategy = ChunkStrategy.DYNAMIC_PROGRAMMING
     partition_strategy: PartitionStrategy = PartitionStrategy.GRAPH
     provider: Provider = Provider.ANTHROPIC
-    exact_units: int = 10
+    exact_steps: int = 500
     max_refinement_iterations: int = 0
 
     def __post_init__(self) -> None:
@@ -115,7 +115,7 @@ class PlanOptions:
 
 def options_from(values: dict[str, str], prefix: str = "WEFTLINE_") -> PlanOptions:
     """Options from names and texts such as an environment; unknown names are ignored."""
-    kinds = {"max_loc": int, "min_loc": int, "exact_units": int, "max_refinement_iterations": int, "priority": str, "chunk_strategy": str, "partition_strategy": str, "provider": str}
+    kinds = {"max_loc": int, "min_loc": int, "exact_steps": int, "max_refinement_iterations": int, "priority": str, "chunk_strategy": str, "partition_strategy": str, "provider": str}
     flags = ("strict_loc_bounds", "stacked", "draft")
     got = {}
     for name, text in values.items():

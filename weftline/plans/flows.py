@@ -299,15 +299,17 @@ def q56_user_prompt(spark, sf_dir):
 
 
 @query("""with b as (select o_custkey change_id, row_number() over (partition by o_custkey order by o_orderkey) k, count(*) over (partition by o_custkey) n from orders),
-w as (select distinct change_id, n a, greatest(1, n - 2) b from b),
+w as (select distinct change_id, n a, greatest(1, n - back) b from b, range(1, 5) r(back)),
 up as (select change_id, a, b, (select list(a >> s order by s) from range(0, 40) r(s) where a >> s > 0) pa, (select list(b >> s order by s) from range(0, 40) r(s) where b >> s > 0) pb from w)
-select change_id, 'b' || list_max(list_intersect(pa, pb)) merge_base from up""")
+select change_id, 'b' || a a, 'b' || b b, 'b' || list_max(list_intersect(pa, pb)) merge_base from up""")
 def q57_merge_base(spark, sf_dir):
-    """Orders of a customer as commits, the k-th on top of the one of half its number: where the last and the
-    third last meet."""
+    """Orders of a customer as commits, the k-th on top of the one of half its number: where the last and each of
+    the four before it meet."""
     rows = A.order_branches(spark, sf_dir).select("change_id", F.col("branch_name").alias("sha"), F.when(F.col("base_branch") != "main", F.array("base_branch")).otherwise(F.array().cast("array<string>")).alias("parents"))
     many = rows.groupBy("change_id").agg(F.count("*").alias("n"))
-    wanted = many.select("change_id", F.concat(F.lit("b"), F.col("n").cast("string")).alias("a"), F.concat(F.lit("b"), F.greatest(F.lit(1), F.col("n") - 2).cast("string")).alias("b"))
+    name = lambda k: F.concat(F.lit("b"), k.cast("string"))
+    others = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.greatest(F.lit(1), F.col("n") - k))))
+    wanted = many.select("change_id", "n", others.alias("k")).select("change_id", name(F.col("n")).alias("a"), name(F.col("k")).alias("b"))
     return documents.merge_bases(rows, wanted)
 
 
@@ -333,14 +335,65 @@ def q59_greedy_invariants(spark, sf_dir):
     return groups.groupBy("change_id").agg(F.sum("n").alias("units"), F.sum("loc").alias("loc"), (F.sum("n") == F.sum("d")).alias("each_once"), F.bool_and((F.col("loc") <= MAX_LOC) | (F.col("n") == 1)).alias("within_limits"))
 
 
-@query("""with u as (select l_orderkey change_id, count(*) units, sum(l_quantity)::bigint loc from lineitem group by all) select change_id, units, loc, true within_limits from u""")
+_ITEMS = """u as (select l_orderkey change_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity) pos, (l_suppkey % 6)::int d, l_quantity::int loc from lineitem)"""
+_CLOSE = "case when ds[x] = ds[y] then 500 when ds[x] // 2 = ds[y] // 2 then case when orth then 15 else 45 end when orth then 0 else 10 end"
+
+
+@query(f"""with recursive {_ITEMS},
+n as (select change_id, count(*)::int n, sum(loc)::bigint loc from u group by 1),
+m as (select change_id, unnest(range(1, 1 << n)) as mask from n),
+c as (select m.change_id, mask, count(*) k, sum(loc)::bigint l, count(*) filter (d = 0) c0, count(*) filter (d = 1) c1, count(*) filter (d = 2) c2, count(*) filter (d = 3) c3, count(*) filter (d = 4) c4, count(*) filter (d = 5) c5
+  from m join u on u.change_id = m.change_id and (m.mask >> (u.pos - 1)) & 1 = 1 group by 1, 2),
+g as (select change_id, mask, (mask & -mask) low, (200 + 1000 * greatest(0, l - 60) + 1000 * greatest(0, 10 - l) - 2 * (k * (k - 1) // 2)
+  - 7 * ((c0 + c1) * (c0 + c1 - 1) // 2 + (c2 + c3) * (c2 + c3 - 1) // 2 + (c4 + c5) * (c4 + c5 - 1) // 2)
+  - 91 * (c0 * (c0 - 1) // 2 + c1 * (c1 - 1) // 2 + c2 * (c2 - 1) // 2 + c3 * (c3 - 1) // 2 + c4 * (c4 - 1) // 2 + c5 * (c5 - 1) // 2))::bigint cost from c),
+r as (select change_id, (1 << n)::bigint - 1 as mask, 0::bigint cost from n union all
+  select change_id, mask, min(cost)::bigint from (select r.change_id, r.mask - g.mask as mask, r.cost + g.cost as cost from r join g on g.change_id = r.change_id and g.low = (r.mask & -r.mask) and (g.mask & r.mask) = g.mask) group by 1, 2)
+select n.change_id, n.n units, n.loc, min(r.cost) as cost from n join r on r.change_id = n.change_id and r.mask = 0 group by all""")
 def q60_exact_invariants(spark, sf_dir):
-    """Of the exact groups of q38 what must hold: every unit is in one group, and limits are met wherever single units meet them."""
+    """Of the exact groups of q62 the cost, counted again from the groups; SQL takes the cheapest of all partitions."""
     units = A.order_units(spark, sf_dir)
     options = PlanOptions(max_loc=60, min_loc=10, priority="logical", partition_strategy="cp_sat")
-    grouped = partition.group_units(units, options, undecided=True).join(units, ["change_id", "position"])
-    groups = grouped.groupBy("change_id", "group_ord").agg(F.count("*").alias("n"), F.sum("loc").alias("loc"))
-    return groups.groupBy("change_id").agg(F.sum("n").alias("units"), F.sum("loc").alias("loc"), F.bool_and((F.col("loc") <= 60) | (F.col("n") == 1)).alias("within_limits"))
+    rows = partition.exact_groups(units, options).select("change_id", "position", "group_ord").join(units, ["change_id", "position"])
+    groups = rows.groupBy("change_id", "group_ord").agg(F.count("*").alias("n"), F.sum("loc").alias("loc"))
+    # A pair costs what it has in common, a fifth of its affinity: 100 in a file, 9 in a directory, else 2.
+    pair = lambda *keys: rows.groupBy("change_id", "group_ord", *keys).count().groupBy("change_id", "group_ord").agg(F.sum((F.col("count") * (F.col("count") - 1) / 2).cast("long")).alias("k"))
+    near = {"k1": pair(), "k2": pair(F.regexp_extract("file_path", "^[^/]+", 0).alias("dir")), "k3": pair("file_path")}
+    for name, found in near.items():
+        groups = groups.join(found.withColumnRenamed("k", name), ["change_id", "group_ord"])
+    cost = 200 + 1000 * F.greatest(F.lit(0), F.col("loc") - 60) + 1000 * F.greatest(F.lit(0), 10 - F.col("loc")) - 2 * F.col("k1") - 7 * F.col("k2") - 91 * F.col("k3")
+    return groups.groupBy("change_id").agg(F.sum("n").alias("units"), F.sum("loc").alias("loc"), F.sum(cost).alias("cost"))
+
+
+@query(f"""with recursive {_ITEMS},
+n as (select change_id, orth, count(*)::int n, list(d order by pos) ds, list(loc order by pos) ls from u, (values (true), (false)) o(orth) group by 1, 2),
+w as (select *, [0 for x in range(n)] g, 0 as cur, 0 as load from n union all
+  select change_id, orth, n, ds, ls, [case when x = pick then new else g[x] end for x in range(1, n + 1)], new, case when new = cur then load else 0 end + ls[pick]
+  from (select *, case when best[1] > 0 then -best[2] else -seed[2] end as pick, case when best[1] > 0 then cur else cur + 1 end as new
+    from (select *, list_max([[ls[x], -x] for x in range(1, n + 1) if g[x] = 0]) as seed,
+      list_max([[60 * (list_sum([{_CLOSE} for y in range(1, n + 1) if g[y] = cur]) - case when orth and not list_contains([ds[y] for y in range(1, n + 1) if g[y] = cur], ds[x]) then 25 else 0 end)::int + ls[x], -x]
+        for x in range(1, n + 1) if g[x] = 0 and cur > 0 and (load = 0 or load + ls[x] <= 60)]) as best
+      from w where list_contains(g, 0)))),
+a as (select change_id, orth, n, ds, ls, g, list_max(g) m, 0 as step from w where not list_contains(g, 0) union all
+  select change_id, orth, n, ds, ls, [case when x = b[3] then b[10] else x end for x in g], m, step + 1
+  from (select *, list_min(flatten([[[loads[i], tops[i], i, -(loads[i] + loads[j] >= 20)::int, -list_sum(flatten([[{_CLOSE} for y in range(1, n + 1) if g[y] = j] for x in range(1, n + 1) if g[x] = i]))::int, abs(tops[i] - tops[j]), -loads[j], least(i, j), greatest(i, j), j]
+        for j in range(1, m + 1) if i <> j and tops[j] > 0 and loads[i] + loads[j] <= 60
+          and not list_contains([fs[i][d] > 0 and fs[j][d] > 0 and list_contains([fs[s][d] > least(fs[i][d], fs[j][d]) and fs[s][d] < greatest(fs[i][d], fs[j][d]) for s in range(1, m + 1)], true) for d in range(1, 7)], true)]
+      for i in range(1, m + 1) if tops[i] > 0 and loads[i] < 20])) as b
+    from (select *, [coalesce(list_sum([ls[x] for x in range(1, n + 1) if g[x] = s]), 0)::int for s in range(1, m + 1)] loads, [coalesce(list_min([x for x in range(1, n + 1) if g[x] = s]), 0)::int for s in range(1, m + 1)] tops,
+      [[coalesce(list_min([x for x in range(1, n + 1) if g[x] = s and ds[x] = d]), 0)::int for d in range(0, 6)] for s in range(1, m + 1)] fs from a)) where b is not null),
+z as (select *, row_number() over (partition by change_id, orth order by step desc) r from a)
+select change_id, case when orth then 'orthogonal' else 'logical' end as priority, n as units, array_to_string([list_position(list_sort(list_distinct(g)), y) - 1 for y in g], ',') as groups
+from z where r = 1""")
+def q63_greedy_orders(spark, sf_dir):
+    """Greedy groups with repair, by both priorities: the group of each line item of an order."""
+    units = A.order_units(spark, sf_dir)
+    found = []
+    for name in ("orthogonal", "logical"):
+        rows = partition.group_units(units, PlanOptions(max_loc=60, min_loc=20, priority=name))
+        groups = F.transform(F.sort_array(F.collect_list(F.struct("position", "group_ord"))), lambda x: x["group_ord"].cast("string"))
+        found.append(rows.groupBy("change_id").agg(F.lit(name).alias("priority"), F.count("*").cast("int").alias("units"), F.array_join(groups, ",").alias("groups")))
+    return found[0].union(found[1])
 
 
 @query(f"""with {A.HUNKS}, {A.EDGES}, {A.LOC}, fl as (select change_id, group_id, group_ord, string_agg(file_path, ', ' order by file_path) fs from (select distinct change_id, group_id, group_ord, file_path from h) group by all),

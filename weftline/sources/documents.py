@@ -76,21 +76,22 @@ def refs_exist(wanted: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def merge_bases(commits: DataFrame, wanted: DataFrame) -> DataFrame:
-    """change_id, merge_base for each wanted pair (change_id, a, b) over commits (change_id, sha, parents): a
-    commit that both reach, themselves included, and that none such behind it reaches; of several the
-    first sha, null where there is none."""
+    """change_id, a, b, merge_base for each distinct wanted pair (change_id, a, b) over commits (change_id, sha,
+    parents): a commit that both reach, themselves included, and that none such behind it reaches; of several the
+    first sha, null where there is none or a or b isn't known. A change's commits are read once for all of its pairs, and a
+    pair walks back only as far as generations below where its two sides have met."""
     from ..operators import kernels
 
-    rows = commits.join(wanted, "change_id").select("change_id", "sha", "parents", "a", "b")
+    asked = wanted.groupBy("change_id").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("pairs"))
+    rows = commits.select("change_id", "sha", "parents").withColumn("pairs", F.lit(None).cast(asked.schema["pairs"].dataType))
+    rows = rows.unionByName(asked.select("change_id", F.lit(None).cast(rows.schema["sha"].dataType).alias("sha"), F.lit(None).cast(rows.schema["parents"].dataType).alias("parents"), "pairs"))
 
     def run(found: list[dict]):
-        tree = kernels.Graph({r["sha"]: [p for p in r["parents"] or []] for r in found})
-        a, b = found[0]["a"], found[0]["b"]
-        both = ({a} | tree.ancestors(a)) & ({b} | tree.ancestors(b)) if a in tree.parents and b in tree.parents else set()
-        behind = {x for c in both for x in tree.ancestors(c)}
-        yield (min(both - behind, default=None),)
+        pairs = [(p["a"], p["b"]) for r in found for p in r["pairs"] or []]
+        history = kernels.History({r["sha"]: r["parents"] or [] for r in found if r["sha"] is not None}) if pairs else None
+        return [(a, b, min(history.bases(a, b), default=None)) for a, b in pairs]
 
-    return kernels.by_change(rows, ["sha", "parents", "a", "b"], run, "merge_base string")
+    return kernels.by_change(rows, ["sha", "parents", "pairs"], run, "a string, b string, merge_base string")
 
 
 def body_template(spark: SparkSession, path: str) -> str | None:
