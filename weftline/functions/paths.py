@@ -15,7 +15,7 @@ def parts(path: Column) -> Column:
 
 
 def name(path: Column) -> Column:
-    return F.coalesce(F.element_at(F.filter(F.split(path, "/"), lambda p: (p != "") & (p != ".")), -1), F.lit(""))
+    return F.coalesce(F.try_element_at(F.filter(F.split(path, "/"), lambda p: (p != "") & (p != ".")), F.lit(-1)), F.lit(""))
 
 
 def dirs(path: Column) -> Column:
@@ -112,41 +112,3 @@ def url_number(url: Column) -> Column:
     """The number at the end of the last line of what a creating command printed."""
     line = F.element_at(F.split(F.regexp_replace(url, r"\s+$", ""), "\n"), -1)
     return F.element_at(F.split(F.regexp_replace(line, "/+$", ""), "/"), -1).try_cast("int")
-
-
-def _term(weight: Column | int, side: Column | None, *key: Column | str) -> Column:
-    parts = [F.lit(k) if isinstance(k, str) else k for k in key]
-    return F.struct(F.xxhash64(*parts).alias("key"), (F.lit(None).cast("boolean") if side is None else side).alias("side"), F.lit(weight).cast("int").alias("weight") if isinstance(weight, int) else weight.cast("int").alias("weight"))
-
-
-def affinity_terms(x: Column, priority: str | Priority) -> Column:
-    """affinity() of a pair as a sum over classes, for a feature: an array of (key, side, weight). Two units have the
-    weight of each key that both have; where the key has sides, one of a test and its subject, only if
-    their sides differ. What several keys would count twice is settled by keys of both."""
-    top, depth = F.get(x["heads"], F.lit(0)), F.size(x["heads"])
-    has_top, side = depth > 0, x["is_test"]
-    always, below = F.lit(True), has_top
-    if Priority(priority) == Priority.LOGICAL:
-        made = [(always, _term(SAME_SUFFIX, None, "s", x["suffix"])), (always, _term(TEST_PAIR, side, "b", x["stem"]))]
-        extra, alike = LOGICAL_DIR_BONUS, depth * SHARED_DIR + SAME_SUFFIX + F.when(has_top, LOGICAL_DIR_BONUS).otherwise(0)
-    else:
-        off = ORTHOGONAL_PENALTY
-        made = [
-            (always, _term(TEST_PAIR - off, side, "b", x["stem"])), (always, _term(SAME_SUFFIX, side, "sb", x["suffix"], x["stem"])), (below, _term(SAME_SUFFIX, None, "ts", top, x["suffix"])),
-            (below, _term(off, side, "tb", top, x["stem"])), (below, _term(-SAME_SUFFIX, side, "tsb", top, x["suffix"], x["stem"])),
-        ]
-        extra, alike = -off, F.when(has_top, depth * SHARED_DIR + SAME_SUFFIX - off).otherwise(0)
-    heads = F.transform(x["heads"], lambda h, k: _term(F.lit(SHARED_DIR) + F.when(k == 0, extra).otherwise(0), None, "h", h))
-    return F.concat(F.array_compact(F.array(*[F.when(when, t) for when, t in made])), heads, F.array(_term(F.lit(SAME_FILE) - alike, None, "f", x["path"])))
-
-
-def meeting_terms(x: Column, priority: str | Priority) -> Column:
-    """The same for 1 where the affinity of a pair is above 0, by inclusion and exclusion of what pairs may share."""
-    top, side = F.get(x["heads"], F.lit(0)), x["is_test"]
-    has_top = F.size(x["heads"]) > 0
-    made = [(has_top, _term(1, None, "t", top)), (F.lit(True), _term(1, side, "b", x["stem"])), (has_top, _term(-1, side, "tb", top, x["stem"]))]
-    if Priority(priority) == Priority.LOGICAL:
-        made += [(F.lit(True), _term(1, None, "s", x["suffix"])), (has_top, _term(-1, None, "ts", top, x["suffix"])), (F.lit(True), _term(-1, side, "sb", x["suffix"], x["stem"])), (has_top, _term(1, side, "tsb", top, x["suffix"], x["stem"]))]
-    else:
-        made.append((~has_top, _term(1, None, "f", x["path"])))
-    return F.array_compact(F.array(*[F.when(when, t) for when, t in made]))

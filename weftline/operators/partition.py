@@ -7,7 +7,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from ..functions import paths
 from ..functions.text import group_description, group_title
@@ -45,40 +44,27 @@ def affinity_pairs(units: DataFrame, priority: str | Priority) -> DataFrame:
     return affinity_scores(units, priority).withColumnRenamed(str(Priority(priority)), "score")
 
 
-def affinity_sums(units: DataFrame, priority: str | Priority) -> DataFrame:
-    """change_id, pairs, score, first, second: over all pairs of positions a < b with an affinity above 0 their number, the
-    sum of affinities, and the sums of affinity times a and times b.
-
-    Made of counts by class (paths.affinity_terms), so no pair is ever a row: work is by unit, however many units share
-    a directory or suffix. Keys are 64-bit numbers within a change."""
-    rows = paths.add_features(units, F.col("file_path").cast("string"), "f")
-    kinds = F.array(F.struct(F.lit(True).alias("score"), paths.affinity_terms(F.col("f"), priority).alias("terms")), F.struct(F.lit(False).alias("score"), paths.meeting_terms(F.col("f"), priority).alias("terms")))
-    rows = rows.select("change_id", "position", F.explode(kinds).alias("k")).select("change_id", "position", "k.score", F.explode("k.terms").alias("t")).select("change_id", "position", "score", "t.*").filter("weight <> 0")
-    key = ["change_id", "score", "key"]
-    before = W.Window.partitionBy(*key).orderBy("position", "side").rowsBetween(W.Window.unboundedPreceding, -1)
-    whole = W.Window.partitionBy(*key)
-    one = lambda when: F.when(when, 1).otherwise(0)
-    with_sides = F.col("side").isNotNull()
-    met = F.when(with_sides, F.when(F.col("side"), F.coalesce(F.sum(one(~F.col("side"))).over(before), F.lit(0))).otherwise(F.coalesce(F.sum(one(F.col("side"))).over(before), F.lit(0)))).otherwise(F.coalesce(F.count("*").over(before), F.lit(0)))
-    all_ = F.when(with_sides, F.when(F.col("side"), F.sum(one(~F.col("side"))).over(whole)).otherwise(F.sum(one(F.col("side"))).over(whole))).otherwise(F.count("*").over(whole) - 1)
-    rows = rows.select("change_id", "score", "position", "weight", met.alias("earlier"), (all_ - met).alias("later"))
-    w, at = F.col("weight"), F.col("position")
-    value = lambda x: F.coalesce(F.sum(F.when(F.col("score"), x)), F.lit(0))
-    out = rows.groupBy("change_id").agg(F.coalesce(F.sum(F.when(~F.col("score"), w * F.col("earlier"))), F.lit(0)).alias("pairs"), value(w * F.col("earlier")).alias("score"), value(w * F.col("later") * at).alias("first"), value(w * F.col("earlier") * at).alias("second"))
-    return out.filter("pairs > 0")
+def affinity_sums(units: DataFrame, *priorities: str | Priority) -> DataFrame:
+    """change_id, priority, pairs, score, first, second: over all pairs of positions a < b with an affinity above 0 their
+    number, the sum of affinities, and the sums of affinity times a and times b. Made of counts by class
+    (grouping.pair_sums), so no pair is ever listed: work is by unit, however many units share a directory or suffix."""
+
+    def run(work: grouping.Units, place: list[int]) -> Iterable[tuple]:
+        found = [(str(Priority(p)), *grouping.pair_sums(work.files, place, Priority(p))) for p in priorities]
+        return [row for row in found if row[1]]
+
+    return _by_units(units, run, PlanOptions(), "priority string, pairs long, score long, first long, second long")
 
 
 def _by_units(units: DataFrame, run: Callable[[grouping.Units, list[int]], Iterable[tuple]], options: PlanOptions, schema: str) -> DataFrame:
     """run over the units of each change, and their positions."""
-    rows = paths.add_features(units.select("change_id", "position", "file_path", "loc"), F.col("file_path").cast("string"), "f")
-    rows = rows.select("change_id", "position", F.col("loc").cast("long").alias("loc"), "f.path", "f.heads", "f.suffix", "f.stem", "f.is_test")
+    rows = units.select("change_id", "position", F.col("loc").cast("long").alias("loc"), F.col("file_path").cast("string").alias("path"))
 
     def work(rows: list[dict]) -> Iterable[tuple]:
-        known: dict[str, grouping.File] = {}
-        files = [known.setdefault(r["path"], grouping.File(r["path"], tuple(r["heads"]), r["suffix"], r["stem"], r["is_test"])) for r in rows]
-        return run(grouping.Units(files, [r["loc"] for r in rows], options), [r["position"] for r in rows])
+        known = {p: grouping.file_of(p) for p in dict.fromkeys(r["path"] for r in rows)}
+        return run(grouping.Units([known[r["path"]] for r in rows], [r["loc"] for r in rows], options), [r["position"] for r in rows])
 
-    return kernels.by_change(rows, ["position", "loc", "path", "heads", "suffix", "stem", "is_test"], work, schema)
+    return kernels.by_change(rows, ["position", "loc", "path"], work, schema)
 
 
 def group_units(units: DataFrame, options: PlanOptions) -> DataFrame:

@@ -105,10 +105,13 @@ y as (select *, 25 * depth + case when sfx then 10 else 0 end + case when pair t
 z as (select change_id, a, b, case when same then 500 else greatest(0, base - 20) end orthogonal, case when same then 500 else base + case when depth > 0 then 10 else 0 end end logical from y)
 select change_id, count(*) filter (orthogonal > 0) orthogonal_pairs, coalesce(sum(orthogonal), 0)::bigint orthogonal_sum, count(*) filter (logical > 0) logical_pairs, coalesce(sum(logical), 0)::bigint logical_sum, sum(orthogonal * (a * 31 + b))::bigint orthogonal_check from z group by change_id having count(*) filter (logical > 0) > 0""")
 def q09_affinity_pairs(spark, sf_dir):
-    units = A.li_units(spark, sf_dir)
-    one = partition.affinity_sums(units, Priority.LOGICAL).select("change_id", F.col("pairs").alias("logical_pairs"), F.col("score").alias("logical_sum"))
-    two = partition.affinity_sums(units, Priority.ORTHOGONAL).select("change_id", F.col("pairs").alias("orthogonal_pairs"), F.col("score").alias("orthogonal_sum"), (F.col("first") * 31 + F.col("second")).alias("orthogonal_check"))
-    return one.join(two, "change_id", "left").na.fill(0)
+    sums = partition.affinity_sums(A.li_units(spark, sf_dir), Priority.LOGICAL, Priority.ORTHOGONAL)
+    of = lambda priority, x: F.coalesce(F.max(F.when(F.col("priority") == str(priority), x)), F.lit(0))
+    one, two = Priority.LOGICAL, Priority.ORTHOGONAL
+    return sums.groupBy("change_id").agg(
+        of(one, F.col("pairs")).alias("logical_pairs"), of(one, F.col("score")).alias("logical_sum"), of(two, F.col("pairs")).alias("orthogonal_pairs"),
+        of(two, F.col("score")).alias("orthogonal_sum"), of(two, F.col("first") * 31 + F.col("second")).alias("orthogonal_check"),
+    )
 
 
 @query()
