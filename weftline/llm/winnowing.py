@@ -107,7 +107,7 @@ def _extended(docs: DataFrame, sizes: list[int], gram: int, shared: dict[int, np
             for lo, hi in hashing.chunks(bounds):
                 w = Words(b[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
                 n_words.append(np.diff(w.first))
-                found = []
+                found = [np.zeros((2, 0), np.int64)]
                 for size in sizes:
                     least, fits = w.prints(size, _gram(size, gram))
                     if shared is not None:
@@ -198,6 +198,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, gram: int
     out = ["id", "n_words", "n_hit", "n_items", "items_sha256", *extra]
     base = open_.drop("hits").join(found, ["a", "b"], "left").select(*out)
     base = base.union(scanned.filter(F.size("hits") == 0).select("id", "n_words", *[F.lit(None).cast(base.schema[c].dataType).alias(c) for c in out[2:]]))
-    fill = {"n_hit": F.lit(0), "n_items": F.lit(0), "items_sha256": F.sha2(F.lit(""), 256), "spans": F.array().cast("array<struct<lo:int,hi:int>>")}
-    filled = [F.coalesce(c, fill[c].cast(base.schema[c].dataType)).alias(c) if c in fill else F.col(c) for c in out]
+    no_span = F.filter(F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi"))), lambda _: F.lit(False))
+    fill = {"n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "items_sha256": F.sha2(F.lit(""), 256), "spans": no_span}
+    filled = [F.coalesce(c, fill[c]).alias(c) if c in fill else F.col(c) for c in out]
     return base.select(*filled[:5], (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), *filled[5:]).withColumnRenamed("id", id_col)
