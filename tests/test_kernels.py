@@ -107,6 +107,44 @@ def test_reduction_keeps_reach(seed):
             assert p not in without.ancestors(n)
 
 
+@pytest.mark.parametrize("seed", range(60))
+def test_reach_and_reduction_against_search(seed):
+    r = random.Random(seed)
+    names = [f"n{i}" for i in range(r.randint(1, 9))]
+    # Odd seeds have cycles.
+    g = Graph({n: r.sample(names if seed % 2 else names[:i], r.randint(0, min(3, len(names) if seed % 2 else i))) for i, n in enumerate(names)})
+
+    def search(node, but=None):
+        seen, todo = set(), [p for p in g.parents[node] if (node, p) != but]
+        while todo:
+            n = todo.pop()
+            if n not in seen:
+                seen.add(n)
+                todo += [p for p in g.parents[n] if (n, p) != but]
+        return seen
+
+    for n in names:
+        assert g.ancestors(n) == search(n) - {n} and g.descendants(n) == {m for m in names if m != n and n in search(m)}
+    assert g.reduced() == {n: sorted(p for p in g.parents[n] if p not in search(n, (n, p))) for n in names}
+
+
+def test_closure_of_two_thousand_groups():
+    r = random.Random(1)
+    g = Graph({k: sorted({r.randrange(k) for _ in range(6)}) if k else [] for k in range(2000)})
+    began = time.time()
+    small = g.reduced()
+    assert time.time() - began < 5 and Graph(small).reach() == g.reach()
+
+
+def test_tree_of_many_ways_is_bounded():
+    ladder = {"r": []}
+    for k in range(40):
+        up = ["r"] if k == 0 else [f"a{k - 1}", f"b{k - 1}"]
+        ladder |= {f"a{k}": up, f"b{k}": up}
+    lines = Graph(ladder).tree(most=100)
+    assert 100 < len(lines) < 500 and any(x.endswith("(see above)") for x in lines)
+
+
 def test_tree_text():
     lines = Graph({"a": [], "b": ["a"], "c": ["a", "b"]}).tree()
     assert lines == ["a", "├── b", "│   └── c", "└── c"]

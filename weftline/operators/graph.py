@@ -104,6 +104,24 @@ def closure(groups: DataFrame) -> DataFrame:
     return _over(groups, lambda g: [(n, a) for n in g.parents for a in sorted(g.ancestors(n))], f"group_id {_id(groups)}, ancestor_id {_id(groups)}")
 
 
+def unrelated(groups: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The distinct pairs (change_id, a, b) of which neither depends on the other, by however many steps. Changes without
+    a pair aren't looked at, and no closure is listed: each pair asks for one bit."""
+    asked = pairs.groupBy("change_id").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("pairs"))
+    nodes = groups.select("change_id", "group_id", "depends_on").join(asked.select("change_id"), "change_id", "left_semi")
+    nothing = lambda c: F.lit(None).cast(nodes.schema[c].dataType).alias(c)
+    rows = nodes.withColumn("pairs", F.lit(None).cast(asked.schema["pairs"].dataType)).unionByName(asked.select("change_id", nothing("group_id"), nothing("depends_on"), "pairs"))
+
+    def run(found: list[dict]) -> Iterable[tuple]:
+        g = Graph({r["group_id"]: r["depends_on"] or [] for r in found if r["group_id"] is not None})
+        g.reach()
+        for a, b in ((p["a"], p["b"]) for r in found for p in r["pairs"] or []):
+            if a not in g.parents or b not in g.parents or not (g.reaches(a, b) or g.reaches(b, a)):
+                yield a, b
+
+    return kernels.by_change(rows, ["group_id", "depends_on", "pairs"], run, f"a {_id(groups)}, b {_id(groups)}")
+
+
 def linear_chains(groups: DataFrame, least: int = 1) -> DataFrame:
     """chain, group_ids: runs without a fork or merge, of `least` groups or more; 2 for those worth linking."""
     kind = _id(groups)

@@ -88,6 +88,7 @@ class Graph:
         for n, ps in self.parents.items():
             for p in ps:
                 self.children[p].append(n)
+        self._bits: dict[Any, int] | None = None
 
     def levels(self) -> dict[Any, int]:
         """The longest way from a root, for each node that is on or behind no cycle."""
@@ -112,40 +113,62 @@ class Graph:
         level, place = self.levels(), {n: i for i, n in enumerate(self.parents)}
         return sorted(level, key=lambda n: (level[n], place[n]))
 
-    @staticmethod
-    def _reach(node: Any, step: dict[Any, list[Any]]) -> set[Any]:
-        seen, todo = set(), list(step[node])
-        while todo:
-            n = todo.pop()
-            if n not in seen:
-                seen.add(n)
-                todo += step[n]
-        return seen
+    def reach(self) -> dict[Any, int]:
+        """All ancestors of each node as the bits of a number, by place of node. One pass down the levels, where a node has
+        what its parents have; nodes on or behind a cycle are passed until nothing is new."""
+        if self._bits is None:
+            self.place = {n: i for i, n in enumerate(self.parents)}
+            levels = self.levels()
+            self._bits = dict.fromkeys(self.parents, 0)
+            rest = [n for n in self.parents if n not in levels]
+            for n in sorted(levels, key=levels.__getitem__):
+                self._gather(n)
+            while any([self._gather(n) for n in rest]):
+                pass
+        return self._bits
+
+    def _gather(self, n: Any) -> bool:
+        """Takes over what a node's parents reach; whether any is new."""
+        have = before = self._bits[n]
+        for p in self.parents[n]:
+            have |= self._bits[p] | 1 << self.place[p]
+        self._bits[n] = have
+        return have != before
+
+    def reaches(self, node: Any, ancestor: Any) -> bool:
+        return bool(self.reach()[node] >> self.place[ancestor] & 1)
 
     def ancestors(self, node: Any) -> set[Any]:
-        return self._reach(node, self.parents) - {node}
+        bits = self.reach()[node]
+        return {n for n, i in self.place.items() if bits >> i & 1 and n != node}
 
     def descendants(self, node: Any) -> set[Any]:
-        return self._reach(node, self.children) - {node}
+        self.reach()
+        return {n for n in self.parents if n != node and self.reaches(n, node)}
+
+    def _around(self, n: Any, p: Any) -> bool:
+        """Whether a parent of a node on or behind a cycle is also reached without the edge between them."""
+        around = {q for q in self.parents[n] if q != p}
+        todo = list(around)
+        while todo:
+            q = todo.pop()
+            new = {r for r in self.parents[q] if (q, r) != (n, p)} - around
+            around |= new
+            todo += new
+        return p in around
 
     def reduced(self) -> dict[Any, list[Any]]:
-        """Parents without those that are also reached another way, in order of name. Judged one edge at
-        a time on the whole graph, so edges of a cycle with a detour go, too."""
-        out = {}
+        """Parents without those that another parent reaches, in order of name. On and behind cycles each edge is
+        judged by itself on the whole graph, so edges of a cycle with a detour go, too."""
+        levels, bits, out = self.levels(), self.reach(), {}
         for n, ps in self.parents.items():
-            keep = []
-            for p in ps:
-                others = [q for q in ps if q != p]
-                around, todo = set(others), list(others)
-                while todo:
-                    q = todo.pop()
-                    for r in self.parents[q]:
-                        if (q, r) != (n, p) and r not in around:
-                            around.add(r)
-                            todo.append(r)
-                if p not in around:
-                    keep.append(p)
-            out[n] = sorted(keep)
+            if n in levels:
+                known = 0
+                for p in ps:
+                    known |= bits[p]
+                out[n] = sorted(p for p in ps if not known >> self.place[p] & 1)
+            else:
+                out[n] = sorted(p for p in ps if not self._around(n, p))
         return out
 
     def chains(self) -> list[list[Any]]:
@@ -162,9 +185,11 @@ class Graph:
                 out.append(run)
         return out
 
-    def tree(self, current: Any = None, markdown: bool = False) -> list[str]:
-        """Lines of a tree from the roots; a node with several parents shows under each."""
+    def tree(self, current: Any = None, markdown: bool = False, most: int = 10_000) -> list[str]:
+        """Lines of a tree from the roots; a node with several parents shows under each. From line `most` on, what is
+        below a node is shown once, and referred to after that: in a graph with many ways each way would be a line."""
         lines: list[str] = []
+        shown: set[Any] = set()
 
         def line(n: Any, lead: str, last: bool, top: bool) -> str:
             mark = "  <-- this one" if n == current else ""
@@ -175,7 +200,11 @@ class Graph:
         todo = [(n, "", True, True) for n in reversed(self.parents) if not self.parents[n]] if self.acyclic() else []
         while todo:
             n, lead, last, top = todo.pop()
-            lines.append(line(n, lead, last, top))
+            again = len(lines) >= most and n in shown and bool(self.children[n])
+            lines.append(line(n, lead, last, top) + " (see above)" * again)
+            shown.add(n)
+            if again:
+                continue
             inner = lead + "  " if markdown else lead if top else lead + ("    " if last else "│   ")
             below = self.children[n]
             todo += [(c, inner, k == len(below) - 1, False) for k, c in reversed([*enumerate(below)])]

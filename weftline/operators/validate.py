@@ -34,9 +34,7 @@ def conflicts(assigned: DataFrame, groups: DataFrame) -> DataFrame:
     rows = assigned.select("change_id", "group_id", "file_path", "hunk_index").distinct()
     left, right = rows.withColumnRenamed("group_id", "a"), rows.withColumnRenamed("group_id", "b")
     pairs = left.join(right, ["change_id", "file_path", "hunk_index"]).filter("a < b")
-    up = graph.closure(groups)
-    related = up.select("change_id", F.least("group_id", "ancestor_id").alias("a"), F.greatest("group_id", "ancestor_id").alias("b"))
-    return pairs.join(related, ["change_id", "a", "b"], "left_anti").select("change_id", "file_path", "hunk_index", "a", "b")
+    return pairs.join(graph.unrelated(groups, pairs), ["change_id", "a", "b"]).select("change_id", "file_path", "hunk_index", "a", "b")
 
 
 def loc_bounds(groups: DataFrame, max_loc: int, min_loc: int | None = None) -> DataFrame:
