@@ -219,3 +219,32 @@ def test_catalogue_of_queries_matches_its_sql():
 
     assert flows.query is catalogue.query and set(catalogue.SQL) <= set(catalogue.QUERIES) and len(catalogue.QUERIES) >= 61
     assert validate.violations and graph.levels
+
+
+def test_payloads_are_sent_and_failures_are_rows(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    heard = []
+
+    class Hook(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["Content-Length"])).decode()
+            heard.append((body, self.headers["Idempotency-Key"]))
+            self.send_response(500 if "broken" in body else 400 if "bad" in body else 200)
+            self.end_headers()
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Hook)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        outcomes = spark.createDataFrame([("a", "fine"), ("b", "bad"), ("c", "broken")], "change_id string, note string")
+        got = {r["change_id"]: r for r in sinks.send_payloads(sinks.webhook_payload(outcomes), f"http://127.0.0.1:{server.server_port}/hook").collect()}
+        assert {c: (r["status"], r["tries"], r["error"] is None) for c, r in got.items()} == {"a": (200, 1, True), "b": (400, 1, False), "c": (500, 2, False)}
+        assert json.loads(next(b for b, k in heard if k == got["a"]["key"])) == {"note": "fine"} and len({k for _, k in heard}) == 3
+    finally:
+        server.shutdown()
+    gone = sinks.send_payloads(sinks.webhook_payload(outcomes), f"http://127.0.0.1:{server.server_port + 1 if server.server_port < 65535 else 1}/", timeout=1).collect()
+    assert all(r["status"] is None and r["error"] for r in gone)

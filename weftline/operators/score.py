@@ -35,3 +35,19 @@ def action_score(numstat: DataFrame, groups: DataFrame, assigned: DataFrame, max
     rows = size.join(sums, "change_id", "left").join(file_scatter(assigned), "change_id", "left").na.fill(0, ["n", "overflow", "file_scatter"])
     small = F.col("total_loc") <= max_loc
     return rows.select("change_id", "total_files", "total_loc", F.when(small, 1).otherwise(F.col("n")).alias("total_groups"), F.when(small, 0).otherwise(1000 * F.col("overflow") + 50 * F.col("file_scatter") + F.col("n")).alias("objective"), (~small & (F.col("n") >= threshold)).alias("should_split"))
+
+
+def score_report(lines: DataFrame, groups: DataFrame, assigned: DataFrame, existing: DataFrame, marker: str, max_loc: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """A whole check of pull requests: (output lines, comments). lines: change_id, value: numstat; groups: change_id, group_ord, group_id,
+    title, estimated_loc; existing: change_id, comment_id, body. Outputs: change_id, place, value: name=value; comments: change_id,
+    body, action, comment_id. A change within max_loc is reported without its groups."""
+    from ..sources import documents, sinks
+
+    scores = action_score(documents.numstat_lines(lines), groups, assigned, max_loc, threshold).withColumn("should_split", F.coalesce("should_split", F.lit(False)))
+    names = ("total_files", "total_loc", "total_groups", "objective", "should_split")
+    pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("string").alias("value")) for n in names])
+    outputs = sinks.action_outputs(scores.select("change_id", F.posexplode(pairs).alias("place", "p")).select("change_id", "place", "p.name", "p.value"))
+    large = scores.filter(F.col("total_loc") > max_loc).select("change_id")
+    told = sinks.score_comment(groups.join(large, "change_id", "left_semi").withColumnRenamed("group_id", "id"), scores)
+    told = told.withColumn("body", F.concat(F.lit(marker + "\n"), F.col("body")))
+    return outputs, sinks.upsert_comments(told, existing, marker)

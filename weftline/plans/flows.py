@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.prompts import Prompts
-from ..operators import actions, chunking, edit, graph, partition, planning, stats, status, validate
+from ..functions.text import pr_body
+from ..operators import actions, chunking, edit, graph, partition, planning, score, stats, status, validate
 from ..options import PlanOptions
 from ..sources import diffs, documents
 from . import adapters as A
@@ -405,3 +406,59 @@ z as (select change_id, 'Split Plan' || chr(10) || rtrim(rpad('ID', wa, ' ') ||
 select change_id, md5(x) text_md5, length(x) as length from z""")
 def q61_plan_table(spark, sf_dir):
     return stats.plan_table(_titled(A.li_hunks(spark, sf_dir))).select("change_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("length"))
+
+
+@query(f"""with {A.HUNKS}, {A.LOC}, f as (select change_id, file_path, sum(added)::bigint a, sum(removed)::bigint r from h group by all),
+z as (select change_id, count(*) + 1 total_files, sum(a + r)::bigint total_loc from f group by all), a as (select change_id, count(*) k, sum(greatest(0, estimated_loc - {MAX_LOC}))::bigint o from g group by all),
+x as (select change_id, sum(k)::bigint s from (select change_id, file_path, count(distinct group_id) - 1 k from h group by all) group by all),
+m as (select change_id, total_files, total_loc, case when total_loc <= {MAX_LOC} then 1 else k end total_groups, case when total_loc <= {MAX_LOC} then 0 else 1000 * o + 50 * s + k end::bigint objective, total_loc > {MAX_LOC} and k >= 5 split from z join a using (change_id) join x using (change_id)),
+t as (select change_id, string_agg('| ' || group_id || ' | a \\| ' || group_ord || ' | ' || format('{{:,}}', estimated_loc) || ' |', chr(10) order by group_ord) t from (select distinct change_id, group_id, group_ord from h) join g using (change_id, group_id) group by all),
+b as (select m.change_id, 'total_files=' || total_files || ';total_loc=' || total_loc || ';total_groups=' || total_groups || ';objective=' || objective || ';should_split=' || split outputs,
+  '<!-- check -->' || chr(10) || '| Measure | Value |' || chr(10) || '| --- | --- |' || chr(10) || '| Files | ' || format('{{:,}}', total_files) || ' |' || chr(10) || '| Lines | ' || format('{{:,}}', total_loc) || ' |' || chr(10) || '| Groups | ' || format('{{:,}}', total_groups) || ' |' || chr(10) ||
+  '| Objective | ' || format('{{:,}}', objective) || ' |' || chr(10) || '| Split | ' || split || ' |' || case when total_loc > {MAX_LOC} then chr(10) || chr(10) || '| Group | Title | Lines |' || chr(10) || '| --- | --- | --- |' || chr(10) || t else '' end body from m join t using (change_id))
+select change_id, outputs, md5(body) body_md5, case when change_id % 3 = 0 then 'update' else 'create' end as action, case when change_id % 3 = 0 then change_id * 10 end comment_id from b""")
+def q64_score_report(spark, sf_dir):
+    """A check of each customer's change from numstat lines, one of a binary file among them, to outputs and a comment, which every
+    third customer already has."""
+    hunks = A.li_hunks(spark, sf_dir)
+    by_file = hunks.groupBy("change_id", "file_path").agg(F.sum("added").alias("a"), F.sum("removed").alias("r"))
+    lines = by_file.select("change_id", F.concat_ws("\t", F.col("a").cast("string"), F.col("r").cast("string"), "file_path").alias("value"))
+    lines = lines.union(hunks.select("change_id", F.explode(F.array(F.lit("-\t-\tlogo.png"), F.lit("no line"))).alias("value")).distinct())
+    sizes = stats.group_loc(hunks, hunks.drop("group_id"), hunks.select("change_id", "group_id").distinct())
+    titles = hunks.select("change_id", "group_id", "group_ord", F.concat(F.lit("a | "), F.col("group_ord").cast("string")).alias("title")).distinct()
+    said = A.table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("change_id"), F.explode(F.array(F.struct((F.col("c_custkey") * 10).alias("comment_id"), F.lit("<!-- check --> old").alias("body")), F.struct((F.col("c_custkey") * 10 - 1).alias("comment_id"), F.lit("thanks").alias("body")))).alias("c")).select("change_id", "c.*")
+    outputs, comments = score.score_report(lines, titles.join(sizes, ["change_id", "group_id"]), hunks, said, "<!-- check -->", MAX_LOC, 5)
+    told = outputs.groupBy("change_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]), ";").alias("outputs"))
+    return told.join(comments, "change_id").select("change_id", "outputs", F.md5("body").alias("body_md5"), "action", "comment_id")
+
+
+_HEAP = """b as (select o_custkey change_id, row_number() over (partition by o_custkey order by o_orderkey) k, count(*) over (partition by o_custkey) n from orders)"""
+
+
+def _heap_groups(spark, sf_dir):
+    branches = A.order_branches(spark, sf_dir)
+    up = F.when(F.col("base_branch") != "main", F.array("base_branch")).otherwise(F.array().cast("array<string>"))
+    return branches.select("change_id", F.col("branch_name").alias("group_id"), F.regexp_extract("branch_name", r"\d+", 0).cast("int").alias("group_ord"), up.alias("depends_on"))
+
+
+@query(f"""with recursive {_HEAP}, t as (select change_id, k, n, 'b1' as line, '' as inner_, lpad(k::varchar, 9, '0') as way from b where k = 1 union all
+  select b.change_id, b.k, b.n, t.inner_ || case when b.k = least(t.k * 2 + 1, b.n) then '└── ' else '├── ' end || 'b' || b.k, t.inner_ || case when b.k = least(t.k * 2 + 1, b.n) then '    ' else '│   ' end, t.way || '/' || lpad(b.k::varchar, 9, '0') from t join b on b.change_id = t.change_id and b.k // 2 = t.k and b.k > 1)
+select change_id, md5(string_agg(line, chr(10) order by way)) tree_md5, count(*) as lines from t group by change_id""")
+def q65_tree(spark, sf_dir):
+    made = graph.rendered(_heap_groups(spark, sf_dir))
+    return made.select("change_id", F.md5("tree").alias("tree_md5"), F.size(F.split("tree", "\n")).cast("long").alias("lines"))
+
+
+@query(f"""with recursive {_HEAP}, t as (select change_id, k, '' as lead, lpad(k::varchar, 9, '0') as way from b where k = 1 union all
+  select b.change_id, b.k, t.lead || '  ', t.way || '/' || lpad(b.k::varchar, 9, '0') from t join b on b.change_id = t.change_id and b.k // 2 = t.k and b.k > 1),
+x as (select c.change_id, c.k, string_agg(t.lead || '- ' || case when t.k = c.k then '**b' || t.k || '**  <-- this one' else 'b' || t.k end, chr(10) order by t.way) tree from b c join t on t.change_id = c.change_id group by all)
+select change_id, 'b' || k group_id, md5('group ' || k || chr(10) || chr(10) || case when k > 1 then 'on b' || k // 2 || chr(10) || chr(10) else '' end || tree) body_md5, md5('#' || k || chr(10) || tree || chr(10)) filled_md5 from x""")
+def q66_pr_bodies(spark, sf_dir):
+    """The body of each branch's pull request, by sections and by a template, with the tree in which it is marked."""
+    groups = _heap_groups(spark, sf_dir)
+    rows = groups.join(graph.rendered(groups, markdown=True), ["change_id", "group_id"])
+    nothing, k = F.lit(""), F.col("group_ord").cast("string")
+    base = F.when(F.size("depends_on") > 0, F.concat(F.lit("on "), F.get("depends_on", F.lit(0)))).otherwise("")
+    body = pr_body(F.concat(F.lit("group "), k), nothing, nothing, base, F.col("tree"))
+    filled = pr_body(k, nothing, nothing, base, F.col("tree"), "#{description}\n{tree}\n")
+    return rows.select("change_id", "group_id", F.md5(body).alias("body_md5"), F.md5(filled).alias("filled_md5"))

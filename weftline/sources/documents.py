@@ -50,12 +50,13 @@ def numstat(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numstat_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """The same for lines of a table, all its other columns kept."""
     parts = F.split(F.col(column), "\t")
 
     def number(k: int) -> Column:
         return F.when(parts[k] == "-", 0).otherwise(parts[k].try_cast("int"))
 
-    return lines.filter(F.size(parts) >= 3).select(parts[2].alias("file_path"), number(0).alias("added"), number(1).alias("removed"))
+    return lines.filter(F.size(parts) >= 3).select(*[c for c in lines.columns if c != column], parts[2].alias("file_path"), number(0).alias("added"), number(1).alias("removed"))
 
 
 def worktree_clean(lines: DataFrame, column: str = "value") -> DataFrame:

@@ -52,8 +52,8 @@ def plan_json(row: Column) -> Column:
 
 
 def action_outputs(values: DataFrame) -> DataFrame:
-    """name, value -> lines name=value."""
-    return values.select(F.concat_ws("=", "name", F.coalesce(F.col("value").cast("string"), F.lit(""))).alias("value"))
+    """name, value -> lines name=value; all other columns are kept."""
+    return values.select(*[c for c in values.columns if c not in ("name", "value")], F.concat_ws("=", "name", F.coalesce(F.col("value").cast("string"), F.lit(""))).alias("value"))
 
 
 def score_comment(groups: DataFrame, scores: DataFrame) -> DataFrame:
@@ -80,3 +80,39 @@ def upsert_comments(wanted: DataFrame, existing: DataFrame, marker: str) -> Data
 def webhook_payload(outcomes: DataFrame) -> DataFrame:
     """change_id, payload: the JSON that a hook would be sent."""
     return outcomes.select("change_id", F.to_json(F.struct(*[c for c in outcomes.columns if c != "change_id"])).alias("payload"))
+
+
+def send_payloads(payloads: DataFrame, url: str, timeout: float = 10.0, attempts: int = 2) -> DataFrame:
+    """Posts the payload of each row (change_id, payload) as JSON: change_id, key, status, error, tries. A failure is a row with
+    its error, and others are sent all the same. A task that runs again posts again, under the same key (the header
+    Idempotency-Key, of change and payload), by which a receiver can tell; write the result once and read that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+        import urllib.error
+        import urllib.request
+
+        def post(body: bytes, key: str) -> tuple[int | None, str | None]:
+            request = urllib.request.Request(url, body, {"Content-Type": "application/json", "Idempotency-Key": key}, method="POST")
+            try:
+                with urllib.request.urlopen(request, timeout=timeout) as answer:
+                    return answer.status, None
+            except urllib.error.HTTPError as bad:
+                return bad.code, bad.reason
+            except (OSError, ValueError) as bad:
+                return None, str(bad)
+
+        for batch in (b for b in batches if b.num_rows):
+            told = []
+            for change, payload in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                body = (payload or "{}").encode()
+                key = hashlib.sha256(f"{change}\n".encode() + body).hexdigest()
+                for tries in range(1, attempts + 1):
+                    status, error = post(body, key)
+                    if error is None or (status is not None and status < 500):  # what is refused stays refused
+                        break
+                told.append((change, key, status, error, tries))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*told, strict=True), (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32()), strict=True)], ["change_id", "key", "status", "error", "tries"])
+
+    rows = payloads.select(F.col("change_id").cast("string"), F.col("payload").cast("string"))
+    return rows.mapInArrow(run, "change_id string, key string, status int, error string, tries int")
