@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..tables import stored
 from . import graph
 
 
@@ -24,9 +25,11 @@ def pulls(made: DataFrame, groups: DataFrame, bodies: DataFrame, pushed: DataFra
     """change_id, group_id, place, action, head, base, title, body, draft: first a push of every branch, then
     a pull request for each whose own branch and base branches all are pushed; the others are skipped.
     pushed: change_id, branch_name of the pushes that worked; without it all did."""
+    made = stored(made, "branches")
     push = made.select("change_id", "group_id", "place", F.lit("push").alias("action"), F.col("branch_name").alias("head"))
-    done = made if pushed is None else made.join(pushed.select("change_id", "branch_name"), ["change_id", "branch_name"], "left_semi")
+    done = made if pushed is None else stored(made.join(pushed.select("change_id", "branch_name"), ["change_id", "branch_name"], "left_semi"), "done")
     flags = made.join(done.select("change_id", "branch_name", F.lit(True).alias("pushed")), ["change_id", "branch_name"], "left").withColumn("pushed", F.coalesce("pushed", F.lit(False)))
+    flags = stored(flags, "pushed")
     ready = graph.base_pushed(flags).join(done.select("change_id", "branch_name"), ["change_id", "branch_name"], "left_semi").withColumn("ready", F.lit(True))
     rows = made.join(ready, ["change_id", "branch_name"], "left").join(groups.select("change_id", "group_id", "title"), ["change_id", "group_id"]).join(bodies.select("change_id", "group_id", "body"), ["change_id", "group_id"], "left")
     action = F.when(F.coalesce("ready", F.lit(False)), "create").otherwise("skip: branch or base not pushed")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import stored
 from . import graph, kernels
 
 
@@ -101,8 +102,10 @@ def stacked_schedule(groups: DataFrame, own: DataFrame, trunk: str = "main") ->
     A group with one parent stands on it and holds, in its own files, the hunks of all ancestors; with
     several parents it stands on the trunk and carries all files of its ancestors. Ancestors are taken
     from the whole closure, so a file that a group between doesn't touch is not lost."""
+    groups, own = stored(groups, "groups"), stored(own, "own")
     up = graph.closure(groups)
     hunks = up.join(own.withColumnRenamed("group_id", "ancestor_id"), ["change_id", "ancestor_id"]).select("change_id", "group_id", "file_path", "hunk_indices")
+    hunks = stored(hunks, "lent")
     merges = groups.filter(F.size("depends_on") > 1).select("change_id", "group_id")
 
     def part(keep: str, carry: bool) -> DataFrame:

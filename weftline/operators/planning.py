@@ -15,6 +15,7 @@ from .. import schemas
 from ..functions.prompts import Prompts, violation_line
 from ..options import CHUNK_ATTEMPTS, MAX_OUTPUT_TOKENS, TOKEN_RATIO, PartitionStrategy, PlanOptions
 from ..sources.documents import model_groups
+from ..tables import stored
 from . import chunking, edit, graph, kernels, score, stats, validate
 from .partition import partition
 
@@ -39,7 +40,7 @@ def accepted(answers: DataFrame, key: str, limit: int = CHUNK_ATTEMPTS) -> tuple
     """answers: change_id, key, attempt, payload_json. (groups of the first attempt that can be read,
     change_id and key of what has such an attempt, change_id and key of what has none)."""
     keys = ["change_id", key]
-    tried = answers.filter(F.col("attempt") <= limit)
+    tried = stored(answers.filter(F.col("attempt") <= limit), "answers")
     groups, errors = model_groups(tried)
     first = tried.join(errors.select(*keys, "attempt"), [*keys, "attempt"], "left_anti").groupBy(*keys).agg(F.min("attempt").alias("attempt"))
     failed = tried.select(*keys).distinct().join(first, keys, "left_anti")
@@ -77,7 +78,7 @@ def with_uncovered(groups: DataFrame, hunks: DataFrame) -> DataFrame:
     wide = F.transform("assignments", lambda a, i: F.struct(a["file_path"].alias("file_path"), a["assignment_type"].alias("assignment_type"), F.when(F.array_position(held, a["file_path"]) == i + 1, F.concat(F.coalesce(a["hunk_indices"], none), F.coalesce(F.try_element_at(at, a["file_path"]), none))).otherwise(a["hunk_indices"]).alias("hunk_indices")))
     new = F.transform(F.filter(F.map_entries(at), lambda e: ~F.array_contains(held, e["key"])), lambda e: F.struct(e["key"].alias("file_path"), F.lit("partial_hunks").alias("assignment_type"), e["value"].alias("hunk_indices")))
     rows = rows.withColumn("assignments", F.concat(wide, new)).drop("more")
-    return recounted(rows, hunks)
+    return recounted(stored(rows, "placed"), hunks)
 
 
 def recounted(groups: DataFrame, hunks: DataFrame) -> DataFrame:
@@ -92,7 +93,7 @@ def chunked_plan(answers: DataFrame, hunks: DataFrame) -> tuple[DataFrame, DataF
     with a chunk that no attempt answered has no groups."""
     groups, _, failed = accepted(answers, "chunk")
     whole = groups.join(failed.select("change_id").distinct(), "change_id", "left_anti")
-    return with_uncovered(fold_chunks(whole), hunks), failed
+    return with_uncovered(stored(fold_chunks(whole), "folded"), hunks), failed
 
 
 def refined(groups: DataFrame, answers: DataFrame, hunks: DataFrame, options: PlanOptions) -> tuple[DataFrame, DataFrame]:
@@ -109,7 +110,8 @@ def refined(groups: DataFrame, answers: DataFrame, hunks: DataFrame, options: Pl
     later = recounted(later.withColumn("change_id", key).drop("iteration").withColumnRenamed("id", "group_id"), _for_each_version(good, hunks))
     columns = ["group_ord", "group_id", "title", "description", "depends_on", "assignments", "estimated_added", "estimated_removed", "estimated_loc"]
     now = groups.withColumn("iteration", F.lit(0)).withColumn("change_id", key)
-    versions = now.select("change_id", *columns).unionByName(later.select("change_id", *columns))
+    versions = stored(now.select("change_id", *columns).unionByName(later.select("change_id", *columns)), "versions")
+    good = stored(good, "answered")
     broken = validate.loc_bounds(versions, options.max_loc, options.min_loc).groupBy("change_id").agg(F.count("*").alias("remaining"))
     state = total.select("change_id", F.lit(0).alias("iteration")).union(good.select("change_id", F.col("iteration").cast("int")))
     state = state.join(broken.select("change_id.*", "remaining"), ["change_id", "iteration"], "left").na.fill(0, ["remaining"])
@@ -117,7 +119,7 @@ def refined(groups: DataFrame, answers: DataFrame, hunks: DataFrame, options: Pl
     state = state.join(following, ["change_id", "iteration"], "left").join(total, "change_id")
     small = F.lit(options.min_loc is None) & (F.lit(options.max_loc) >= F.col("total"))
     ends = state.filter((F.col("remaining") == 0) | F.col("more").isNull() | (F.col("iteration") == limit) | small)
-    last = ends.groupBy("change_id").agg(F.min(F.struct("iteration", "remaining")).alias("e")).select("change_id", "e.*")
+    last = stored(ends.groupBy("change_id").agg(F.min(F.struct("iteration", "remaining")).alias("e")).select("change_id", "e.*"), "last")
     chosen = versions.select("change_id.*", *columns).join(last.select("change_id", "iteration"), ["change_id", "iteration"]).drop("iteration")
     return chosen, last.select("change_id", F.col("iteration").alias("iterations"), "remaining", (F.col("remaining") == 0).alias("resolved"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import MESSAGES, bound_message
 from ..options import PlanError, PlanOptions
+from ..tables import stored
 from . import graph
 from .partition import expand_whole, union_all
 
@@ -53,8 +54,11 @@ def violations(groups: DataFrame, hunks: DataFrame, files: DataFrame, options: P
 
     groups: change_id, group_id, depends_on, assignments, estimated_*. Coverage takes whole files as all
     their hunks; conflicts take listed hunks only."""
+    # Every rule reads these; they are made once.
+    groups = stored(groups.select("change_id", "group_id", "depends_on", "assignments", "estimated_added", "estimated_removed", "estimated_loc"), "groups")
+    hunks = stored(hunks.select("change_id", "file_path", "hunk_index", "added", "removed"), "hunks")
     rows = groups.select("change_id", "group_id", F.explode("assignments").alias("a")).select("change_id", "group_id", "a.*")
-    cover, listed = expand_whole(rows, files), graph.assigned(groups)
+    cover, listed = stored(expand_whole(rows, files), "cover"), graph.assigned(groups)
     none = F.lit(None).cast("string")
 
     def made(df: DataFrame, priority: int, rule: str, group, detail, severity: str = "error") -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions.text import pr_body
 from ..operators import actions, chunking, edit, graph, partition, planning, score, stats, status, validate
 from ..options import PlanOptions
 from ..sources import diffs, documents
+from ..tables import stored
 from . import adapters as A
 from .catalogue import MAX_LOC, MIN_LOC, _doubled, query
 
@@ -110,7 +111,7 @@ u as (select change_id, group_id, file_path, hunk_index from h union select c.ch
 x as (select u.* from u join pc using (change_id, group_id) where pc.k > 1 or exists (select 1 from h where h.change_id = u.change_id and h.group_id = u.group_id and h.file_path = u.file_path))
 select x.change_id, x.group_id, v.level, case when pc.k = 1 then pc.p else 'main' end base_branch, count(distinct file_path) files, count(*) hunks from x join v using (change_id, group_id) join pc using (change_id, group_id) group by all""")
 def q46_stacked_schedule(spark, sf_dir):
-    hunks = A.li_hunks(spark, sf_dir)
+    hunks = stored(A.li_hunks(spark, sf_dir), "hunks")
     own = hunks.groupBy("change_id", "group_id", "file_path").agg(F.sort_array(F.collect_list("hunk_index")).alias("hunk_indices")).withColumn("assignment_type", F.lit("partial_hunks"))
     plan = edit.stacked_schedule(A.li_groups(hunks), own)
     many = F.aggregate("assignments", F.lit(0).cast("long"), lambda n, a: n + F.size(a["hunk_indices"]))
@@ -123,7 +124,7 @@ z as (select change_id, group_id, file_path, hunk_index from (select change_id,
 select change_id, group_id, file_path, string_agg(hunk_index, ',' order by hunk_index) hunks from z group by all""")
 def q47_effective_hunks(spark, sf_dir):
     """What branches of a stack hold where parents lend what they have been lent."""
-    hunks = A.li_hunks(spark, sf_dir)
+    hunks = stored(A.li_hunks(spark, sf_dir), "hunks")
     made = edit.effective_hunks(_titled(hunks), stats.files_from_hunks(hunks)).select("change_id", "group_id", F.explode("assignments").alias("a"))
     return made.select("change_id", "group_id", "a.file_path", F.array_join(F.transform("a.hunk_indices", lambda x: x.cast("string")), ",").alias("hunks"))
 
@@ -170,7 +171,7 @@ r as (select change_id, 'unknown_dependency' rule from ec where not exists (sele
 select change_id, rule, count(*) n from r group by all""")
 def q50_violations(spark, sf_dir):
     """All rules at once over a plan with gaps, overlaps and dependencies on groups that lost all hunks."""
-    hunks = A.li_hunks(spark, sf_dir)
+    hunks = stored(A.li_hunks(spark, sf_dir), "hunks")
     held = _doubled(hunks.filter("l_linenumber % 5 <> 0"))
     files = held.groupBy("change_id", "group_id", "file_path").agg(F.sort_array(F.collect_list(F.col("hunk_index").cast("int"))).alias("hunk_indices"))
     groups = files.groupBy("change_id", "group_id").agg(F.collect_list(F.struct("file_path", F.lit("partial_hunks").alias("assignment_type"), "hunk_indices")).alias("assignments"))
@@ -203,7 +204,7 @@ select al.change_id, al.group_id, ord.group_ord, 'title ' || ord.at_[1] title, p
 def q51_chunked_plan(spark, sf_dir):
     """Answers chunk by chunk (a line number is a chunk) folded into one plan; hunks in no answer are placed,
     answers that can't be read are asked for again, and a change without one has no plan."""
-    hunks = A.li_hunks(spark, sf_dir)
+    hunks = stored(A.li_hunks(spark, sf_dir), "hunks")
     groups, _ = planning.chunked_plan(_answers(hunks.filter("l_tax <> 0.05"), F.col("l_linenumber")), hunks)
     listed = hunks.filter("l_tax <> 0.05").groupBy("change_id", "group_id").agg(F.count("*").alias("listed"))
     many = F.aggregate("assignments", F.lit(0).cast("long"), lambda n, a: n + F.size(a["hunk_indices"]))
@@ -220,7 +221,7 @@ l as (select change_id, min(it) it, arg_min(k, it) k from e group by all)
 select l.change_id, l.it iterations, l.k remaining, l.k = 0 resolved, count(*) groups, sum(v.loc)::bigint loc from l join v on v.change_id = l.change_id and v.it = l.it group by all""")
 def q52_refinement(spark, sf_dir):
     """Two rounds of refinement, whose answers some changes lack."""
-    hunks = A.li_hunks(spark, sf_dir)
+    hunks = stored(A.li_hunks(spark, sf_dir), "hunks")
 
     answers = partition.union_all(*[_whole(hunks, *v) for v in ((1, F.col("group_ord") % 4, "change_id % 3 <> 0"), (2, F.col("l_linenumber").cast("long") % 3, "change_id % 2 = 0"))])
     groups, told = planning.refined(_titled(hunks), answers, hunks, PlanOptions(max_loc=MAX_LOC, min_loc=MIN_LOC, max_refinement_iterations=2))
@@ -269,9 +270,9 @@ select change_id, group_id, place, 'push' as action, branch_name head, null base
 select br.change_id, br.group_id, br.place, case when exists (select 1 from dead d where d.change_id = br.change_id and d.branch_name = br.branch_name) or exists (select 1 from ch join dead d on d.change_id = ch.change_id and d.branch_name = ch.up where ch.change_id = br.change_id and ch.branch_name = br.branch_name) then 'skip: branch or base not pushed' else 'create' end, branch_name, base_branch, 'group ' || n.group_ord from br join n using (change_id, group_id)""")
 def q54_push_and_pulls(spark, sf_dir):
     """Pushes and pull requests of stacked branches, where some pushes failed."""
-    hunks = A.li_hunks(spark, sf_dir)
-    groups = _titled(hunks)
-    made = _li_branches(hunks, groups)
+    hunks = stored(A.li_hunks(spark, sf_dir), "hunks")
+    groups = stored(_titled(hunks), "groups")
+    made = stored(_li_branches(hunks, groups), "made")
     rows = actions.pulls(made, groups, groups.select("change_id", "group_id", F.lit("text").alias("body")), made.filter("(change_id + place) % 6 <> 5"))
     return rows.select("change_id", "group_id", F.col("place").cast("long").alias("place"), "action", "head", "base", "title")
 
