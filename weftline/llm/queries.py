@@ -117,4 +117,32 @@ r as (select *, case
   when ('.' || host) like '%.net' and path like '/de/%' then 'net/de/'
   when ('.' || host) like '%.org' and path like '/es/%' then 'org/es/' end as rule from p)
 select page_id, host, path, rule, case when rule in ('com/en/', 'example.net/de/8', 'org/es/') then 'block' else 'allow' end as verdict from r""",
+    "op12_decontamination": r"""
+with d as (select doc_id, row_number() over () r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+i as (select coalesce(item_id::varchar, '') item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+j as (select item, w, least(10, len(w)) n, unnest(range(1, len(w) - least(10, len(w)) + 2)) k from i where len(w) > 0),
+iw as (select distinct item, n, array_to_string(w[k:k + n - 1], ' ') g from j),
+x as (select r, w, n, unnest(range(1, len(w) - n + 2)) k from d, (select distinct n from iw)),
+hit as (select r, k, x.n, item from x join iw on iw.n = x.n and iw.g = array_to_string(w[k:k + x.n - 1], ' ')),
+c as (select r, count(distinct p) n_hit from (select r, unnest(range(k, k + n)) p from hit) group by r),
+s as (select r, count(*) n_items, string_agg(item, ',' order by item) names from (select distinct r, item from hit) group by r)
+select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(names, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from d left join c on c.r = d.r left join s on s.r = d.r""",
+    "op13_prefix_trie": r"""
+with t as (select conv_id c, coalesce(role, '') role, coalesce(text, '') text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 i from conversations where conv_id is not null),
+o as (select c, count(*) n from t group by c),
+b as (select c, n, c - c % 100 base, list_reduce(list_prepend(4294967295::bigint, flatten([[((ord(y) >> z) & 1)::bigint for z in range(0, 8)] for y in string_split(c::varchar, '')])), lambda x, y: xor(x >> 1, 3988292384 * (xor(x, y) & 1))) crc from o),
+v as (select b.c, b.base, xor(crc, 4294967295) % 6 h, least(xor(crc, 4294967295) % 6, coalesce(o.n, 0)) m from b left join o on o.c = b.base),
+r as (select v.c, t.i pos, role, text from v join t on t.c = v.base where t.i < v.h union all select v.c, v.m + t.i - v.h, role, text from v join t on t.c = v.c where t.i >= v.h),
+l as (select c, list(md5(length(role) || ':' || role || text) order by pos) m, list(length(text) order by pos) z from r group by c),
+q as (select v.c, coalesce(l.m, []) m, coalesce(l.z, []) z from v left join l on l.c = v.c),
+p as (select c, m, z, unnest(range(0, len(m) + 1)) depth from q),
+nd as (select depth, coalesce(array_to_string(m, ''), '') k, min(c) conv_id, count(*) n_convs, coalesce(max(z[depth]), 0) chars
+  from (select c, z, depth, m[1:depth] m from p) group by 1, 2),
+e as (select depth - 1 as depth, left(k, 32 * (depth - 1)::int) k, count(*) n_children from nd where depth > 0 group by 1, 2),
+f as (select nd.*, coalesce(e.n_children, 0) n_children from nd left join e on e.depth = nd.depth and e.k = nd.k),
+g as (select a depth, left(k, 32 * a::int) k, sum((n_children = 0)::int)::bigint n_leaves, sum((n_convs - 1) * chars)::bigint saved_tokens from (select *, unnest(range(0, depth + 1)) a from f) group by 1, 2),
+w as (select coalesce(array_to_string(m, ''), '') k, string_agg(c::varchar, ',' order by c) ends from q group by 1)
+select f.conv_id, f.depth, up.conv_id parent_conv_id, f.n_convs, f.n_children, g.n_leaves, g.saved_tokens, sha256(coalesce(w.ends, '')) ends_sha256
+from f join g on g.depth = f.depth and g.k = f.k left join nd up on up.depth = f.depth - 1 and up.k = left(f.k, 32 * greatest(0, f.depth - 1)::int) left join w on w.k = f.k""",
 }
