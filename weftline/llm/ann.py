@@ -117,10 +117,16 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, their largest entry from a half up to one: cosines are the same to the last bit, and no
+    square is too large or too small for a double."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0.0))[1][:, None])
+
+
 def _matrix(col, width: int) -> np.ndarray:
-    """A list column as rows of doubles."""
+    """A list column as rows of doubles, scaled."""
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    return np.asarray(col.flatten()).astype(np.float64).reshape(len(col), width)
+    return _scaled(np.asarray(col.flatten()).astype(np.float64).reshape(len(col), width))
 
 
 def _best(left: pa.Table, right: pa.Table, k: int, width: int) -> pa.Table:
@@ -183,7 +189,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int =
     width = widths["width"]
     rows, asked = rows.filter(F.size("vector") == width), asked.filter(F.size("vector") == width)
     picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(sample).toPandas()
-    forest, probes = fit(np.array(picked["vector"].tolist(), np.float64).reshape(-1, width), picked["vec_id"].to_numpy(), k, trees, leaf, recall)
+    forest, probes = fit(_scaled(np.array(picked["vector"].tolist(), np.float64).reshape(-1, width)), picked["vec_id"].to_numpy(), k, trees, leaf, recall)
     shared = spark.sparkContext.broadcast(forest)
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
