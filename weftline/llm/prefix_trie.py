@@ -263,10 +263,11 @@ def prefix_trie(conversations: DataFrame, most: int = 5, group: int = 100, span:
     parent = [(F.col("depth") - 1).alias("depth"), F.col("pa").alias("na"), F.col("pb").alias("nb")]
     below = nodes.filter("depth > 0").groupBy(*parent).agg(F.count("*").alias("n_children"))
     above = nodes.select((F.col("depth") + 1).alias("depth"), F.col("na").alias("pa"), F.col("nb").alias("pb"), F.col("conv_id").alias("parent_conv_id"), F.col("owner").alias("up_owner"))
-    tops = nodes.filter("depth = 0").select(F.col("conv_id").alias("parent_conv_id"), F.col("owner").alias("up_owner"))
     nothing = F.lit(None).cast("long")
     linked = nodes.filter("depth > 1").join(above, ["depth", "pa", "pb"])
-    linked = linked.unionByName(nodes.filter("depth = 1").join(F.broadcast(tops)))  # the root alone: one row
+    top = nodes.filter("depth = 0").first()  # all of depth 1 are below the one root
+    at_root = {"parent_conv_id": F.lit(top and top["conv_id"]).cast("long"), "up_owner": F.lit(top and top["owner"]).cast("long")}
+    linked = linked.unionByName(nodes.filter("depth = 1").withColumns(at_root))
     linked = linked.unionByName(nodes.filter("depth = 0").withColumns({"parent_conv_id": nothing, "up_owner": nothing}))
     linked = linked.join(below, NODE, "left").withColumn("n_children", F.coalesce("n_children", zero))
     linked = common.store(linked.select(*NODE, "conv_id", "parent_conv_id", "n_convs", "n_children", "owner", "up_owner", "chars"), "trie")
