@@ -115,3 +115,34 @@ def test_forks_and_live(spark):
     assert got[0]["error"] is None and got[0]["user"] == "me" and got[1]["error"] and got[2]["error"]
     live = rows(documents.live_states(spark.createDataFrame([(1, '{"state": "OPEN", "isDraft": true}'), (2, "broken")], "pr_number int, json string")), "pr_number")
     assert live[0]["state"] == "OPEN" and live[0]["is_draft"] and live[1]["state"] is None
+
+
+def _random_diff(r, files):
+    out = r.choice(("", "From: someone\nan introduction\n\n"))
+    for k in range(files):
+        name, n = f"d{r.randint(0, 3)}/f {k}.py", r.randint(0, 3)
+        out += f"diff --git a/{name} b/{name}\n" + (f"--- a/{name}\n+++ b/{name}\n" if n else "old mode 100644\nnew mode 100755\n")
+        for h in range(n):
+            body = [r.choice(" +-") + r.choice(("x", "", "diff --git a/q b/q", "-- a/x", "é" * 40, "\tt\r")) for _ in range(r.randint(1, 12))]
+            plus, minus = sum(b[0] != "-" for b in body), sum(b[0] != "+" for b in body)
+            out += f"@@ -{h * 50 + 1},{minus} +{h * 50 + 1},{plus} @@ def\n" + "\n".join(body) + "\n"
+    return out
+
+
+def test_large_files_are_cut_anywhere(spark, tmp_path):
+    r = random.Random(4)
+    texts = {f"c {k}.diff": _random_diff(r, r.randint(1, 30)) for k in range(3)} | {"empty.diff": "", "two.diff": NEW + TWO + OTHER, "bad.diff": NEW + "diff --git a/z b/z\n--- a/z\n+++ b/z\n@@ -1,5 +1,5 @@\n a\n" + TWO, "plain.diff": "--- a/e.py\n+++ b/e.py\n@@ -1 +1 @@\n-a\n+b\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    want = diffs.parse_diffs(spark.createDataFrame(list(texts.items()), "change_id string, raw_diff string"))
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "3000")
+        got = diffs.parse_files(spark, str(tmp_path))
+        assert got.columns == want.columns
+        told = lambda df: sorted((tuple(x) for x in df.filter("error is null").collect()), key=repr)
+        assert told(got) == told(want) and len(told(want)) > 50
+        assert [x["change_id"] for x in diffs.errors_of(got).collect()] == ["bad.diff"]
+    finally:
+        spark.conf.set(name, before)

@@ -8,8 +8,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from ..options import PlanError
+from ..tables import stored
 
 _HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
 _FIELDS = "file_ord int, file_path string, source_file string, target_file string, is_new boolean, is_deleted boolean, is_renamed boolean, hunk_index int, source_start int, source_length int, target_start int, target_length int, added int, removed int, hunk_text string, error string"
@@ -142,6 +144,30 @@ def read_diffs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("change_id"), F.col("value").alias("raw_diff"))
 
 
+def parse_files(spark: SparkSession, path: str) -> DataFrame:
+    """What parse_diffs(read_diffs()) gives, for files of any size: a file is read in splits and cut before each line that
+    begins with "diff --git ", which no line of a hunk can, so a task holds the section of one changed file at a time. Line numbers
+    in errors count within a section."""
+    raw = spark.read.option("lineSep", "\ndiff --git ").text(path)
+    name, start = F.element_at(F.split("_metadata.file_path", "/"), -1), F.col("_metadata.file_block_start")
+    pieces = stored(raw.select(F.url_decode(name).alias("file"), start.alias("start"), F.monotonically_increasing_id().alias("at"), "value"), "sections")
+    heads = pieces.groupBy("file").agg(F.min(F.struct("start", "at")).alias("head"))
+    # What stands before the first such line, and a first line itself, has lost nothing to the cut.
+    whole = (F.struct("start", "at") == F.col("head")) | F.col("value").startswith("diff --git ")
+    text = F.when(whole, F.col("value")).otherwise(F.concat(F.lit("diff --git "), "value"))
+    key = F.struct("file", "start", "at")
+    parsed = stored(parse_diffs(pieces.join(heads, "file").select(key.alias("change_id"), text.alias("raw_diff"))), "parsed")
+    parsed = parsed.select("change_id.*", *_NAMES)
+    sections = parsed.groupBy("file", "start", "at").agg((F.max("file_ord") + 1).alias("n"), F.min("error").alias("wrong"))
+    turn = W.Window.partitionBy("file").orderBy("start", "at")
+    first_wrong = F.first("wrong", ignorenulls=True).over(turn.rowsBetween(W.Window.unboundedPreceding, W.Window.unboundedFollowing))
+    places = sections.select("file", "start", "at", F.coalesce(F.sum("n").over(turn.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)).cast("int").alias("ahead"), first_wrong.alias("wrong"))
+    fine = parsed.join(places.filter("wrong is null").drop("wrong"), ["file", "start", "at"])
+    fine = fine.withColumn("file_ord", F.col("file_ord") + F.col("ahead")).withColumnRenamed("file", "change_id").select("change_id", *_NAMES)
+    wrong = places.filter("wrong is not null").select(F.col("file").alias("change_id"), F.col("wrong").alias("error")).distinct()
+    return fine.unionByName(wrong, allowMissingColumns=True)
+
+
 def lines_of(hunks: DataFrame) -> DataFrame:
     """Lines of hunks: change_id, file_path, hunk_index, line_no, kind (added, removed, context), text."""
     body = F.slice(F.split(F.regexp_replace("hunk_text", "\n$", ""), "\n"), 2, 1 << 30)
