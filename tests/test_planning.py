@@ -248,3 +248,33 @@ def test_payloads_are_sent_and_failures_are_rows(spark):
         server.shutdown()
     gone = sinks.send_payloads(sinks.webhook_payload(outcomes), f"http://127.0.0.1:{server.server_port + 1 if server.server_port < 65535 else 1}/", timeout=1).collect()
     assert all(r["status"] is None and r["error"] for r in gone)
+
+
+def test_files_are_named_when_all_are_written(spark, tmp_path):
+    spark.dataSource.register(sinks.GroupFiles)
+    root = tmp_path / "out"
+    schema = "change_id string, group_id string, file_path string, content string"
+
+    def save(made):
+        made.write.format("group_files").option("root", f"file://{root}").mode("append").save()
+
+    def found():
+        return {str(p.relative_to(root)): p.read_text() for p in root.rglob("*") if p.is_file()}
+
+    first = {"c/g/d/x.py": "a\n", "c/g/y.py": "ü", "c/h/x.py": ""}
+    save(spark.createDataFrame([(*k.split("/", 2), v) for k, v in first.items()], schema).repartition(3))
+    assert found() == first
+    save(spark.createDataFrame([("c", "g", "y.py", None), ("c", "g", "z.py", "new"), ("c", "h", "x.py", "again"), ("c", "h", "none.py", None)], schema).repartition(2))
+    after = {"c/g/d/x.py": "a\n", "c/g/z.py": "new", "c/h/x.py": "again"}
+    assert found() == after
+    with pytest.raises(Exception, match="outside"):  # one task fails: nothing is named, and nothing stays behind
+        save(spark.createDataFrame([("c", "g", "w.py", "w"), ("c", "g", "../w.py", "w")], schema).repartition(2))
+    assert found() == after
+
+
+def test_what_dead_attempts_staged_is_never_named(tmp_path):
+    writer = sinks._GroupFilesWriter(f"file://{tmp_path}", [])
+    row = {"change_id": "c", "group_id": "g", "file_path": "a", "content": "lost"}
+    writer.write(iter([row]))  # its message never comes
+    writer.commit([writer.write(iter([row | {"content": "kept"}])), None])
+    assert [(str(p.relative_to(tmp_path)), p.read_text()) for p in tmp_path.rglob("*") if p.is_file()] == [("c/g/a", "kept")]

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 from ..functions.text import markdown_cell
 from ..options import PlanError
@@ -47,6 +51,77 @@ def write_files(made: DataFrame, root: str) -> DataFrame:
     return rows.mapInArrow(run, "path string, bytes long")
 
 
+@dataclass
+class _Staged(WriterCommitMessage):
+    """What one task has staged: (file below the root, its number in the task's folder, or null where it is to be removed)."""
+
+    folder: str
+    files: list[tuple[str, int | None]]
+
+
+class GroupFiles(DataSource):
+    """Files of groups as a sink: `spark.dataSource.register(GroupFiles)`, then
+    `made.write.format("group_files").option("root", uri).mode("append").save()` for rows change_id, group_id, file_path, content (null:
+    removed). Tasks write below root/_staged; only when all have ended are the files moved to their names and removals done, so
+    readers never see part of a plan's files, and what dead attempts have staged is removed and never named."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "group_files"
+
+    def schema(self) -> str:
+        return "change_id string, group_id string, file_path string, content string"
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        if "root" not in self.options:
+            raise PlanError("group_files needs the option root")
+        return _GroupFilesWriter(self.options["root"], schema.names)
+
+
+class _GroupFilesWriter(DataSourceWriter):
+    def __init__(self, root: str, names: list[str]):
+        self.root, self.names, self.job = root, names, uuid.uuid4().hex
+
+    def _open(self):
+        from pyarrow import fs
+
+        where, top = fs.FileSystem.from_uri(self.root)
+        return where, top.rstrip("/"), f"{top.rstrip('/')}/_staged/{self.job}"
+
+    def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
+        where, _, staged = self._open()
+        folder, files = uuid.uuid4().hex, []
+        where.create_dir(f"{staged}/{folder}", recursive=True)
+        for row in iterator:
+            change, group, name, content = (row[c] for c in ("change_id", "group_id", "file_path", "content"))
+            if ".." in name.split("/") or name.startswith("/"):
+                raise PlanError(f"{name} is outside its folder")
+            at = None if content is None else len(files)
+            if at is not None:
+                with where.open_output_stream(f"{staged}/{folder}/{at}", compression=None) as f:
+                    f.write(content.encode())
+            files.append((f"{change}/{group}/{name}", at))
+        return _Staged(folder, files)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        where, top, staged = self._open()
+        for m in messages:
+            for name, at in m.files if isinstance(m, _Staged) else ():
+                if at is not None:
+                    where.create_dir(f"{top}/{name}".rpartition("/")[0], recursive=True)
+                    where.move(f"{staged}/{m.folder}/{at}", f"{top}/{name}")
+                elif where.get_file_info(f"{top}/{name}").is_file:
+                    where.delete_file(f"{top}/{name}")
+        where.delete_dir(staged)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        from pyarrow import fs
+
+        where, _, staged = self._open()
+        if where.get_file_info(staged).type == fs.FileType.Directory:
+            where.delete_dir(staged)
+
+
 def plan_json(row: Column) -> Column:
     return F.to_json(row, {"pretty": "true"})
 
