@@ -279,8 +279,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketched, nodes, roots = classes_and_links(rows, shingle_words, percent)
     if roots is not None:
-        nodes = nodes.join(roots, "node", "left").withColumn("node", F.coalesce("root", "node"))
-    out = sketched.select("id", "n_shingles", "digest").join(nodes.select("digest", "node"), "digest", "left")
+        nodes = nodes.join(roots.hint("merge"), "node", "left").withColumn("node", F.coalesce("root", "node"))
+    out = sketched.select("id", "n_shingles", "digest").join(nodes.select("digest", "node").hint("merge"), "digest", "left")  # a row for each document: nothing for the driver
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("node", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
