@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..functions.text import group_description, group_title
 from ..options import PartitionStrategy, PlanError, PlanOptions, Priority
-from . import graph, grouping, kernels, stats
+from . import batches, graph, grouping, kernels, stats
 from .chunking import partition_units
 
 
@@ -67,29 +67,30 @@ def _by_units(units: DataFrame, run: Callable[[grouping.Units, list[int]], Itera
     return kernels.by_change(rows, ["position", "loc", "path"], work, schema)
 
 
-def group_units(units: DataFrame, options: PlanOptions) -> DataFrame:
-    """change_id, position, group_ord: greedy groups with repair, or the cheapest ones (exact_groups())."""
+def group_units(units: DataFrame, options: PlanOptions, keep: bool = False) -> DataFrame:
+    """change_id, position, group_ord: greedy groups with repair, or the cheapest ones (exact_groups()).
+    keep: loc and file_path of the units come along, which saves a join with them."""
     if options.partition_strategy == PartitionStrategy.LLM:
         raise PlanError("groups of a model come as a table; see sources.documents.model_groups")
     if options.partition_strategy == PartitionStrategy.CP_SAT:
-        return exact_groups(units, options).select("change_id", "position", "group_ord")
+        return exact_groups(units, options, keep).drop("cost", "bound")
 
-    def run(work: grouping.Units, place: list[int]) -> Iterable[tuple]:
-        return ((place[i], k) for k, g in enumerate(work.repair(work.grow())) for i in g)
+    def run(work: grouping.Units) -> list[tuple]:
+        return [(i, k) for k, g in enumerate(work.repair(work.grow())) for i in g]
 
-    return _by_units(units, run, options, "position int, group_ord int")
+    return batches.by_units(units, "greedy", run, options, "group_ord int", keep)
 
 
-def exact_groups(units: DataFrame, options: PlanOptions) -> DataFrame:
+def exact_groups(units: DataFrame, options: PlanOptions, keep: bool = False) -> DataFrame:
     """change_id, position, group_ord, cost, bound: the cheapest partition of each change that is found, its cost, and
     what no partition is below; it is proven the cheapest where they are equal. Changes of up to
-    grouping.SUBSET_UNITS units always are; larger ones as far as options.exact_steps go."""
+    grouping.SUBSET_UNITS units always are; larger ones as far as options.exact_steps go. keep as in group_units()."""
 
-    def run(work: grouping.Units, place: list[int]) -> Iterable[tuple]:
+    def run(work: grouping.Units) -> list[tuple]:
         groups, cost, bound = work.exact(options.exact_steps)
-        return ((place[i], k, cost, bound) for k, g in enumerate(groups) for i in g)
+        return [(i, k, cost, bound) for k, g in enumerate(groups) for i in g]
 
-    return _by_units(units, run, options, "position int, group_ord int, cost long, bound long")
+    return batches.by_units(units, "exact", run, options, "group_ord int, cost long, bound long", keep)
 
 
 def groups_from_units(grouped: DataFrame, units: DataFrame, hunks: DataFrame, backend: str) -> DataFrame:
