@@ -26,3 +26,15 @@ def test_broadcasts_are_small_while_a_table_is_written(spark, said, held):
         assert (seen, spark.conf.get(KEY), got.count()) == ([held], said, 3)
     finally:
         spark.conf.set(KEY, before)
+
+
+def test_broadcasts_are_small_where_the_session_sets_none(spark):
+    before = spark.conf.get(KEY)
+    spark.conf.unset(KEY)
+    try:
+        assert common._broadcasts(spark) == {KEY: str(1 << 20)}
+        with common._options(spark, common._broadcasts(spark)):
+            assert spark.conf.get(KEY) == str(1 << 20)
+        assert spark.conf.get(KEY, None) is None
+    finally:
+        spark.conf.set(KEY, before)
