@@ -62,3 +62,15 @@ def test_sizes_on_both_sides_of_the_limits(spark, monkeypatch, strategy):
         one = grouping.Units([grouping.file_of(u[2]) for u in own], [u[3] for u in own], options)
         groups = one.repair(one.grow()) if strategy == "graph" else one.exact(500)[0]
         assert {r["position"] // 10: r["group_ord"] for r in got if r["change_id"] == c} == dict(enumerate(labels(groups, c)))
+
+
+def test_sums_of_many_changes_are_those_of_each():
+    rng = random.Random(5)
+    names = ["", "/", "a.py", "a", "test_a.py", "a_test.py", "b.md", "/a.py", "x/a.py", "x/test_a.py", "x/a_test.md", "x//a.py", "x/./y/a.py", "x/y/test_a.py", "x/y/z/b.md", "y/b.md", "y/test_b.md", ".py"]
+    changes = [[rng.choice(names) for _ in range(rng.choice([1, 2, 7, 40]))] for _ in range(60)]
+    places = [sorted(rng.sample(range(1000), len(c))) for c in changes]
+    paths = list(dict.fromkeys(p for c in changes for p in c))
+    kinds = np.array([paths.index(p) for c in changes for p in c])
+    found = batches.sums(paths, kinds, np.array([x for p in places for x in p]), np.array([len(c) for c in changes]), list(O.Priority))
+    for priority, rows_ in zip(O.Priority, found, strict=True):
+        assert [tuple(r) for r in rows_.tolist()] == [grouping.pair_sums([grouping.file_of(x) for x in c], p, priority) for c, p in zip(changes, places, strict=True)]

@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from .. import options as O
-from . import grouping
+from . import grouping, kernels
 
 #: Units of a change up to which it goes with others of about its size; entries of such a batch's matrices.
 SMALL, ENTRIES = 200, 1 << 20
@@ -202,6 +202,99 @@ def _steps(name: str, o: O.PlanOptions, batch: Batch, places: np.ndarray) -> lis
     return [repaired(batch, grown(batch, o), o)]
 
 
+class _Classes:
+    """Classes of paths by what they share, as numbers: pairs with an affinity are pairs within classes, by inclusion and
+    exclusion. Two files of one stem of which one is a test are a pair of the stem's class, but not of the subject's."""
+
+    def __init__(self, paths: list[str]):
+        codes = _Codes(paths)
+        none = np.full(len(paths), -1, np.int64)
+        self.heads = [codes.heads[:, k].astype(np.int64) for k in range(codes.heads.shape[1])]
+        self.depth = (codes.heads >= 0).sum(1)
+        self.top = self.heads[0] if self.heads else none
+        self.path, self.suffix, subject = np.arange(len(paths)), codes.suffix.astype(np.int64), codes.subject.astype(np.int64)
+        stem = np.minimum(subject, codes.other)
+        both = lambda x, y: np.unique(x * (int(y.max(initial=0)) + 1) + y, return_inverse=True)[1]
+        self.file = (stem, subject)
+        self.suffix_file = tuple(both(self.suffix, x) for x in self.file)
+        self.top_file = tuple(both(self.top + 1, x) for x in self.file)
+        self.top_suffix = both(self.top + 1, self.suffix)
+        self.top_suffix_file = tuple(both(self.top_suffix, x) for x in self.file)
+
+    def weights(self, priority: O.Priority) -> list[tuple[np.ndarray, Any, Any]]:
+        """(class of each path, what a pair of it adds to the affinity, and to the number of pairs above 0)."""
+        has = (self.top >= 0).astype(np.int64)
+        pair = lambda classes, w, m: [(classes[0], w, m), (classes[1], -w, -m)]
+        out = pair(self.top_file, 0 * has, -has) + [(self.top, 0 * has, has)]
+        if priority == O.Priority.LOGICAL:
+            extra, alike = O.LOGICAL_DIR_BONUS, self.depth * O.SHARED_DIR + O.SAME_SUFFIX + O.LOGICAL_DIR_BONUS * (self.depth > 0)
+            out += pair(self.file, O.TEST_PAIR, 1) + [(self.suffix, O.SAME_SUFFIX, 1)] + pair(self.suffix_file, 0, -1)
+            out += [(self.top_suffix, 0 * has, -has)] + pair(self.top_suffix_file, 0 * has, has)
+        else:
+            off = O.ORTHOGONAL_PENALTY
+            extra, alike = -off, (self.depth * O.SHARED_DIR + O.SAME_SUFFIX - off) * (self.depth > 0)
+            out += pair(self.file, O.TEST_PAIR - off, 1) + pair(self.suffix_file, O.SAME_SUFFIX, 0) + pair(self.top_file, off * has, 0 * has)
+            out += [(self.top_suffix, O.SAME_SUFFIX * has, 0 * has)] + pair(self.top_suffix_file, -O.SAME_SUFFIX * has, 0 * has)
+        out += [(h, (O.SHARED_DIR + extra * (k == 0)) * (h >= 0), 0) for k, h in enumerate(self.heads)]
+        return [*out, (self.path, O.SAME_FILE - alike, 0 if priority == O.Priority.LOGICAL else 1 - has)]
+
+
+def sums(paths: list[str], kinds: np.ndarray, place: np.ndarray, sizes: np.ndarray, priorities: list[O.Priority]) -> list[np.ndarray]:
+    """grouping.pair_sums() of each change, a row for each: for each priority an array of four columns. kinds: the path of
+    each unit; units of a change stand together, in order of place."""
+    classes = _Classes(paths)
+    change = np.repeat(np.arange(len(sizes)), sizes)
+    ranks: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def ranked(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each unit how many of its class and change stand before and behind it."""
+        if id(of) not in ranks:
+            key = change * (int(of.max(initial=0)) + 2) + of[kinds] + 1
+            order = np.argsort(key, kind="stable")
+            head = np.flatnonzero(np.diff(key[order], prepend=-1))
+            many = np.diff(head, append=len(key))
+            before = np.empty(len(key), np.int64)
+            before[order] = np.arange(len(key)) - np.repeat(head, many)
+            behind = np.empty(len(key), np.int64)
+            behind[order] = np.repeat(many, many)
+            ranks[id(of)] = before, behind - 1 - before
+        return ranks[id(of)]
+
+    total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], np.cumsum(sizes)])])
+    out = []
+    for priority in priorities:
+        pairs, near, far = (np.zeros(len(place), np.int64) for _ in range(3))
+        for of, weight, meets in classes.weights(priority):
+            before, behind = ranked(of)
+            at = lambda x: x[kinds] if isinstance(x, np.ndarray) else x
+            w = at(weight)
+            pairs += at(meets) * before
+            near += w * before
+            far += w * behind
+        out.append(np.stack([total(pairs), total(near), total(far * place), total(near * place)], 1))
+    return out
+
+
+def sums_by_change(units: DataFrame, priorities: list[O.Priority]) -> DataFrame:
+    """change_id, priority, pairs, score, first, second: sums() of whole batches of changes, where there is a pair."""
+    kind = units.schema["change_id"].dataType.simpleString()
+    rows = units.select("change_id", F.struct("position", F.col("file_path").cast("string").alias("path")).alias("r"))
+    full = f"change_id {kind}, priority string, pairs long, score long, first long, second long"
+    parsed = to_arrow_schema(_parse_datatype_string(full))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for given in (part for batch in batches for part in kernels.slices(batch)):
+            lists = given.column(1)
+            flat, path = lists.flatten(), lists.flatten().field("path").dictionary_encode()
+            kinds, place = path.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.field("position").to_numpy(zero_copy_only=False).astype(np.int64)
+            for priority, found in zip(priorities, sums(path.dictionary.to_pylist(), kinds, place, np.diff(lists.offsets.to_numpy()), priorities), strict=True):
+                some = np.flatnonzero(found[:, 0])
+                columns = [given.column(0).take(pa.array(some)), pa.array([str(priority)] * len(some), pa.string()), *(pa.array(c) for c in found[some].T)]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, parsed, strict=True)], schema=parsed)
+
+    return rows.groupBy("change_id").agg(F.sort_array(F.collect_list("r")).alias("rows")).mapInArrow(work, full)
+
+
 def by_units(units: DataFrame, name: str, one: Callable[[grouping.Units], list[tuple]], o: O.PlanOptions, schema: str, keep: bool) -> DataFrame:
     """For each unit its change and position and, by schema, what `one` says of it: a row for each unit. Small changes go by
     _steps(), whole batches at a time, with the same result. keep: the unit's loc and file_path come along."""

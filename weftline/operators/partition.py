@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..functions.text import group_description, group_title
 from ..options import PartitionStrategy, PlanError, PlanOptions, Priority
-from . import batches, graph, grouping, kernels, stats
+from . import batches, graph, grouping, stats
 from .chunking import partition_units
 
 
@@ -46,25 +45,9 @@ def affinity_pairs(units: DataFrame, priority: str | Priority) -> DataFrame:
 
 def affinity_sums(units: DataFrame, *priorities: str | Priority) -> DataFrame:
     """change_id, priority, pairs, score, first, second: over all pairs of positions a < b with an affinity above 0 their
-    number, the sum of affinities, and the sums of affinity times a and times b. Made of counts by class
-    (grouping.pair_sums), so no pair is ever listed: work is by unit, however many units share a directory or suffix."""
-
-    def run(work: grouping.Units, place: list[int]) -> Iterable[tuple]:
-        found = [(str(Priority(p)), *grouping.pair_sums(work.files, place, Priority(p))) for p in priorities]
-        return [row for row in found if row[1]]
-
-    return _by_units(units, run, PlanOptions(), "priority string, pairs long, score long, first long, second long")
-
-
-def _by_units(units: DataFrame, run: Callable[[grouping.Units, list[int]], Iterable[tuple]], options: PlanOptions, schema: str) -> DataFrame:
-    """run over the units of each change, and their positions."""
-    rows = units.select("change_id", "position", F.col("loc").cast("long").alias("loc"), F.col("file_path").cast("string").alias("path"))
-
-    def work(rows: list[dict]) -> Iterable[tuple]:
-        known = {p: grouping.file_of(p) for p in dict.fromkeys(r["path"] for r in rows)}
-        return run(grouping.Units([known[r["path"]] for r in rows], [r["loc"] for r in rows], options), [r["position"] for r in rows])
-
-    return kernels.by_change(rows, ["position", "loc", "path"], work, schema)
+    number, the sum of affinities, and the sums of affinity times a and times b. Made of counts by class, whole batches of
+    changes at a time, so no pair is ever listed: work is by unit, however many units share a directory or suffix."""
+    return batches.sums_by_change(units, [Priority(p) for p in priorities])
 
 
 def group_units(units: DataFrame, options: PlanOptions, keep: bool = False) -> DataFrame:
