@@ -171,3 +171,16 @@ def test_options():
     with pytest.raises(O.PlanError):
         O.options_from({"WEFTLINE_MAX_LOC": "many"})
     assert O.PlanOptions().needs_chunking(900_000) and not O.PlanOptions().needs_chunking(800_000)
+
+
+def test_values_are_those_of_arrow():
+    import pyarrow as pa
+
+    from weftline.operators import kernels
+
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.string()), ("c", pa.list_(pa.int64())), ("d", pa.struct([("e", pa.bool_()), ("f", pa.float64())])), ("g", pa.map_(pa.string(), pa.int32()))]))
+    row = {"a": 1, "b": "x", "c": [1, 2], "d": {"e": True, "f": 0.5}, "g": [("k", 1)]}
+    rows = [[row, row | {"a": None}], None, [], [None, row | {"b": None, "c": None}], [row | {"c": [None, 3], "d": None, "g": None}, row | {"d": {"e": None, "f": None}, "c": []}]]
+    array = pa.array(rows, kind)
+    for part in (array, array.slice(1), array.slice(3, 1), array.slice(0, 1), array.slice(2, 1)):
+        assert kernels.values(part) == part.to_pylist()
