@@ -14,7 +14,7 @@ from pyspark.sql import window as W
 from .. import schemas
 from ..functions.prompts import Prompts, violation_line
 from ..options import CHUNK_ATTEMPTS, MAX_OUTPUT_TOKENS, TOKEN_RATIO, PartitionStrategy, PlanOptions
-from ..sources.documents import model_groups
+from ..sources.documents import model_answers
 from ..tables import stored
 from . import chunking, edit, graph, kernels, score, stats, validate
 from .partition import partition
@@ -40,11 +40,15 @@ def accepted(answers: DataFrame, key: str, limit: int = CHUNK_ATTEMPTS) -> tuple
     """answers: change_id, key, attempt, payload_json. (groups of the first attempt that can be read,
     change_id and key of what has such an attempt, change_id and key of what has none)."""
     keys = ["change_id", key]
-    tried = stored(answers.filter(F.col("attempt") <= limit), "answers")
-    groups, errors = model_groups(tried)
-    first = tried.join(errors.select(*keys, "attempt"), [*keys, "attempt"], "left_anti").groupBy(*keys).agg(F.min("attempt").alias("attempt"))
-    failed = tried.select(*keys).distinct().join(first, keys, "left_anti")
-    return groups.join(first, [*keys, "attempt"]).drop("attempt"), first.select(*keys), failed
+    tried = stored(model_answers(answers.filter(F.col("attempt") <= limit)), "answers")
+    bad = F.max(F.col("error").isNotNull())
+    first = tried.groupBy(*keys, "attempt").agg(bad.alias("bad")).groupBy(*keys).agg(F.min(F.when(~F.col("bad"), F.col("attempt"))).alias("attempt"))
+    # Answers move once, by change.
+    read = tried.repartition("change_id").withColumn("_bad", bad.over(W.Window.partitionBy(*keys, "attempt")))
+    read = read.withColumn("_first", F.min(F.when(~F.col("_bad"), F.col("attempt"))).over(W.Window.partitionBy(*keys))).filter("attempt = _first")
+    kept = [c for c in tried.columns if c not in (*keys, "attempt", "groups", "error")]
+    groups = read.select(*keys, *kept, F.posexplode("groups").alias("group_ord", "_g")).select(*keys, *kept, "group_ord", "_g.*")
+    return groups, first.filter("attempt is not null").select(*keys), first.filter("attempt is null").select(*keys)
 
 
 def fold_chunks(groups: DataFrame) -> DataFrame:
@@ -62,30 +66,52 @@ def fold_chunks(groups: DataFrame) -> DataFrame:
     return rows.withColumn("group_ord", F.row_number().over(order) - 1).drop("at")
 
 
+def _with_lines(listed: DataFrame, hunks: DataFrame) -> DataFrame:
+    """Rows of listed and those of hunks, whose _own is true, with the lines (_added, _removed) of their hunk in the diff, null for
+    an unknown one. Both move once, by change, instead of being joined."""
+    known = hunks.select("change_id", F.col("file_path").cast("string").alias("file_path"), "hunk_index", "added", "removed", F.lit(True).alias("_own"))
+    rows = listed.withColumn("_own", F.lit(False)).unionByName(known, allowMissingColumns=True).repartition("change_id")
+    same = W.Window.partitionBy("change_id", "file_path", "hunk_index")
+    valid = F.col("file_path").isNotNull() & F.col("hunk_index").isNotNull()
+    return rows.withColumns({"_added": F.when(valid, F.sum("added").over(same)), "_removed": F.when(valid, F.sum("removed").over(same)), "_listed": valid & F.max(~F.col("_own")).over(same)})
+
+
+def _lines(added: str, removed: str) -> list[Column]:
+    a, r = (F.coalesce(c, F.lit(0)) for c in (added, removed))
+    return [a.alias("estimated_added"), r.alias("estimated_removed"), (a + r).alias("estimated_loc")]
+
+
 def with_uncovered(groups: DataFrame, hunks: DataFrame) -> DataFrame:
     """Groups that also hold the hunks that none lists: with the first group that has their file, else
     with the one that has the most assignments; lines counted anew."""
     listed = groups.select("change_id", "group_ord", "group_id", F.explode("assignments").alias("a")).select("change_id", "group_ord", "group_id", "a.file_path", F.explode_outer("a.hunk_indices").alias("hunk_index"))
-    sizes = groups.select("change_id", "group_ord", "group_id", F.size("assignments").alias("n"))
-    own = hunks.join(groups.select("change_id").distinct(), "change_id", "left_semi").withColumn("file_path", F.col("file_path").cast("string"))
-    extra = edit.assign_uncovered(listed, own, sizes)
-    more = extra.groupBy("change_id", "group_id", "file_path").agg(F.sort_array(F.collect_list(F.col("hunk_index").cast("int"))).alias("more"))
-    more = more.groupBy("change_id", "group_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("file_path", "more")))).alias("more"))
-    rows = groups.join(more, ["change_id", "group_id"], "left")
+    largest = groups.repartition("change_id").groupBy("change_id").agg(F.min(F.struct((-F.size("assignments")).alias("n"), "group_ord", "group_id"))["group_id"].alias("largest"))
+    holder = F.min(F.when(~F.col("_own"), F.struct("group_ord", "group_id"))).over(W.Window.partitionBy("change_id", "file_path"))["group_id"]
+    rows = _with_lines(listed, hunks).withColumn("holder", holder).filter("not (_own and _listed)").join(largest, "change_id")
+    more = F.when(F.col("_own"), F.col("hunk_index").cast("int"))
+    held_by = F.when(F.col("_own"), F.coalesce("holder", "largest")).otherwise(F.col("group_id"))
+    rows = rows.select("change_id", held_by.alias("group_id"), "file_path", more.alias("more"), "_added", "_removed")
+    files = rows.groupBy("change_id", "group_id", "file_path").agg(F.sort_array(F.collect_list("more")).alias("more"), F.sum("_added").alias("_added"), F.sum("_removed").alias("_removed"))
+    files = files.groupBy("change_id", "group_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.when(F.size("more") > 0, F.struct("file_path", "more"))))).alias("more"), F.sum("_added").alias("_added"), F.sum("_removed").alias("_removed"))
+    rows = groups.drop("estimated_added", "estimated_removed", "estimated_loc").filter("group_id is not null").join(files, ["change_id", "group_id"], "left")
     held = F.transform("assignments", lambda a: a["file_path"])
     none = F.array().cast("array<int>")
     at = F.coalesce("more", F.create_map().cast("map<string,array<int>>"))
     wide = F.transform("assignments", lambda a, i: F.struct(a["file_path"].alias("file_path"), a["assignment_type"].alias("assignment_type"), F.when(F.array_position(held, a["file_path"]) == i + 1, F.concat(F.coalesce(a["hunk_indices"], none), F.coalesce(F.try_element_at(at, a["file_path"]), none))).otherwise(a["hunk_indices"]).alias("hunk_indices")))
     new = F.transform(F.filter(F.map_entries(at), lambda e: ~F.array_contains(held, e["key"])), lambda e: F.struct(e["key"].alias("file_path"), F.lit("partial_hunks").alias("assignment_type"), e["value"].alias("hunk_indices")))
-    rows = rows.withColumn("assignments", F.concat(wide, new)).drop("more")
-    return recounted(stored(rows, "placed"), hunks)
+    wider = F.when(F.size(at) > 0, F.concat(wide, new)).otherwise(F.col("assignments"))
+    return rows.withColumn("assignments", wider).select(*[c for c in rows.columns if c not in ("more", "_added", "_removed")], *_lines("_added", "_removed"))
 
 
-def recounted(groups: DataFrame, hunks: DataFrame) -> DataFrame:
-    """Groups with estimated_added, estimated_removed and estimated_loc from their listed hunks."""
-    known = hunks.withColumn("file_path", F.col("file_path").cast("string"))
-    kept = groups.drop("estimated_added", "estimated_removed", "estimated_loc")
-    return kept.join(stats.group_loc(graph.assigned(kept), known, kept), ["change_id", "group_id"])
+def recounted(groups: DataFrame, hunks: DataFrame, version: str | None = None) -> DataFrame:
+    """Groups with estimated_added, estimated_removed and estimated_loc from their listed hunks. version: a column that tells
+    several plans of one change apart; they share its hunks."""
+    keys = ["change_id", *[version] * (version is not None), "group_id"]
+    kept = groups.drop("estimated_added", "estimated_removed", "estimated_loc").filter("group_id is not null")
+    listed = kept.select(*keys, F.explode("assignments").alias("a")).select(*keys, "a.file_path", F.explode("a.hunk_indices").alias("hunk_index"))
+    sums = _with_lines(listed, hunks).filter(~F.col("_own")).groupBy(*keys).agg(F.sum("_added").alias("_added"), F.sum("_removed").alias("_removed"))
+    rows = kept.join(sums, keys, "left")
+    return rows.select(*[c for c in rows.columns if c not in ("_added", "_removed")], *_lines("_added", "_removed"))
 
 
 def chunked_plan(answers: DataFrame, hunks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -107,7 +133,7 @@ def refined(groups: DataFrame, answers: DataFrame, hunks: DataFrame, options: Pl
         answers = answers.limit(0)
     later, good, _ = accepted(answers.filter(F.col("iteration") <= limit), "iteration", 1)
     key = F.struct("change_id", F.col("iteration").cast("int").alias("iteration"))
-    later = recounted(later.withColumn("change_id", key).drop("iteration").withColumnRenamed("id", "group_id"), _for_each_version(good, hunks))
+    later = recounted(later.withColumnRenamed("id", "group_id"), hunks, "iteration").withColumn("change_id", key)
     columns = ["group_ord", "group_id", "title", "description", "depends_on", "assignments", "estimated_added", "estimated_removed", "estimated_loc"]
     now = groups.withColumn("iteration", F.lit(0)).withColumn("change_id", key)
     versions = stored(now.select("change_id", *columns).unionByName(later.select("change_id", *columns)), "versions")
@@ -124,12 +150,6 @@ def refined(groups: DataFrame, answers: DataFrame, hunks: DataFrame, options: Pl
     return chosen, last.select("change_id", F.col("iteration").alias("iterations"), "remaining", (F.col("remaining") == 0).alias("resolved"))
 
 
-def _for_each_version(versions: DataFrame, hunks: DataFrame) -> DataFrame:
-    """Hunks of each change under the key of each of its versions."""
-    rows = hunks.select("change_id", "file_path", "hunk_index", "added", "removed").join(versions.select("change_id", "iteration"), "change_id")
-    return rows.withColumn("change_id", F.struct("change_id", F.col("iteration").cast("int").alias("iteration"))).drop("iteration")
-
-
 def plan(hunks: DataFrame, options: PlanOptions, answers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(groups, measures) by the strategy of the options. With a model, answers are change_id, attempt,
     payload_json: whole plans."""

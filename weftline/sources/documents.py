@@ -31,17 +31,27 @@ def plan_groups(plans: DataFrame, change: Column) -> DataFrame:
     return rows.select("change_id", "group_ord", "g.*")
 
 
-def model_groups(payloads: DataFrame, column: str = "payload_json") -> tuple[DataFrame, DataFrame]:
-    """(groups, errors) from a model's JSON answers. `groups` must be a list; assignment types must be known."""
-    raw = payloads.withColumn("_d", F.from_json(column, GROUPS)).withColumn("_keys", F.json_object_keys(column))
+def model_answers(payloads: DataFrame, column: str = "payload_json") -> DataFrame:
+    """All other columns of a model's JSON answers, their `groups` and the `error` of those that can't be read, which have
+    null groups. `groups` must be a list; assignment types must be known."""
+    keep = [c for c in payloads.columns if c != column]
+    raw = payloads.select("*", F.from_json(column, GROUPS).alias("_d"))
     is_list = F.get_json_object(column, "$.groups").startswith("[")
     fine = F.coalesce(is_list, F.lit(False)) & F.col("_d.groups").isNotNull()
     known = [str(x) for x in AssignmentType]
     typed = F.forall(F.coalesce("_d.groups", F.array().cast(GROUPS.split(" ", 1)[1])), lambda g: F.forall(F.coalesce(g["assignments"], F.array().cast(f"array<{schemas.ASSIGNMENT}>")), lambda a: a["assignment_type"].isin(known)))
-    keep = [c for c in payloads.columns if c != column]
-    groups = raw.filter(fine & typed).select(*keep, F.posexplode("_d.groups").alias("group_ord", "_g")).select(*keep, "group_ord", "_g.*")
-    error = F.when(~fine, F.concat(F.lit("no list under 'groups'; keys: "), F.coalesce(F.array_join("_keys", ", "), F.lit("none")))).otherwise("unknown assignment type")
-    return groups, raw.filter(~fine | ~typed).select(*keep, error.alias("error"))
+    keys = F.coalesce(F.array_join(F.json_object_keys(column), ", "), F.lit("none"))
+    error = F.when(~fine, F.concat(F.lit("no list under 'groups'; keys: "), keys)).when(~typed, F.lit("unknown assignment type"))
+    told = raw.select(*keep, "_d", error.alias("error"))
+    return told.select(*keep, F.when(F.col("error").isNull(), F.col("_d.groups")).alias("groups"), "error")
+
+
+def model_groups(payloads: DataFrame, column: str = "payload_json") -> tuple[DataFrame, DataFrame]:
+    """(groups, errors) from a model's JSON answers; see model_answers."""
+    read = model_answers(payloads, column)
+    keep = read.columns[:-2]
+    groups = read.select(*keep, F.posexplode("groups").alias("group_ord", "_g")).select(*keep, "group_ord", "_g.*")
+    return groups, read.filter("error is not null").select(*keep, "error")
 
 
 def numstat(spark: SparkSession, path: str) -> DataFrame:
