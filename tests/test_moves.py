@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 from tests.conftest import rows
-from weftline.operators import planning
+from weftline.operators import partition, planning
 
 HUNKS = [("c", "a", 0, 3, 0), ("c", "a", 1, 10, 2), ("c", "b", 0, 0, 4), ("e", "a", 0, 7, 7)]
 ASSIGNMENTS = "array<struct<file_path: string, assignment_type: string, hunk_indices: array<int>>>"
@@ -36,3 +36,12 @@ def test_versions_of_a_plan_share_hunks_and_equal_ids_stay_single(spark):
     made = planning.recounted(groups.withColumnRenamed("id", "group_id"), hunk_table(spark), "iteration")
     assert "hunk_index" not in "".join(x for x in plan(made).split("\n") if "hashpartitioning" in x)
     assert [(r["iteration"], r["group_ord"], r["estimated_loc"]) for r in rows(made, "iteration", "group_ord")] == [(1, 0, 15), (1, 1, 15), (2, 0, 12)]
+
+
+def test_groups_from_units_move_once_and_leave_unknown_files_out(spark):
+    units = spark.createDataFrame([("c", 0, 0, "a", [0]), ("c", 1, 1, "a", [1]), ("c", 2, 1, "b", [0]), ("c", 3, 2, "gone", [0])], "change_id string, position int, group_ord int, file_path string, hunk_indices array<int>")
+    both = [partition.groups_from_units(units, None, hunk_table(spark), "graph"), partition.groups_from_units(units.select("change_id", "position", "group_ord"), units.drop("group_ord"), hunk_table(spark), "graph")]
+    assert "hunk_index," not in "".join(x for x in plan(both[0]).split("\n") if "hashpartitioning" in x)
+    for made in both:
+        got = [(r["group_id"], [(a["file_path"], a["assignment_type"], a["hunk_indices"]) for a in r["assignments"]], r["estimated_added"], r["estimated_loc"], r["depends_on"]) for r in rows(made, "group_id")]
+        assert got == [("pr-1", [("a", "partial_hunks", [0])], 3, 3, []), ("pr-2", [("a", "partial_hunks", [1]), ("b", "whole_file", [0])], 10, 16, ["pr-1"])]

@@ -6,10 +6,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from ..functions import paths
 from ..functions.text import group_description, group_title
 from ..options import PartitionStrategy, PlanError, PlanOptions, Priority
+from ..tables import stored
 from . import batches, graph, grouping, stats
 from .chunking import partition_units
 
@@ -76,21 +78,30 @@ def exact_groups(units: DataFrame, options: PlanOptions, keep: bool = False) ->
     return batches.by_units(units, "exact", run, options, "group_ord int, cost long, bound long", keep)
 
 
-def groups_from_units(grouped: DataFrame, units: DataFrame, hunks: DataFrame, backend: str) -> DataFrame:
-    """Groups as rows with ids pr-1.., titles, assignments, lines and reduced dependencies."""
-    counts = hunks.groupBy("change_id", "file_path").agg(F.count("*").alias("hunk_count"))
-    rows = grouped.join(units, ["change_id", "position"]).select("change_id", "group_ord", "file_path", F.explode("hunk_indices").alias("hunk_index"))
-    by_file = rows.groupBy("change_id", "group_ord", "file_path").agg(F.array_sort(F.collect_set("hunk_index")).alias("hunk_indices")).join(counts, ["change_id", "file_path"])
-    kind = F.when(F.col("hunk_indices") == F.transform(F.sequence(F.lit(0), F.col("hunk_count").cast("int") - 1), lambda x: x.cast("int")), "whole_file").otherwise("partial_hunks")
-    by_file = by_file.select("change_id", "group_ord", F.struct(F.col("file_path").cast("string").alias("file_path"), kind.alias("assignment_type"), "hunk_indices").alias("a"))
-    groups = by_file.groupBy("change_id", "group_ord").agg(F.sort_array(F.collect_list("a")).alias("assignments"))
+def groups_from_units(grouped: DataFrame, units: DataFrame | None, hunks: DataFrame, backend: str) -> DataFrame:
+    """Groups as rows with ids pr-1.., titles, assignments, lines and reduced dependencies. units may be left out where
+    grouped has their columns. Units and hunks move once, by change."""
+    rows = grouped if units is None else grouped.join(units, ["change_id", "position"])
+    listed = rows.select("change_id", "group_ord", F.col("file_path").cast("string").alias("file_path"), F.explode("hunk_indices").alias("hunk_index"))
+    whole_count = F.count_if("_own").over(W.Window.partitionBy("change_id", "file_path"))
+    found = stats.with_lines(listed, hunks).withColumn("hunk_count", whole_count).filter("not _own and hunk_count > 0")
+    by_file = found.groupBy("change_id", "group_ord", "file_path").agg(F.array_sort(F.collect_set(F.struct("hunk_index", "_added", "_removed"))).alias("h"), F.max("hunk_count").alias("hunk_count"))
     number = F.col("group_ord") + 1
+    by_file = by_file.withColumns({"group_id": F.concat(F.lit("pr-"), number.cast("string")), "hunk_indices": F.transform("h", lambda x: x["hunk_index"])})
+    lines = lambda c: F.aggregate("h", F.lit(0).cast("long"), lambda n, x: n + F.coalesce(x[c], F.lit(0)))
+    kind = F.when(F.col("hunk_indices") == F.transform(F.sequence(F.lit(0), F.col("hunk_count").cast("int") - 1), lambda x: x.cast("int")), "whole_file").otherwise("partial_hunks")
+    before = F.lag("group_id").over(W.Window.partitionBy("change_id", "file_path").orderBy(F.get("hunk_indices", F.lit(0)), "group_id"))
+    by_file = by_file.select("change_id", "group_ord", "group_id", F.struct("file_path", kind.alias("assignment_type"), "hunk_indices").alias("a"), lines("_added").alias("added"), lines("_removed").alias("removed"), before.alias("before"))
+    groups = by_file.groupBy("change_id", "group_id", "group_ord").agg(
+        F.sort_array(F.collect_list("a")).alias("assignments"), F.sum("added").alias("estimated_added"), F.sum("removed").alias("estimated_removed"), F.array_sort(F.collect_set("before")).alias("depends_on")
+    )
+    groups = stored(groups, "grouped")  # read twice: the reduction of dependencies takes small columns only
     files = F.transform("assignments", lambda a: a["file_path"])
-    groups = groups.withColumns({"group_id": F.concat(F.lit("pr-"), number.cast("string")), "title": group_title(number, files), "description": group_description(backend, files)})
-    flat = graph.assigned(groups)
-    loc = stats.group_loc(flat, hunks.withColumn("file_path", F.col("file_path").cast("string")), groups)
-    deps = graph.dependencies(flat, groups.select("change_id", "group_id", F.array().cast("array<string>").alias("depends_on")))
-    return groups.join(loc, ["change_id", "group_id"]).join(deps, ["change_id", "group_id"])
+    told = groups.select(
+        "change_id", "group_id", "group_ord", "assignments", group_title(number, files).alias("title"), group_description(backend, files).alias("description"),
+        "estimated_added", "estimated_removed", (F.col("estimated_added") + F.col("estimated_removed")).alias("estimated_loc"),
+    )
+    return told.join(graph.reduce_dependencies(groups.select("change_id", "group_id", "depends_on")), ["change_id", "group_id"])
 
 
 def partition(hunks: DataFrame, options: PlanOptions) -> DataFrame:

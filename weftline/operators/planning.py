@@ -66,16 +66,6 @@ def fold_chunks(groups: DataFrame) -> DataFrame:
     return rows.withColumn("group_ord", F.row_number().over(order) - 1).drop("at")
 
 
-def _with_lines(listed: DataFrame, hunks: DataFrame) -> DataFrame:
-    """Rows of listed and those of hunks, whose _own is true, with the lines (_added, _removed) of their hunk in the diff, null for
-    an unknown one. Both move once, by change, instead of being joined."""
-    known = hunks.select("change_id", F.col("file_path").cast("string").alias("file_path"), "hunk_index", "added", "removed", F.lit(True).alias("_own"))
-    rows = listed.withColumn("_own", F.lit(False)).unionByName(known, allowMissingColumns=True).repartition("change_id")
-    same = W.Window.partitionBy("change_id", "file_path", "hunk_index")
-    valid = F.col("file_path").isNotNull() & F.col("hunk_index").isNotNull()
-    return rows.withColumns({"_added": F.when(valid, F.sum("added").over(same)), "_removed": F.when(valid, F.sum("removed").over(same)), "_listed": valid & F.max(~F.col("_own")).over(same)})
-
-
 def _lines(added: str, removed: str) -> list[Column]:
     a, r = (F.coalesce(c, F.lit(0)) for c in (added, removed))
     return [a.alias("estimated_added"), r.alias("estimated_removed"), (a + r).alias("estimated_loc")]
@@ -87,7 +77,7 @@ def with_uncovered(groups: DataFrame, hunks: DataFrame) -> DataFrame:
     listed = groups.select("change_id", "group_ord", "group_id", F.explode("assignments").alias("a")).select("change_id", "group_ord", "group_id", "a.file_path", F.explode_outer("a.hunk_indices").alias("hunk_index"))
     largest = groups.repartition("change_id").groupBy("change_id").agg(F.min(F.struct((-F.size("assignments")).alias("n"), "group_ord", "group_id"))["group_id"].alias("largest"))
     holder = F.min(F.when(~F.col("_own"), F.struct("group_ord", "group_id"))).over(W.Window.partitionBy("change_id", "file_path"))["group_id"]
-    rows = _with_lines(listed, hunks).withColumn("holder", holder).filter("not (_own and _listed)").join(largest, "change_id")
+    rows = stats.with_lines(listed, hunks).withColumn("holder", holder).filter("not (_own and _listed)").join(largest, "change_id")
     more = F.when(F.col("_own"), F.col("hunk_index").cast("int"))
     held_by = F.when(F.col("_own"), F.coalesce("holder", "largest")).otherwise(F.col("group_id"))
     rows = rows.select("change_id", held_by.alias("group_id"), "file_path", more.alias("more"), "_added", "_removed")
@@ -109,7 +99,7 @@ def recounted(groups: DataFrame, hunks: DataFrame, version: str | None = None) -
     keys = ["change_id", *[version] * (version is not None), "group_id"]
     kept = groups.drop("estimated_added", "estimated_removed", "estimated_loc").filter("group_id is not null")
     listed = kept.select(*keys, F.explode("assignments").alias("a")).select(*keys, "a.file_path", F.explode("a.hunk_indices").alias("hunk_index"))
-    sums = _with_lines(listed, hunks).filter(~F.col("_own")).groupBy(*keys).agg(F.sum("_added").alias("_added"), F.sum("_removed").alias("_removed"))
+    sums = stats.with_lines(listed, hunks).filter(~F.col("_own")).groupBy(*keys).agg(F.sum("_added").alias("_added"), F.sum("_removed").alias("_removed"))
     rows = kept.join(sums, keys, "left")
     return rows.select(*[c for c in rows.columns if c not in ("_added", "_removed")], *_lines("_added", "_removed"))
 

@@ -69,10 +69,20 @@ def hunk_sequence(hunks: DataFrame, ratio: float = TOKEN_RATIO) -> DataFrame:
     return hunks.select("change_id", (F.row_number().over(order) - 1).alias("seq"), "file_path", "hunk_index", tokens.alias("token_estimate"))
 
 
+def with_lines(listed: DataFrame, hunks: DataFrame) -> DataFrame:
+    """Rows of listed and those of hunks, whose _own is true, with the lines (_added, _removed) of their hunk in the diff, null for
+    an unknown one. Both move once, by change, instead of being joined."""
+    known = hunks.select("change_id", F.col("file_path").cast("string").alias("file_path"), "hunk_index", "added", "removed", F.lit(True).alias("_own"))
+    rows = listed.withColumn("_own", F.lit(False)).unionByName(known, allowMissingColumns=True).repartition("change_id")
+    same = W.Window.partitionBy("change_id", "file_path", "hunk_index")
+    valid = F.col("file_path").isNotNull() & F.col("hunk_index").isNotNull()
+    return rows.withColumns({"_added": F.when(valid, F.sum("added").over(same)), "_removed": F.when(valid, F.sum("removed").over(same)), "_listed": valid & F.max(~F.col("_own")).over(same)})
+
+
 def group_loc(assigned: DataFrame, hunks: DataFrame, groups: DataFrame) -> DataFrame:
     """Added, removed and all lines of each group from its listed hunks; unknown hunks count nothing."""
-    found = assigned.select("change_id", "group_id", "file_path", "hunk_index").join(hunks.select("change_id", "file_path", "hunk_index", "added", "removed"), ["change_id", "file_path", "hunk_index"])
-    sums = found.groupBy("change_id", "group_id").agg(F.sum("added").alias("added"), F.sum("removed").alias("removed"))
+    found = with_lines(assigned.select("change_id", "group_id", "file_path", "hunk_index"), hunks).filter(~F.col("_own"))
+    sums = found.groupBy("change_id", "group_id").agg(F.sum("_added").alias("added"), F.sum("_removed").alias("removed"))
     out = groups.select("change_id", "group_id").join(sums, ["change_id", "group_id"], "left")
     added, removed = (F.coalesce(c, F.lit(0)) for c in ("added", "removed"))
     return out.select("change_id", "group_id", added.alias("estimated_added"), removed.alias("estimated_removed"), (added + removed).alias("estimated_loc"))
