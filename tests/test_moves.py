@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 from tests.conftest import rows
-from weftline.operators import edit, partition, planning
+from weftline.operators import edit, partition, planning, validate
 
 HUNKS = [("c", "a", 0, 3, 0), ("c", "a", 1, 10, 2), ("c", "b", 0, 0, 4), ("e", "a", 0, 7, 7)]
 ASSIGNMENTS = "array<struct<file_path: string, assignment_type: string, hunk_indices: array<int>>>"
@@ -58,3 +58,12 @@ def test_edits_of_a_hunk_are_folded_where_it_is(spark):
         assert "hunk_index" not in "".join(x for x in plan(made).split("\n") if "hashpartitioning" in x)
         assert [(r["file_path"], r["hunk_index"], r["held"], r["done"]) for r in rows(made, "file_path", "hunk_index")] == [("a", 0, ["g3"], [1, 2]), ("a", 1, ["g1"], []), ("b", 0, ["g2"], [])]
     assert rows(edit.edited(assigned, edits, groups, hunk_table(spark).limit(0)).filter("size(done) > 0")) == []
+
+
+def test_conflicts_are_found_without_joining_hunks_with_themselves(spark):
+    held = [("c", "a", 0, g) for g in ("g3", "g1", "g2", "g1")] + [("c", "a", 1, "g1"), ("c", None, 0, "g1"), ("c", None, 0, "g2"), ("e", "a", 0, "g1")]
+    assigned = spark.createDataFrame(held, "change_id string, file_path string, hunk_index int, group_id string")
+    groups = spark.createDataFrame([("c", "g1", []), ("c", "g2", ["g1"]), ("c", "g3", []), ("e", "g1", [])], "change_id string, group_id string, depends_on array<string>")
+    made = validate.conflicts(assigned, groups)
+    assert "hunk_index" not in "".join(x for x in plan(made).split("\n") if "hashpartitioning" in x)
+    assert [tuple(r.values()) for r in rows(made, "a", "b")] == [("c", "a", 0, "g1", "g3"), ("c", "a", 0, "g2", "g3")]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from ..functions.text import MESSAGES, bound_message
 from ..options import PlanError, PlanOptions
@@ -32,9 +33,11 @@ def loc_mismatch(groups: DataFrame, hunks: DataFrame) -> DataFrame:
 
 def conflicts(assigned: DataFrame, groups: DataFrame) -> DataFrame:
     """Pairs of groups that share a hunk and of which neither depends on the other, by however many steps."""
-    rows = assigned.select("change_id", "group_id", "file_path", "hunk_index").distinct()
-    left, right = rows.withColumnRenamed("group_id", "a"), rows.withColumnRenamed("group_id", "b")
-    pairs = left.join(right, ["change_id", "file_path", "hunk_index"]).filter("a < b")
+    keys = ["change_id", "file_path", "hunk_index"]
+    rows = assigned.select(*keys, "group_id").dropna().repartition("change_id")
+    shared = rows.withColumn("n", F.count("*").over(W.Window.partitionBy(*keys))).filter("n > 1").groupBy(*keys).agg(F.array_sort(F.collect_set("group_id")).alias("g"))
+    pairs = F.flatten(F.transform("g", lambda a, i: F.transform(F.slice("g", i + 2, F.size("g")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    pairs = stored(shared.select(*keys, F.inline(pairs)), "pairs")  # few, read twice
     return pairs.join(graph.unrelated(groups, pairs), ["change_id", "a", "b"]).select("change_id", "file_path", "hunk_index", "a", "b")
 
 
