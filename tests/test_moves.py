@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 from tests.conftest import rows
-from weftline.operators import edit, partition, planning, validate
+from weftline.operators import edit, graph, partition, planning, validate
 
 HUNKS = [("c", "a", 0, 3, 0), ("c", "a", 1, 10, 2), ("c", "b", 0, 0, 4), ("e", "a", 0, 7, 7)]
 ASSIGNMENTS = "array<struct<file_path: string, assignment_type: string, hunk_indices: array<int>>>"
@@ -67,3 +67,14 @@ def test_conflicts_are_found_without_joining_hunks_with_themselves(spark):
     made = validate.conflicts(assigned, groups)
     assert "hunk_index" not in "".join(x for x in plan(made).split("\n") if "hashpartitioning" in x)
     assert [tuple(r.values()) for r in rows(made, "a", "b")] == [("c", "a", 0, "g1", "g3"), ("c", "a", 0, "g2", "g3")]
+
+
+def test_chain_merged_file_by_file_is_the_chain_merged_by_joins(spark):
+    groups = spark.createDataFrame([("c", "g1", []), ("c", "g2", ["g1"]), ("c", "g3", ["g2"]), ("c", "g4", []), ("e", "g1", ["g2"])], "change_id string, group_id string, depends_on array<string>")
+    held = [("c", "g1", "a", "partial_hunks", [0]), ("c", "g2", "b", "partial_hunks", [1]), ("c", "g3", "a", "partial_hunks", [3, 0]), ("c", "g3", "b", "whole_file", [0]), ("c", "g4", "a", None, None), ("e", "g1", "a", "partial_hunks", [2])]
+    own = spark.createDataFrame(held, "change_id string, group_id string, file_path string, assignment_type string, hunk_indices array<int>")
+    up = graph.closure(groups).join(own.withColumnRenamed("group_id", "ancestor_id"), ["change_id", "ancestor_id"]).select("change_id", "group_id", "file_path", "hunk_indices")
+    order = ("change_id", "group_id", "file_path")
+    made = rows(edit.merge_own_chain(groups, own), *order)
+    assert made == rows(edit.merge_chain(own, up), *order)
+    assert {(r["group_id"], r["file_path"]): r["hunk_indices"] for r in made if r["change_id"] == "c"}[("g3", "a")] == [0, 3]
