@@ -1,10 +1,10 @@
 """Token-id files: written in order of id by all tasks, read back block by block.
 
 Format of a file, all numbers little-endian:
-  magic "WEFTIDS2"; u32 CRC-32 of what follows up to the words; u64 documents, u64 ids, u32 block, u32 blocks;
-  i64 document ids; u8 1 where the document id isn't null; u32 ids of each document;
-  u32 words of each block; u32 CRC-32 of each block's ids and words; then the blocks' 32-bit words.
-Blocks of `block` ids run across documents and are coded by id_coder, each on its own.
+  magic "WEFTIDS3"; u32 CRC-32 of what follows up to the blocks; u64 documents, u64 ids; u32 block, blocks, words of the table of
+  symbols, CRC-32 of all ids; i64 document ids; u8 1 where the document id isn't null; u32 ids of each document;
+  u32 words of each block; u32 CRC-32 of each block's words; the table of symbols; then the blocks' 32-bit words.
+Blocks of `block` symbols run across documents and are coded by id_coder, each on its own behind the table.
 """
 
 from __future__ import annotations
@@ -22,45 +22,71 @@ from pyspark.sql import functions as F
 from . import common, id_coder
 from .tokens import tokenizer, with_end
 
-MAGIC = b"WEFTIDS2"
-_HEAD = struct.Struct("<QQII")
+MAGIC = b"WEFTIDS3"
+_HEAD = struct.Struct("<QQIIII")
 
 
-def _checks(ids: np.ndarray, words: np.ndarray, sizes: np.ndarray, block: int) -> list[int]:
-    """Of each block: the ids, then the words, so damage shows even where it changes no id."""
+def _checks(words: np.ndarray, sizes: np.ndarray) -> list[int]:
+    """Of each block's words."""
     ends = np.cumsum(sizes).tolist()
-    return [zlib.crc32(words[b:c], zlib.crc32(ids[a : a + block])) for a, b, c in zip(range(0, len(ids), block), [0, *ends], ends, strict=False)]
+    return [zlib.crc32(words[b:c]) for b, c in zip([0, *ends], ends, strict=False)]
 
 
-def pack_file(doc_ids: np.ndarray, valid: np.ndarray, counts: np.ndarray, ids: np.ndarray, block: int) -> bytes:
-    words, sizes = id_coder.encode(ids, block)
+def pack_file(doc_ids: np.ndarray, valid: np.ndarray, counts: np.ndarray, ids: np.ndarray, block: int, phrases: id_coder.Phrases = id_coder.NO_PHRASES) -> bytes:
+    """ids may hold numbers of phrases, which stand for their ids; counts are of ids."""
+    words, sizes = id_coder.encode(ids, block, phrases)
     words = words.astype("<u4")
-    checks = _checks(ids.astype("<u4"), words, sizes, block)
-    table = _HEAD.pack(len(doc_ids), len(ids), block, len(sizes)) + doc_ids.astype("<i8").tobytes() + valid.astype("u1").tobytes() + counts.astype("<u4").tobytes() + sizes.astype("<u4").tobytes() + np.array(checks, "<u4").tobytes()
-    return MAGIC + struct.pack("<I", zlib.crc32(table)) + table + words.tobytes()
+    symbols = len(words) - int(sizes.sum())
+    all_ids = zlib.crc32(id_coder.expand(ids, phrases).astype("<u4"))
+    table = _HEAD.pack(len(doc_ids), int(counts.sum()), block, len(sizes), symbols, all_ids) + doc_ids.astype("<i8").tobytes() + valid.astype("u1").tobytes() + counts.astype("<u4").tobytes()
+    table += sizes.astype("<u4").tobytes() + np.array(_checks(words[symbols:], sizes), "<u4").tobytes() + words[:symbols].tobytes()
+    return MAGIC + struct.pack("<I", zlib.crc32(table)) + table + words[symbols:].tobytes()
 
 
 def unpack_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document ids, which are not null, ids of each document, all ids); ValueError where a checksum fails."""
     if data[:8] != MAGIC:
         raise ValueError("not a token-id file")
-    docs, total, block, blocks = _HEAD.unpack_from(data, 12)
+    docs, total, block, blocks, symbols, all_ids = _HEAD.unpack_from(data, 12)
     at = 12 + _HEAD.size
     out = []
-    for kind, n in (("<i8", docs), ("u1", docs), ("<u4", docs), ("<u4", blocks), ("<u4", blocks)):
+    for kind, n in (("<i8", docs), ("u1", docs), ("<u4", docs), ("<u4", blocks), ("<u4", blocks), ("<u4", symbols)):
+        if at + n * np.dtype(kind).itemsize > len(data):
+            raise ValueError("the tables of a token-id file are damaged")
         out.append(np.frombuffer(data, kind, n, at))
         at += out[-1].nbytes
     if zlib.crc32(data[12:at]) != struct.unpack_from("<I", data, 8)[0]:
         raise ValueError("the tables of a token-id file are damaged")
-    doc_ids, valid, counts, sizes, checks = out
+    doc_ids, valid, counts, sizes, checks, table = out
     sizes = sizes.astype(np.int64)
+    if len(data) - at != 4 * int(sizes.sum()):
+        raise ValueError("a token-id file is cut")
     words = np.frombuffer(data, "<u4", int(sizes.sum()), at)
-    ids = id_coder.decode(words, sizes, total, block)
-    if _checks(ids, words, sizes, block) != checks.tolist():
+    if _checks(words, sizes) != checks.tolist():
         raise ValueError("a block of a token-id file is damaged")
+    ids = id_coder.decode(np.concatenate([table, words]), sizes, total, block)
+    if len(ids) != total or total and zlib.crc32(ids) != all_ids:
+        raise ValueError("the ids of a token-id file are damaged")
     return doc_ids, valid.astype(bool), counts.astype(np.int64), ids
 
 
+def _merged(numbers: list[np.ndarray], phrases: list[id_coder.Phrases]) -> tuple[np.ndarray, id_coder.Phrases]:
+    """The numbers of several batches by one list of phrases, each there once."""
+    ids, lengths = (np.concatenate(x) for x in zip(*phrases, strict=True))
+    if not len(lengths):
+        return np.concatenate(numbers), (ids, lengths)
+    bounds = np.concatenate([[0], np.cumsum(lengths)]) * 4
+    every = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(bounds), pa.py_buffer(ids.astype("<u4"))]).dictionary_encode()
+    name = np.concatenate([np.arange(id_coder.IDS, dtype=np.int32), id_coder.IDS + every.indices.to_numpy()])
+    at, moved = 0, []
+    for n, (_, own) in zip(numbers, phrases, strict=True):
+        moved.append(name.take(np.where(n < id_coder.IDS, n, n + at)))
+        at += len(own)
+    one = every.dictionary
+    width = np.diff(np.frombuffer(one.buffers()[1], np.int64)[: len(one) + 1]) // 4
+    return np.concatenate(moved), (np.frombuffer(one.buffers()[2], "<u4", int(width.sum())), width)
+
+
 def _save(uri: str, data: bytes) -> None:
     """Under its final name only when complete; a task that runs again writes the same bytes. What an
     attempt that died has left has another name, which read_tokens doesn't look at."""
@@ -101,20 +127,24 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end: int, id_col: str
 
         def flush() -> pa.RecordBatch:
             nonlocal turn, start, pending
-            ids, counts, doc_ids, valid = (np.concatenate(x) for x in zip(*held, strict=True))
-            _save(f"{folder}/{pid:06d}-{turn:06d}.ids", pack_file(doc_ids, valid, counts, ids, block))
-            row = [[pid], [turn], [len(doc_ids)], [len(ids)], [start]]
+            numbers, phrases, counts, doc_ids, valid = zip(*held, strict=True)
+            merged, phrases = _merged(numbers, phrases)
+            counts, doc_ids, valid = (np.concatenate(x) for x in (counts, doc_ids, valid))
+            n = int(counts.sum())
+            _save(f"{folder}/{pid:06d}-{turn:06d}.ids", pack_file(doc_ids, valid, counts, merged, block, phrases))
+            row = [[pid], [turn], [len(doc_ids)], [n], [start]]
             held.clear()
-            turn, start, pending = turn + 1, start + len(ids), 0
+            turn, start, pending = turn + 1, start + n, 0
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in row], ["pid", "turn", "docs", "ids", "start"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, bounds = with_end(*tok.encode(batch.column(1)), end)
+            numbers, pieces, counts, phrases = tok.pieces(batch.column(1))
+            numbers, counts = with_end(numbers, pieces, end)[0], counts + 1
             key = batch.column(0)
-            held.append((ids, np.diff(bounds), key.fill_null(0).to_numpy(), key.is_valid().to_numpy(zero_copy_only=False)))
-            pending += len(ids)
+            held.append((numbers, phrases, counts, key.fill_null(0).to_numpy(), key.is_valid().to_numpy(zero_copy_only=False)))
+            pending += int(counts.sum())
             if pending >= file_ids:
                 yield flush()
         if held:

@@ -14,11 +14,14 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .id_coder import IDS, NO_PHRASES, Phrases
+
 _OTHER, _LETTER, _DIGIT, _SPACE = 0, 1, 2, 3
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[[*range(65, 91), *range(97, 123), 0xC3, 0xC4, 0xC5, *range(0x80, 0xC0)]] = _LETTER
@@ -34,6 +37,7 @@ _WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 CACHE = 1 << 18
 #: The byte-level alphabet: printable Latin-1 characters stand for their bytes, characters from 256 on for the other bytes, in order.
 _ALPHABET = {c: 256 + k for k, c in enumerate(c for c in range(256) if not (33 <= c <= 126 or 161 <= c <= 255 and c != 173))}
+_SPELLED = np.array([_ALPHABET.get(c, c) for c in range(256)], "<u2")
 
 
 class PieceTokenizer:
@@ -106,20 +110,27 @@ class PieceTokenizer:
             start[after[after < n]] = True
         return np.flatnonzero(start)
 
-    def _coded(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of single pieces, by the model of the library behind its cutting rule."""
-        tokenize, lower = self.tokenizer.model.tokenize, self.rule == "word"
-        out = []
-        for p in pieces:
-            if lower:
-                p = p.lower() if p.isascii() else p.decode().lower().encode()
-            text = p.decode("latin-1")
-            if not (text.isascii() and text.isprintable()):
-                text = text.translate(_ALPHABET)
-            elif not lower:
-                text = text.replace(" ", "\u0120")
-            out.append([t.id for t in tokenize(text)])
-        return out
+    def _coded(self, pieces: pa.Array) -> tuple[list[int], list[int]]:
+        """Ids of single pieces one after the other, and how many each has, by the model of the library behind its cutting rule."""
+        tokenize, ids, upto = self.tokenizer.model.tokenize, [], [0]
+        for text in self._lowered(pieces) if self.rule == "word" else self._spelled(pieces):
+            ids += [t.id for t in tokenize(text)]
+            upto.append(len(ids))
+        return ids, upto
+
+    @staticmethod
+    def _lowered(pieces: pa.Array) -> Iterator[str]:
+        for p in pieces.to_pylist():
+            text = (p.lower() if p.isascii() else p.decode().lower().encode()).decode("latin-1")
+            yield text if text.isascii() and text.isprintable() else text.translate(_ALPHABET)
+
+    @staticmethod
+    def _spelled(pieces: pa.Array) -> Iterator[str]:
+        """Pieces in the byte-level alphabet, of one string: each byte is one character."""
+        bounds = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1]
+        text = _SPELLED[np.frombuffer(pieces.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]].tobytes().decode("utf-16-le")
+        bounds = (bounds - bounds[0]).tolist()
+        return (text[a:z] for a, z in zip(bounds[:-1], bounds[1:], strict=True))
 
     def _keep_common(self) -> None:
         stay = np.sort(np.lexsort((np.arange(len(self.used)), self.used))[-(CACHE // 2) :])
@@ -139,18 +150,18 @@ class PieceTokenizer:
         self.used[at[at >= 0]] += 1
         if len(new):
             fresh = pieces.take(pa.array(new))
-            got = self._coded(fresh.to_pylist())
+            got, upto = self._coded(fresh)
             at[new] = np.arange(len(self.known), len(self.known) + len(new))
             self.known = pa.concat_arrays([self.known, fresh])
             self.used = np.append(self.used, np.zeros(len(new), np.int64))
-            self.ids = np.concatenate([self.ids, np.array([i for x in got for i in x], np.uint32)])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in got])])
+            self.ids = np.concatenate([self.ids, np.array(got, np.uint32)])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.array(upto[1:])])
         return at
 
     def _plain(self, b: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and their number in each of the texts between bounds."""
+        """Where the ids of all pieces are, and the number of pieces in each of the texts between bounds."""
         if not len(b):
-            return np.zeros(0, np.uint32), np.zeros(len(bounds) - 1, np.int64)
+            return np.zeros(0, np.int64), np.zeros(len(bounds) - 1, np.int64)
         start = self._cut(b, bounds)
         offsets = np.append(start, len(b)).astype(np.int32)
         pieces = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(b)])
@@ -158,16 +169,18 @@ class PieceTokenizer:
             keep = _CLASS[b[start]] != _SPACE
             pieces, start = pieces.filter(pa.array(keep)), start[keep]
         coded = pieces.dictionary_encode()
-        at = self._places(coded.dictionary)[coded.indices.to_numpy()]
+        return self._places(coded.dictionary)[coded.indices.to_numpy()], np.diff(np.searchsorted(start, bounds))
+
+    def _plain_ids(self, b: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number in each text."""
+        at, pieces = self._plain(b, bounds)
         count = self.ends[at + 1] - self.ends[at]
         ends = np.cumsum(count)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(self.ends[at] - (ends - count), count) + np.arange(total)]
-        upto = np.concatenate([[0], ends])[np.searchsorted(start, bounds)]
-        return ids, np.diff(upto)
+        ids = self.ids[np.repeat(self.ends[at] - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return ids, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pieces)])])
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after the other, and their number in each text; null counts as empty."""
+    def _parts(self, texts: pa.Array, plain: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """What `plain` makes of runs of plain texts, and between them ids and their number of a text that the library takes whole."""
         if texts.null_count:
             texts = texts.fill_null("")
         raw = texts.cast(pa.binary())
@@ -185,22 +198,52 @@ class PieceTokenizer:
             held = pc.match_substring_regex(texts, self.added, ignore_case=True)
             hard = np.append(hard, np.flatnonzero(held.to_numpy(zero_copy_only=False)))
         hard = np.unique(hard)
-        if not len(hard):
-            return self._plain(b, bounds)
-        parts: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
-        whole = self._whole([texts[int(i)].as_py() for i in hard])
+        whole = self._whole([texts[int(i)].as_py() for i in hard]) if len(hard) else []
         at = 0
         for i, ids in zip([*hard.tolist(), len(texts)], [*whole, None], strict=True):
-            if i > at:
-                got, n = self._plain(b[bounds[at] : bounds[i]], bounds[at : i + 1] - bounds[at])
-                parts.append(got)
-                counts.append(n)
+            if i > at or not len(hard):
+                yield plain(b[bounds[at] : bounds[i]], bounds[at : i + 1] - bounds[at])
             if ids is not None:
-                parts.append(ids)
-                counts.append(np.array([len(ids)]))
+                yield ids, np.array([len(ids)])
             at = i + 1
-        return np.concatenate(parts), np.concatenate(counts).astype(np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and their number in each text; null counts as empty."""
+        ids, counts = zip(*self._parts(texts, self._plain_ids), strict=True)
+        return np.concatenate(ids), np.concatenate(counts).astype(np.int64)
+
+    def pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, Phrases]:
+        """The same in pieces: a number for each (an id, or IDS and the place of a phrase), the numbers of pieces and of ids in each
+        text, and the phrases: the pieces of other than one id. A phrase may be there more than once."""
+        phrases: list[Phrases] = []
+        sizes: list[np.ndarray] = []
+        before = 0
+
+        def plain(b: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            nonlocal before
+            at, pieces = self._plain(b, bounds)
+            length = np.diff(self.ends)
+            met = np.zeros(len(length), bool)
+            met[at] = True
+            many = np.flatnonzero(met & (length != 1))
+            number = np.zeros(len(length), np.int32)
+            one = np.flatnonzero(length == 1)
+            number[one] = self.ids[self.ends[one]]
+            number[many] = IDS + before + np.arange(len(many))
+            before += len(many)
+            phrases.append((self.ids[np.repeat(met & (length != 1), length)], length[many]))
+            upto = np.concatenate([[0], np.cumsum(length.take(at))])
+            sizes.append(np.diff(upto[np.concatenate([[0], np.cumsum(pieces)])]))
+            return number.take(at), pieces
+
+        numbers, counts = [], []
+        for got, n in self._parts(texts, plain):
+            numbers.append(got.astype(np.int32))
+            counts.append(n)
+            if len(sizes) < len(counts):  # a text that went to the library whole
+                sizes.append(n)
+        found = tuple(np.concatenate(x) for x in zip(*phrases, strict=True)) if phrases else NO_PHRASES
+        return np.concatenate(numbers), np.concatenate(counts).astype(np.int64), np.concatenate(sizes).astype(np.int64), found
 
 
 _made: dict[str, PieceTokenizer] = {}
