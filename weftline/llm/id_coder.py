@@ -32,7 +32,7 @@ _ALL = 1 << _TOTAL  # of the frequencies of a table
 _SHIFT0 = np.uint64(_TOTAL)
 _FREQ = np.uint64(_ALL - 1)
 _LEAST = 256  # the chance of neither prediction: 4 bits, so that its symbol's 20 fit before 32 are emitted
-_SLOTS = 4096  # of the tables of predictions, for each block
+_SLOTS = 1024  # of the tables of predictions, for each block
 _BLOCK = 1 << 19  # symbols of a block at most: counts times 4096 stay within 31 bits
 IDS = 65536  # ids are below, phrases are numbered from here on
 _NONE = _ALL  # predicted where nothing is known yet: no symbol

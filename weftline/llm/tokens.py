@@ -40,6 +40,11 @@ _ALPHABET = {c: 256 + k for k, c in enumerate(c for c in range(256) if not (33 <
 _SPELLED = np.array([_ALPHABET.get(c, c) for c in range(256)], "<u2")
 
 
+def _looked_up(b: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """table[b] of bytes by way of bytes.translate, which is several times as fast."""
+    return np.frombuffer(b.tobytes().translate(table.tobytes()), table.dtype)
+
+
 class PieceTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -81,7 +86,7 @@ class PieceTokenizer:
 
     def _cut(self, b: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Where pieces start. b: bytes of plain texts one after the other; first: their starts."""
-        n, kind = len(b), _CLASS[b]
+        n, kind = len(b), _looked_up(b, _CLASS)
         head = np.zeros(n + 4, bool)
         head[first] = True  # the end of the last text counts as a start, too
         start = head[:n].copy()
@@ -188,7 +193,7 @@ class PieceTokenizer:
         data = raw.buffers()[2]
         b = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8)
         bounds = offsets - offsets[0]
-        odd = self.rule == "whole" and np.arange(len(b)) or np.flatnonzero(_ODD[b])
+        odd = self.rule == "whole" and np.arange(len(b)) or np.flatnonzero(_looked_up(b, _ODD))
         if self.rule != "whole":
             for x, y in _ODD_PAIRS:
                 lead = np.flatnonzero(b[:-1] == x)
